@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parlance.llm import byte_bpe, exact_dedup, simhash
+from parlance.llm import byte_bpe, decontaminate, exact_dedup, shard, simhash
 
-MODULES = [exact_dedup, simhash, byte_bpe]
+MODULES = [shard, exact_dedup, simhash, byte_bpe, decontaminate]
 
 
 def queries() -> dict:
