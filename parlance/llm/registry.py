@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parlance.llm import byte_bpe, decontaminate, exact_dedup, shard, simhash
+from parlance.llm import byte_bpe, decontaminate, exact_dedup, extract, shard, simhash, warc
 
-MODULES = [shard, exact_dedup, simhash, byte_bpe, decontaminate]
+MODULES = [shard, warc, extract, exact_dedup, simhash, byte_bpe, decontaminate]
 
 
 def queries() -> dict:
