@@ -107,7 +107,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     """Feature rows and labels of at most ``sample`` labelled documents outside the held-out fold, chosen by hash of their id."""
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (crc_remainder(F.col(id_col), modulus) != held))
     chosen = chosen.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("id")).select("id", "label", F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    texts = rows.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "label", "text")
 
     def run(batches):
         for batch in batches:
