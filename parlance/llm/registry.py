@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parlance.llm import byte_bpe, decontaminate, exact_dedup, extract, quality, shard, simhash, warc
+from parlance.llm import byte_bpe, decontaminate, exact_dedup, extract, ppm, quality, shard, simhash, warc
 
-MODULES = [shard, warc, quality, extract, exact_dedup, simhash, byte_bpe, decontaminate]
+MODULES = [ppm, shard, warc, quality, extract, exact_dedup, simhash, byte_bpe, decontaminate]
 
 
 def queries() -> dict:
