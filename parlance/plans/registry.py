@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from parlance.plans import segment_queries
+
 FLAGSHIP = "w4_top_candidates"
-MODULES: list = []
+MODULES = [segment_queries]
 
 
 def queries() -> dict:
