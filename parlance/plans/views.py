@@ -40,7 +40,7 @@ SELECT conv_id AS recording_id, concat('/audio/rec', conv_id, '.wav') AS audio_p
        CASE WHEN conv_id % 3 > 0 THEN 'model-a' ELSE '' END AS engine_model, '' AS engine_at, CAST(conv_id % 5 AS INT) AS doc_revision, CASE WHEN conv_id % 4 = 0 THEN '' ELSE concat('fp', conv_id) END AS audio_fingerprint
 FROM {conversations} GROUP BY conv_id""",
     "proposals_v": """
-SELECT recording_id, recording_id * 100 + idx AS id, orig_start AS target_orig_start, CASE WHEN idx % 3 = 0 THEN NULL ELSE seg_start END AS target_now, seg_start + (idx % 3) * 6 AS p_start, seg_start + (idx % 3) * 6 + 15 AS p_end
+SELECT recording_id, recording_id * 100 + idx AS id, orig_start AS target_orig_start, CASE WHEN idx % 3 = 0 THEN NULL ELSE seg_start END AS target_now, seg_start + (idx % 3) * 9 AS p_start, seg_start + (idx % 3) * 9 + 15 AS p_end
 FROM {segments_v}""",
     "edits_v": """
 SELECT user_id AS recording_id, event_id, ts AS at, CASE event_type WHEN 'view' THEN 'time' WHEN 'click' THEN 'speaker' WHEN 'signup' THEN 'text' WHEN 'purchase' THEN 'reject' ELSE 'invalid' END AS kind,
