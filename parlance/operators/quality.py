@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.columns import trim
@@ -51,13 +51,11 @@ def chunk_status(chunks: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("failed") == F.col("n"), "failed").when(F.col("segments") == 0, "empty").when(F.col("failed") > 0, "partial").otherwise("ok"))
 
 
-def placeholder_text(message: str = "[00:00] 【?】 (failed)"):
-    return F.lit(message)
-
-
-def chunk_key(fingerprint="fingerprint", chunk_seconds="chunk_seconds", verbatim="verbatim", mode="mode", roster="roster"):
-    """What a cached chunk was made with: source, chunk length, mode, wording, and the roster's digest."""
-    return F.concat_ws(".", F.col(fingerprint), F.col(chunk_seconds).cast("string"), F.col(mode), F.when(F.col(verbatim), "vb").otherwise("std"), F.when(F.coalesce(F.col(roster), F.lit("")) != "", F.substring(F.md5(F.col(roster).cast("binary")), 1, 8)))
+def chunk_key(fingerprint: str = "fingerprint", chunk_seconds: str = "chunk_seconds", verbatim: str = "verbatim", mode: str = "mode", roster: str = "roster") -> Column:
+    """What a cached chunk was made with: source, chunk length, mode, wording, and the roster's digest; absent parts are left out."""
+    names = trim(F.coalesce(F.col(roster), F.lit("")))
+    some = lambda c: F.when(c != "", c)
+    return F.concat_ws(".", some(F.col(fingerprint)), F.concat(F.lit("c"), F.col(chunk_seconds).cast("string")), some(F.col(mode)), F.when(F.col(verbatim), "vb"), F.when(names != "", F.substring(F.md5(names.cast("binary")), 1, 8)))
 
 
 def pending_chunks(chunks: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:

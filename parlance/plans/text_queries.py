@@ -197,7 +197,7 @@ _ORACLES = {
       SELECT event_id, error_class, rate_limited, CASE WHEN rate_limited THEN 20.0 * (attempt + 1) ELSE 5 * pow(2, attempt) END AS wait_s FROM c""",
     "q4_chunk_status": """WITH c AS (SELECT recording_id, chunk, (recording_id + chunk) % 5 = 0 OR recording_id % 17 = 0 AS failed, count(*) AS k FROM segments_v GROUP BY 1, 2), t AS (SELECT recording_id, count(*) AS n, count(*) FILTER (failed) AS failed, CAST(sum(CASE WHEN failed THEN 0 ELSE k END) AS BIGINT) AS segments FROM c GROUP BY 1)
       SELECT *, CASE WHEN failed = n THEN 'failed' WHEN segments = 0 THEN 'empty' WHEN failed > 0 THEN 'partial' ELSE 'ok' END AS status FROM t""",
-    "q5_pending_chunks": "SELECT DISTINCT recording_id, chunk, concat_ws('.', concat('fp', recording_id), '60', 'cluster', CASE WHEN recording_id % 2 = 0 THEN 'vb' ELSE 'std' END, CASE WHEN recording_id % 3 = 0 THEN substr(md5('sp01 sp02'), 1, 8) END) AS key FROM lines_v WHERE recording_id % 4 = 1 OR chunk = 1",
+    "q5_pending_chunks": "SELECT DISTINCT recording_id, chunk, concat_ws('.', concat('fp', recording_id), 'c60', 'cluster', CASE WHEN recording_id % 2 = 0 THEN 'vb' END, CASE WHEN recording_id % 3 = 0 THEN substr(md5('sp01 sp02'), 1, 8) END) AS key FROM lines_v WHERE recording_id % 4 = 1 OR chunk = 1",
     "q6_verify_sources": "SELECT recording_id, CASE WHEN recording_id % 5 = 0 THEN 'missing' WHEN source_sha256 = '' THEN 'first_record' WHEN recording_id % 7 = 0 THEN 'mismatch' ELSE 'match' END AS result FROM recordings_v",
     "q7_same_recording": "SELECT recording_id, CASE WHEN fa <> '' AND fb <> '' THEN fa = fb ELSE recording_id % 3 <= 1 END AS same FROM (SELECT recording_id, audio_fingerprint AS fa, CASE WHEN recording_id % 3 = 0 THEN 'fp3' ELSE audio_fingerprint END AS fb FROM recordings_v)",
     "a13_envelope": """WITH s AS (SELECT user_id AS key, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events)
