@@ -130,7 +130,7 @@ def match_families(old: DataFrame, new: DataFrame, tol: float = MATCH_SECONDS) -
     right = new.select(RID, F.col("idx").alias("pos"), F.col("seg_start").alias("n_start"), F.explode(F.array(*[F.floor(F.col("seg_start") / tol) + d for d in (-1, 0, 1)])).alias("bin"))
     near = left.join(right, [RID, "bin"]).withColumn("gap", F.abs(F.col("f_start") - F.col("n_start"))).filter(F.col("gap") < tol + 1e-9).select(RID, "pos", "family", "gap")
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = _greedy(rows, tol)
         out.insert(0, RID, key[0])
         return out
