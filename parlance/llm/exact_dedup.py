@@ -64,18 +64,20 @@ def hit_filter(index: DataFrame) -> DataFrame:
     )
 
 
-def _passes(bits: Column, key: Column) -> Column:
-    bit = F.pmod(_slot(key), F.lit(BITMAP_BITS))
-    byte = F.conv(F.hex(F.substring(bits, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1
+def maybe_hits(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """rows (with a key) and whether the filter of the index's hits lets them pass; no hit is missed."""
+    slot = _slot(F.col("key"))
+    bit = F.pmod(slot, F.lit(BITMAP_BITS))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    passed = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("bucket", F.floor(slot / BITMAP_BITS)).join(F.broadcast(hit_filter(index)), "bucket", "left").withColumn("maybe", passed).drop("bucket", "bits")
 
 
 def verify(entries: DataFrame, index: DataFrame) -> DataFrame:
     """Byte verification of hits: the keys that cover more than one text (none, unless digests collide).
 
     Copies collapse before the shuffle, as the whole text is a grouping key."""
-    slot = _slot(F.col("key"))
-    hits = entries.withColumn("bucket", F.floor(slot / BITMAP_BITS)).join(F.broadcast(hit_filter(index)), "bucket").filter(_passes(F.col("bits"), F.col("key")))
+    hits = maybe_hits(entries, index).filter("maybe")
     return hits.groupBy("key", "text").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1").select("key")
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import discard, fresh_path, keep, table
+from parlance.llm.exact_dedup import maybe_hits
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -35,8 +36,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write WARC files into the folder ``path``."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("bytes"))
-    firsts = rows.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
-    both = rows.join(firsts, "digest", "left")
+    firsts = rows.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    firsts = keep(firsts, "warc-firsts")
+    # a filter of fixed size keeps pages without an equal out of the join, so their payloads are not shuffled
+    marked = maybe_hits(rows.withColumn("key", F.col("digest")), firsts.select(F.col("digest").alias("key"), "n")).drop("key")
+    alone = marked.filter("not maybe").withColumn("first", F.lit(None).cast("long"))
+    both = marked.filter("maybe").join(firsts.select("digest", "first"), "digest", "left").unionByName(alone)
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     number = lambda c: F.concat(F.lit("<urn:parlance:page:"), c.cast("string"), F.lit(">"))
 
