@@ -24,6 +24,11 @@ def _order(*cols: str):
     return Window.partitionBy(*KEY).orderBy(*(cols or ("line_no",)))
 
 
+def _to(c: Column, digits: int) -> Column:
+    """Rounded with halves to even, on the double's own value as far as a product shows it."""
+    return F.rint(c * 10.0**digits) / 10.0**digits
+
+
 def explode_lines(chunks: DataFrame) -> DataFrame:
     """(…, line_no, line): lines of a chunk's text that are not blank, stripped. Columns other than text are kept."""
     rest = [c for c in chunks.columns if c != "text"]
@@ -118,9 +123,9 @@ def redistribute_times(raw: DataFrame) -> DataFrame:
     )
     scale = F.least(F.lit(1.0), F.greatest(F.lit(0.3), F.col("g_end") - F.col("g_start")) / F.col("g_need"))
     start = F.col("g_start") + F.col("before") * scale
-    end = F.round(start + F.col("need") * scale, 3)
-    end = F.when(F.col("last") & (end < F.col("g_end")), F.round("g_end", 3)).otherwise(end)
-    out = rows.withColumns({"rel": F.when(F.col("any_tight"), F.round(start, 3)).otherwise(F.col("rel")), "rel_end": F.when(F.col("any_tight"), end).otherwise(F.col("after"))})
+    end = _to(start + F.col("need") * scale, 3)
+    end = F.when(F.col("last") & (end < F.col("g_end")), _to(F.col("g_end"), 3)).otherwise(end)
+    out = rows.withColumns({"rel": F.when(F.col("any_tight"), _to(start, 3)).otherwise(F.col("rel")), "rel_end": F.when(F.col("any_tight"), end).otherwise(F.col("after"))})
     return out.select(*raw.columns)
 
 
@@ -132,7 +137,7 @@ def finalize_segments(raw: DataFrame) -> DataFrame:
     offset = F.coalesce(F.col("offset"), F.lit(0.0))
     start, stop = offset + F.col("rel"), offset + end
     stop = F.when(stop <= start, start + 1.0).otherwise(stop)
-    return raw.select(*KEY, (F.row_number().over(w) - 1).cast("long").alias("idx"), F.round(start, 2).alias("seg_start"), F.round(stop, 2).alias("seg_end"), "text", F.concat(F.col("chunk").cast("string"), F.lit(":"), F.col("cluster")).alias("cluster"))
+    return raw.select(*KEY, (F.row_number().over(w) - 1).cast("long").alias("idx"), _to(start, 2).alias("seg_start"), _to(stop, 2).alias("seg_end"), "text", F.concat(F.col("chunk").cast("string"), F.lit(":"), F.col("cluster")).alias("cluster"))
 
 
 def raw_segments(chunks: DataFrame) -> DataFrame:

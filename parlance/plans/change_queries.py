@@ -28,7 +28,7 @@ def _rosters(s, d):
 
 PARSED = """
 WITH l AS (SELECT n_regionkey AS recording_id, n_nationkey AS k, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS pos FROM nation)
-SELECT recording_id, concat('sp', lpad(CAST(pos AS VARCHAR), 2, '0')) AS speaker_id, n_name AS name, CASE k % 4 WHEN 1 THEN 'chair / talks a lot' WHEN 3 THEN 'note' ELSE '' END AS note,
+SELECT CAST(recording_id AS BIGINT) AS recording_id, concat('sp', lpad(CAST(pos AS VARCHAR), 2, '0')) AS speaker_id, n_name AS name, CASE k % 4 WHEN 1 THEN 'chair / talks a lot' WHEN 3 THEN 'note' ELSE '' END AS note,
        CAST(row_number() OVER (PARTITION BY recording_id ORDER BY pos) - 1 AS INT) AS ord FROM l WHERE k % 4 <> 2"""
 MATCHED = f"""
 wt AS ({WANTED.replace("{speakers_v} AS speakers_v", "speakers_v")})

@@ -22,7 +22,7 @@ LINES = CHUNKS + """
 , l0 AS (SELECT recording_id, chunk, length, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM chunks_v)
 , l1 AS (SELECT recording_id, chunk, length, line_no, trim(line) AS line FROM l0 WHERE trim(line) <> '')
 , l2 AS (SELECT *, regexp_matches(line, '^\\[[0-9]{1,3}:[0-9]{1,2}\\]') AS is_header FROM l1)
-, l3 AS (SELECT *, CASE WHEN is_header THEN CAST(regexp_extract(line, '^\\[([0-9]+):([0-9]+)\\]', 1) AS INT) * 60.0 + CAST(regexp_extract(line, '^\\[([0-9]+):([0-9]+)\\]', 2) AS INT) END AS rel0,
+, l3 AS (SELECT *, CASE WHEN is_header THEN CAST(regexp_extract(line, '^\\[([0-9]+):([0-9]+)\\]', 1) AS INT) * 60.0 + CAST(regexp_extract(line, '^\\[([0-9]+):([0-9]+)\\]', 2) AS DOUBLE) END AS rel0,
                 CASE WHEN is_header THEN regexp_extract(line, '【([^】]*)】', 1) END AS label, CASE WHEN is_header THEN trim(regexp_replace(line, '^\\[[0-9:]+\\] 【[^】]*】', '')) END AS body FROM l2)
 , l4 AS (SELECT *, CASE WHEN is_header THEN max(CASE WHEN NOT is_header THEN NULL WHEN length > 0 THEN least(rel0, length) ELSE rel0 END) OVER (PARTITION BY recording_id, chunk ORDER BY line_no) END AS rel FROM l3)
 , l5 AS (SELECT *, sum(CASE WHEN is_header THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id, chunk ORDER BY line_no) AS grp FROM l4)
@@ -38,8 +38,8 @@ LINES = CHUNKS + """
                 coalesce(sum(need) OVER (PARTITION BY recording_id, chunk, g ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf, lead(line_no) OVER (PARTITION BY recording_id, chunk, g ORDER BY line_no) IS NULL AS last
          FROM grp WINDOW p AS (PARTITION BY recording_id, chunk, g))
 , fit AS (SELECT *, least(1.0, greatest(0.3, g1 - g0) / gn) AS sc FROM shr)
-, red AS (SELECT recording_id, chunk, line_no, text, cluster, chunk_len, CASE WHEN hot THEN round(g0 + bf * sc, 3) ELSE rel END AS rel,
-                CASE WHEN NOT hot THEN after WHEN last AND round(g0 + bf * sc + need * sc, 3) < g1 THEN round(g1, 3) ELSE round(g0 + bf * sc + need * sc, 3) END AS rel_end FROM fit)
+, red AS (SELECT recording_id, chunk, line_no, text, cluster, chunk_len, CASE WHEN hot THEN round_even((g0 + bf * sc) * 1000, 0) / 1000 ELSE rel END AS rel,
+                CASE WHEN NOT hot THEN after WHEN last AND round_even((g0 + bf * sc + need * sc) * 1000, 0) / 1000 < g1 THEN round_even(g1 * 1000, 0) / 1000 ELSE round_even((g0 + bf * sc + need * sc) * 1000, 0) / 1000 END AS rel_end FROM fit)
 """
 
 
@@ -51,8 +51,8 @@ def _per_line(df):
     return df.select("recording_id", "chunk", "line_no", "line")
 
 
-def _at_tenths(df):
-    return df.select("recording_id", "chunk", "line_no", "cluster", F.round("rel", 2).alias("rel"), F.round("rel_end", 2).alias("rel_end"))
+def _placed(df):
+    return df.select("recording_id", "chunk", "line_no", "cluster", "rel", "rel_end")
 
 
 def _no_cap(spark, sf_dir):
@@ -149,7 +149,7 @@ QUERIES = {
     "t6_provisional_ends": lambda s, d: _raw(s, d).select("recording_id", "chunk", "line_no", "rel", "rel_end", "chunk_len"),
     "t7_merge_same_cluster": lambda s, d: _no_cap(s, d),
     "t8_t9_join_and_estimate": lambda s, d: view(s, d, "conversations").select("conv_id", "turn", F.round(columns.estimate_speech(F.col("text")), 6).alias("seconds"), F.md5(columns.join_fragments(F.array(F.lit(" a。 "), F.trim("text"), F.lit("!b"), F.lit("c"))).cast("binary")).alias("joined")),
-    "t10_redistribute_times": lambda s, d: _at_tenths(parse.redistribute_times(_raw(s, d))),
+    "t10_redistribute_times": lambda s, d: _placed(parse.redistribute_times(_raw(s, d))),
     "t11_finalize_segments": lambda s, d: parse.finalize_segments(parse.redistribute_times(_raw(s, d))).select("recording_id", "chunk", "idx", "seg_start", "seg_end", "cluster"),
     "t12_parse_transcripts": lambda s, d: parse.renumber(parse.parse_transcripts(parse.accumulate_offsets(chunks_of(s, d), 60.0))),
     "t13_accumulate_offsets": lambda s, d: parse.accumulate_offsets(chunks_of(s, d), 600.0).select("recording_id", "chunk", "offset", "length"),
@@ -172,7 +172,7 @@ QUERIES = {
 
 _ORACLES = {
     "t1_explode_lines": f"WITH {LINES} SELECT recording_id, chunk, line_no, line FROM l1",
-    "t2_match_headers": f"WITH {LINES} SELECT recording_id, chunk, line_no, is_header, rel0 AS rel, label, md5(body) AS body FROM l3",
+    "t2_match_headers": f"WITH {LINES} SELECT recording_id, chunk, line_no, is_header, CAST(rel0 AS DOUBLE) AS rel, label, md5(body) AS body FROM l3",
     "t3_normalize_labels": "SELECT conv_id, turn, concat(CASE conv_id % 6 WHEN 0 THEN '発言者' WHEN 1 THEN '話者 ' WHEN 2 THEN 'Speaker ' WHEN 3 THEN '' WHEN 4 THEN '不明' ELSE '重複' END, role) AS label, CASE conv_id % 6 WHEN 4 THEN '?' WHEN 5 THEN '*' ELSE upper(substr(role, 1, 1)) END AS cluster FROM conversations",
     "t4_attach_continuations": f"WITH {LINES} SELECT recording_id, chunk, line_no, cluster, md5(text) AS text FROM raw0",
     "t5_monotone_times": f"WITH {LINES} SELECT recording_id, chunk, line_no, rel FROM l4",
@@ -183,8 +183,8 @@ _ORACLES = {
       SELECT recording_id, chunk, min(line_no) AS line_no, any_value(cluster) AS cluster, arg_min(rel, line_no) AS rel, arg_max(rel_end, line_no) AS rel_end, CAST(sum(length(text) + comma) AS INT) AS n_chars FROM z GROUP BY recording_id, chunk, isl""",
     "t8_t9_join_and_estimate": """SELECT conv_id, turn, round(least(120.0, greatest(1.0, length(regexp_replace(text, '^[\\s　]+|[\\s　]+$', '', 'g')) / 4.5)), 6) AS seconds,
       md5(concat('a。', t, '!b、c')) AS joined FROM (SELECT *, trim(text) AS t FROM conversations)""",
-    "t10_redistribute_times": f"WITH {LINES} SELECT recording_id, chunk, line_no, cluster, round(rel, 2) AS rel, round(rel_end, 2) AS rel_end FROM red",
-    "t11_finalize_segments": f"WITH {LINES} , f AS (SELECT *, row_number() OVER w - 1 AS idx, CASE WHEN lead(line_no) OVER w IS NULL THEN greatest(rel_end, chunk_len) ELSE rel_end END AS e FROM red WINDOW w AS (PARTITION BY recording_id, chunk ORDER BY line_no)) SELECT recording_id, chunk, idx, round(rel, 2) AS seg_start, round(CASE WHEN e <= rel THEN rel + 1 ELSE e END, 2) AS seg_end, concat(chunk, ':', cluster) AS cluster FROM f",
+    "t10_redistribute_times": f"WITH {LINES} SELECT recording_id, chunk, line_no, cluster, rel, rel_end FROM red",
+    "t11_finalize_segments": f"WITH {LINES} , f AS (SELECT *, row_number() OVER w - 1 AS idx, CASE WHEN lead(line_no) OVER w IS NULL THEN greatest(rel_end, chunk_len) ELSE rel_end END AS e FROM red WINDOW w AS (PARTITION BY recording_id, chunk ORDER BY line_no)) SELECT recording_id, chunk, idx, round_even(rel * 100, 0) / 100 AS seg_start, round_even(CASE WHEN e <= rel THEN rel + 1 ELSE e END * 100, 0) / 100 AS seg_end, concat(chunk, ':', cluster) AS cluster FROM f",
     "t13_accumulate_offsets": f"WITH {CHUNKS} SELECT recording_id, chunk, coalesce(sum(len) OVER (PARTITION BY recording_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS \"offset\", greatest(1.0, len) AS length FROM (SELECT *, CASE WHEN length > 0 THEN length ELSE 600.0 END AS len FROM chunks_v)",
     "t14_renumber": "SELECT recording_id, seg_start, row_number() OVER (PARTITION BY recording_id ORDER BY chunk, idx) - 1 AS idx FROM segments_ev",
     "t15_shift_timestamps": f"""WITH {CHUNKS} SELECT recording_id, chunk, md5(string_agg(CASE WHEN hit THEN concat('[', lpad(CAST(v // 3600 AS VARCHAR), 2, '0'), ':', lpad(CAST(v % 3600 // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(v % 60 AS VARCHAR), 2, '0'), ']', substr(part, 8)) ELSE part END, chr(10) ORDER BY k)) AS digest

@@ -1,6 +1,7 @@
 """Every query of the library against its SQL in DuckDB, over the same tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 from parlance.plans import registry
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
