@@ -47,6 +47,10 @@ _BOILER_NAME = re.compile(
     r"|comments?|commentlist|replies|reply|respond|disqus\w*|discussion|responses|reactions|share|sharing|social\w*|related|recommended|recommendations|teaser\w*|outbrain|taboola|login|search|skip|legal|disclaimer|copyright|contentinfo|complementary|navigation)(?:$|[-_\s])",
     re.I,
 )
+#: Names that say what a wrapper has or lacks, names of the main content, and names of a site's head.
+_ABOUT = re.compile(r"^(?:no|with|without|has|is|layout)[-_]", re.I)
+_CONTENT_NAME = re.compile(r"^(?:(?:main|page|site|post|entry|article|story|blog|news|body)?[-_]?(?:content|body|text)|article|post|entry|hentry|story|main|main[-_]?col(?:umn)?)$", re.I)
+_HEAD_NAME = re.compile(r"^(?:(?:site|page|main|global|top)[-_]?header|header|site[-_]?title|logo|top|topnav)$", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"\w+")
@@ -62,16 +66,22 @@ class Block:
     label: bool | None = None
 
 
-def _named_boiler(attributes: str) -> bool:
+def _named(attributes: str, article: bool) -> tuple[bool, bool]:
+    """(boilerplate, main content), as an element's class, id, role and visibility say."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return False, False
+    boiler = content = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id", "role") and _BOILER_NAME.search(value):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id", "role"):
+            for word in value.split():
+                if _CONTENT_NAME.match(word):
+                    content = True
+                elif not _ABOUT.match(word) and (_BOILER_NAME.search(word) or not article and _HEAD_NAME.match(word)):
+                    boiler = True
+    return boiler and not content, content
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -146,9 +156,10 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         _, boiler, article = stack[-1] if stack else ("", False, False)
-        article = article or tag in ("article", "main")
-        whole = tag in ("html", "body", "article", "main")
-        boiler = boiler or tag in BOILER or tag == "header" and not article or not whole and _named_boiler(m[3])
+        named, content = (False, False) if tag in ("html", "body") else _named(m[3], article)
+        whole = tag in ("article", "main")
+        boiler = boiler or tag in BOILER or tag == "header" and not article or named and not whole
+        article = article or whole or content and tag in ("div", "section", "td")
         stack.append((tag, boiler, article))
         links += tag == "a"
     close_block()

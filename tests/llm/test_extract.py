@@ -25,6 +25,15 @@ def test_without_article():
     assert op.extract_text(page).split("\n")[-3:] == ["Title of it", ("this is the text of the page and it is long enough for the rule " * 4).strip(), "short one"]
 
 
+def test_named_containers():
+    """Class and id names stand in for elements; a wrapper's name that only mentions a sidebar is no sidebar."""
+    body = "this is the text of the page and it is long enough for the rule " * 3
+    page = f'''<body><div id="header"><h1>My site and all of the things that are on it for you and for the others</h1></div><div class="wrapper has-sidebar"><div class="post-content"><h2>Heading</h2><p>{body}</p><p>Tail.</p>
+    <div class="share-buttons">Share this with all of your friends</div></div><div class="sidebar"><p>{body}</p></div><div class="comments-area"><p>I liked it and it is what I was in need of, so that is that for me and for you.</p></div></div>
+    <div class="newsletter">Get it by mail</div><div class="footer">the end of it</div></body>'''
+    assert op.extract_text(page).split("\n") == ["Heading", body.strip(), "Tail."]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>a<"), (4, "u", "<article><p>only"), (4, "u", '<p class="x>broken'), (5, "u", "<article>" + "<div>" * 3000 + "deep"), (6, "u", "<script>never closed <p>x"), (7, "u", "plain &lt;text&gt; here"), (8, "u", "<article><p>" + "word " * 300_000)]
     out = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
