@@ -27,13 +27,11 @@ FROM (SELECT user_id AS recording_id, row_number() OVER (PARTITION BY user_id OR
     "speakers_v": """
 SELECT recording_id, speaker_id, concat('Name ', speaker_id) AS name, CASE WHEN speaker_id = 'sp02' THEN 'chair' ELSE '' END AS note,
        CAST(row_number() OVER (PARTITION BY recording_id ORDER BY speaker_id) - 1 AS INT) AS ord
-FROM (SELECT DISTINCT conv_id AS recording_id FROM {conversations}) AS r
-CROSS JOIN (SELECT 'sp01' AS speaker_id UNION ALL SELECT 'sp02' UNION ALL SELECT 'sp03' UNION ALL SELECT 'sp04' UNION ALL SELECT 'sp05') AS s
+FROM (""" + " UNION ALL ".join(f"SELECT DISTINCT conv_id AS recording_id, 'sp0{k}' AS speaker_id FROM {{conversations}}" for k in range(1, 6)) + """) AS s
 WHERE NOT (speaker_id = 'sp04' AND recording_id % 2 = 1)""",
     "speakers_ev": """
 SELECT recording_id, speaker_id, concat('Name ', speaker_id) AS name, '' AS note, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY speaker_id) - 1 AS INT) AS ord
-FROM (SELECT DISTINCT user_id AS recording_id FROM {events}) AS r
-CROSS JOIN (SELECT 'view' AS speaker_id UNION ALL SELECT 'click' UNION ALL SELECT 'signup' UNION ALL SELECT 'purchase') AS s""",
+FROM (""" + " UNION ALL ".join(f"SELECT DISTINCT user_id AS recording_id, '{k}' AS speaker_id FROM {{events}}" for k in ("view", "click", "signup", "purchase")) + ") AS s",
     "recordings_v": """
 SELECT conv_id AS recording_id, concat('/audio/rec', conv_id, '.wav') AS audio_path, CAST(max(turn) * 20 + 40 AS DOUBLE) AS duration, CASE WHEN conv_id % 3 = 0 THEN 0.0 ELSE CAST(conv_id % 4 AS DOUBLE) END AS time_offset,
        CASE WHEN conv_id % 2 = 0 THEN concat('sha', conv_id) ELSE '' END AS source_sha256, CASE WHEN conv_id % 3 = 1 THEN 'cloud' WHEN conv_id % 3 = 2 THEN 'local' ELSE '' END AS engine_mode,
