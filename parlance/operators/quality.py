@@ -34,10 +34,8 @@ def classify_errors(log: DataFrame, msg_col: str = "message") -> DataFrame:
     """error_class: depleted, quota or auth (fatal, in this order), else retryable; rate_limited: worth a long wait."""
     text = F.lower(F.coalesce(F.col(msg_col), F.lit("")))
     any_of = lambda keys: F.exists(F.array(*map(F.lit, keys)), lambda k: F.contains(text, k))
-    kind = F
-    for name, keys in FATAL.items():
-        kind = kind.when(any_of(keys), name)
-    return log.withColumns({"error_class": kind.otherwise("retryable"), "rate_limited": any_of(RATE_LIMITED)})
+    kinds = [F.when(any_of(keys), name) for name, keys in FATAL.items()]
+    return log.withColumns({"error_class": F.coalesce(*kinds, F.lit("retryable")), "rate_limited": any_of(RATE_LIMITED)})
 
 
 def retry_schedule(failures: DataFrame) -> DataFrame:
