@@ -10,19 +10,21 @@ from parlance.plans.views import view, with_views
 RID = "recording_id"
 
 
-def words_of(s, d):
-    """One word for each of the first 60 letters of a turn, a tenth of a second each."""
+def words_of(s, d, first=None):
+    """One word for each letter of a turn: an eighth of a second each, or less where the turn would last over 7.5 seconds.
+    With ``first`` only that many letters of each turn, as the SQL of the track has it."""
     turns = alignment.normalize_corpus(view(s, d, "conversations").select("conv_id", "turn", "text"))
-    chars = turns.select(F.col("conv_id").alias(RID), "turn", F.posexplode(F.split(F.substring("norm", 1, 60), "")).alias("k", "text")).filter("text <> ''")
-    at = F.col("turn") * 20 + F.col("k") * 0.125
-    return chars.select(RID, "text", at.cast("double").alias("start"), (at + 0.125).cast("double").alias("end"))
+    norm = F.substring("norm", 1, first) if first else F.col("norm")
+    chars = turns.select(F.col("conv_id").alias(RID), "turn", F.greatest(F.char_length(norm), F.lit(60)).alias("n"), F.posexplode(F.split(norm, "")).alias("k", "text")).filter("text <> ''")
+    at = lambda k: F.col("turn") * 20 + k * F.lit(7.5) / F.col("n")
+    return chars.select(RID, "text", at(F.col("k")).cast("double").alias("start"), at(F.col("k") + 1).cast("double").alias("end"))
 
 
 def drifted(s, d):
     """Segments of the same letters, all but the first of a recording 7 seconds late."""
     turns = alignment.normalize_corpus(view(s, d, "conversations").select("conv_id", "turn", "text"))
     start = F.col("turn") * 20 + F.when(F.col("turn") > 0, 7).otherwise(0)
-    return turns.select(F.col("conv_id").alias(RID), F.col("turn").alias("idx"), F.substring("norm", 1, 60).alias("text"), start.cast("double").alias("now_start"), (start + 8).cast("double").alias("now_end"))
+    return turns.select(F.col("conv_id").alias(RID), F.col("turn").alias("idx"), F.col("norm").alias("text"), start.cast("double").alias("now_start"), (start + 8).cast("double").alias("now_end"))
 
 
 def _runs(s, d):
@@ -50,7 +52,7 @@ _CHARS = f"n AS (SELECT conv_id AS recording_id, turn, left({_NORM}, 60) AS h FR
 
 QUERIES = {
     "n1_normalize_corpus": lambda s, d: alignment.normalize_corpus(view(s, d, "conversations")).select("conv_id", "turn", F.md5(F.col("norm").cast("binary")).alias("norm"), F.size("origin").alias("n")),
-    "n2_build_track": lambda s, d: alignment.build_track(words_of(s, d)),
+    "n2_build_track": lambda s, d: alignment.build_track(words_of(s, d, first=60)),  # its SQL has 60 letters of a turn
     "n3_anchor_runs": _runs,
     "n5_measure_segments": _measured,
     "n6_contamination_rate": lambda s, d: alignment.contamination_rate(view(s, d, "documents"), view(s, d, "benchmark")).select("doc_id", "item_id", F.round("coverage", 6).alias("coverage")),

@@ -100,3 +100,24 @@ def test_drift_is_found(spark, sf_dir):
     rows = align_queries.QUERIES["n5_measure_segments"](spark, sf_dir).collect()
     assert len(rows) > 0.9 * view(spark, sf_dir, "conversations").count()
     assert sum(r.m_start == r.idx * 20 for r in rows) > 0.9 * len(rows)
+
+
+def test_letters_after_the_sixtieth_take_part(spark, tmp_path):
+    """Runs and measurements of turns of 10 to 300 letters against plain Python over the whole texts; turns do not overlap."""
+    rng = random.Random(7)
+    turns = [(c, t, "user", "".join(rng.choice("abcdefghij") for _ in range(n))) for c in range(3) for t, n in enumerate([10, 61, 300, 150, 0])]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    words = align_queries.words_of(spark, str(tmp_path)).collect()
+    texts = {(c, t): x for c, t, _, x in turns}
+    assert len(words) == sum(map(len, texts.values())) and all(w.end <= w.start // 20 * 20 + 7.5 + 1e-9 for w in words)
+    got = {(r.recording_id, r.idx): r for r in align_queries.QUERIES["n5_measure_segments"](spark, str(tmp_path)).collect()}
+    longest = {(r.recording_id, r.idx): r.longest for r in align_queries.QUERIES["n3_anchor_runs"](spark, str(tmp_path)).collect()}
+    full = {k for k, x in texts.items() if x}
+    assert got.keys() == full and all(longest[k] == len(texts[k]) for k in full)
+    for c in range(3):
+        chars = [(w.text, w.start, w.end) for w in sorted((w for w in words if w.recording_id == c), key=lambda w: w.start)]
+        spans = [(texts[c, t], t * 20 + 7.0 * (t > 0), t * 20 + 7.0 * (t > 0) + 8) for t in range(5)]
+        for t, m in enumerate(slow_sweep(spans, chars)):
+            if m:
+                r = got[c, t]
+                assert (r.matched, r.total) == (m[3], len(texts[c, t])) and abs(r.coverage - m[2]) < 1e-6 and abs(r.m_start - m[0]) < 1e-3
