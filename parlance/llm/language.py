@@ -1,7 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
 Evidence: the text (hashed byte trigrams against each language's frequencies), the language that the markup declares, the
-address suffix, and a prior of the host. Text frequencies are learned from labelled rows; the other three from the
+address suffix, and a prior of the host. The declared language is that of a page's first html tag outside comments, wherever it starts. Text frequencies are learned from labelled rows; the other three from the
 votes of confident texts by grouped aggregation: how often each language is declared as what, how the
 suffixes of each language are spread, and how often a host has each language, smoothed towards its domain
 and that towards the whole table. A row's own vote is taken out of its host's and domain's counts. A background class of evenly spread
@@ -33,6 +33,8 @@ UNKNOWN = "und"
 #: Trigrams overlap: each byte is seen by three of them.
 TEMPER = 1 / 3
 HOST_WEIGHT, DOMAIN_WEIGHT = 5.0, 20.0
+#: A comment of a page, up to the end of the page if it is not closed.
+COMMENT = r"(?s)<!--(?:-?>|.*?(?:--!?>|\z))"
 _LETTER = np.array([(65 <= b <= 90) or (97 <= b <= 122) or b >= 128 for b in range(256)])
 
 
@@ -203,7 +205,8 @@ def of_documents(docs: DataFrame, model: TextModel, min_posterior: float = 0.4)
 
 def of_pages(pages: DataFrame, model: TextModel, min_posterior: float = 0.4) -> DataFrame:
     host = F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)
-    declared = F.regexp_extract(F.substring("html", 1, 4096), "(?i)<html[^>]*\\slang\\s*=\\s*[\"']?([A-Za-z-]+)", 1)
+    tag = F.regexp_extract(F.regexp_replace("html", COMMENT, " "), "(?i)<html(?=[\\s/>])[^>]*", 0)  # the first one, wherever it starts
+    declared = F.regexp_extract(tag, "(?i)\\slang\\s*=\\s*[\"']?([A-Za-z-]+)", 1)
     return identify(pages, model, ["page_id"], F.col("html"), F.when(host != "", host), declared, html=True, min_posterior=min_posterior)
 
 

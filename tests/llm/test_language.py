@@ -67,3 +67,15 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame([(None, None, None), (1, "no url", "<p>the cat"), (1, "http://a.b.fr/x", "<html lang=fr><p>le chat"), (2, "http://x", "")], "page_id long, url string, html string")
     assert len(op.of_pages(pages, op.train(documents(spark, TEACH))).collect()) == 4
     assert op.keep_identified(docs).columns == docs.columns
+
+
+def test_declaration_is_read_wherever_the_tag_starts(spark):
+    """Clear pages teach what is declared; of the others only the declaration tells the language, after up to 20000 characters."""
+    model = op.train(documents(spark, TEACH))
+    fronts = ["", "<!-- <html lang=en> <html lang=fr> " + "licence " * 2500 + "-->", " " * 20_000, "<!-- a -->" + "\n" * 9_000 + "<!-- b -->"]
+    clear = [(1000 + k, None, f"<html lang={lang}><p>{text}") for k, (_, text, lang, *_) in enumerate(TEACH)]
+    bare = [(10 * k + j, None, f"{front}<html class=a lang='{lang}'><p>the dog le chien<html lang=de>") for k, front in enumerate(fronts) for j, lang in enumerate(["en", "fr"])]
+    got = {r.page_id: r for r in op.of_pages(spark.createDataFrame(clear + bare, "page_id long, url string, html string"), model).collect()}
+    for k in range(len(fronts)):
+        assert [got[10 * k + j].language for j in range(2)] == ["en", "fr"]
+        assert [got[10 * k + j].posterior for j in range(2)] == pytest.approx([got[j].posterior for j in range(2)], abs=1e-9)
