@@ -2,16 +2,14 @@
 
 Model: for every context of up to ``order`` bytes (a document starts in a context of boundary symbols and ends with one) the
 counts of the symbols that followed it in the training texts. A symbol is predicted in its longest known
-context; if it was not seen there, an escape (method D: half a count from each symbol seen, plus what
-pruning took from the context) leads to the context one byte shorter, in which the symbols of the longer one are excluded,
+context; if it was not seen there, an escape (method D: half a count from each symbol seen) leads to the context one byte shorter, in which the symbols of the longer one are excluded,
 down to a uniform choice of what is left. The score of a text is the sum of log10 probabilities of its symbols,
-lower-cased A-Z. As the model does not change while scoring, every step's logarithm is precomputed and a
-block of text is scored level by level with array look-ups.
+lower-cased A-Z. Nothing is pruned. A symbol's probability depends only on its gram, the symbol with its longest context, and the model does not
+change while scoring, so every gram is priced once: c - 1/2 of its context's count if it was seen in training, else by the
+escapes, which need only the tables of the contexts that unseen grams have.
 
-Bounds: an entry of the trie is kept if it carries at least 1 / 2**``share_bits`` of all training symbols, at every corpus size, so
-each order holds at most 2**share_bits entries (2**20: at most 100 MB are sent to the tasks). The word counts
-of the base score are split by the same kind of rule: words with at least 1 / 2**17 of all tokens (at most 131072) are
-sent to the tasks, all others are looked up by a shuffled join.
+Bounds: grams with at least 1 / 2**``gram_bits`` of all training symbols (2**21: at most 2 million) and words with at least 1 / 2**17
+of all tokens (at most 131072) are sent to the tasks; all others are counted by row and looked up by a shuffled join.
 
 Defined cases: null text is empty (one end token, one boundary symbol); null ids have remainder crc32('') and are
 training rows or not like others; rows that repeat are trained and scored each; with no training rows every symbol
@@ -25,14 +23,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import crc_remainder, keep, table, text_bytes
 
 EDGE, BITS = 256, 9  # the boundary symbol; bits of a symbol in a key
 CHUNK = 1 << 19
-HEAD_BITS = 17
+HEAD_BITS, GRAM_BITS = 17, 21
 #: What each symbol seen in a context gives up for the escape.
 DISCOUNT = 0.5
 #: Distinct keys a task holds before it hands them on.
@@ -168,7 +166,7 @@ class Table:
 
 
 class Model:
-    """The trie with all logarithms. levels[d]: (keys, counts) of contexts of d symbols with the symbol that follows."""
+    """A trie in arrays with all logarithms, for one process. levels[d]: (keys, counts) of contexts of d symbols with the symbol that follows."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], total: int, texts: int):
         self.order = len(levels) - 1
@@ -259,37 +257,99 @@ class Model:
         return total
 
 
-def trie(grams: DataFrame, order: int, share_bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
-    """Levels of the pruned trie, the number of training symbols, and of training texts."""
-    sums = grams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("gram") % (1 << BITS) == EDGE, F.col("n"))), F.lit(0))).first()
-    least = max(1, math.ceil(sums[0] / 2**share_bits))
-    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("gram").bitwiseAND(F.lit((1 << (BITS * (d + 1))) - 1)).alias("key")) for d in range(order + 1)]))
-    kept = grams.select(levels.alias("l"), "n").groupBy("l.d", "l.key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    got = kept.toArrow()  # at most (order + 1) * 2**share_bits rows
-    d, key, n = (got.column(k).to_numpy() for k in range(3))
-    return [(key[d == k], n[d == k]) for k in range(order + 1)], int(sums[0]), int(sums[1])
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, order: int = 5, share_bits: int = 20, head_bits: int = HEAD_BITS) -> DataFrame:
+def _low(key: str, symbols: int) -> Column:
+    """The last ``symbols`` symbols of a key."""
+    return F.col(key).bitwiseAND(F.lit((1 << (BITS * symbols)) - 1))
+
+
+def seen_prices(grams: DataFrame) -> DataFrame:
+    """(gram, n, price): log10 probability of each gram of the training texts."""
+    whole = F.sum("n").over(Window.partitionBy(F.shiftright("gram", BITS)))
+    return grams.select("gram", "n", (F.log10(F.col("n") - DISCOUNT) - F.log10(whole)).alias("price"))
+
+
+def unseen_prices(unseen: DataFrame, grams: DataFrame, order: int) -> DataFrame:
+    """(gram, price) of grams that are not in the training texts, by escapes to shorter contexts.
+
+    Of a context of d symbols, w{d} is its count, k{d} the number of its symbols, and v{d} what these have in the context one symbol
+    shorter, where they are excluded: w{d-1} - v{d} is what a symbol has to be drawn from there. n{d} is the count of the gram's own symbol."""
+    bounded = lambda df, symbols: F.broadcast(df) if symbols <= 2 else df  # noqa: E731  # 257 ** 2 rows at most
+    levels = {order: grams.select(F.col("gram").alias("key"), "n")}
+    for d in range(order - 1, -1, -1):
+        levels[d] = keep(levels[d + 1].groupBy(_low("key", d + 1).alias("key")).agg(F.sum("n").alias("n")), "ppm-level")
+    root = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("w0"), F.count("*").alias("k0")).first()
+    wide = unseen.select("gram", F.lit(root.w0).alias("w0"), F.lit(root.k0).alias("k0"))
+    for d in range(order + 1):
+        own = levels[d].select(F.col("key").alias(f"key{d}"), F.col("n").alias(f"n{d}"))
+        wide = wide.withColumn(f"key{d}", _low("gram", d + 1)).join(bounded(own, d + 1), f"key{d}", "left")
+        if d:
+            asked = unseen.select(F.shiftright(_low("gram", d + 1), BITS).alias("context")).distinct()
+            theirs = levels[d].withColumn("context", F.shiftright("key", BITS)).join(bounded(asked, d), "context", "left_semi")
+            shorter = levels[d - 1].select(F.col("key").alias("_low"), F.col("n").alias("v"))
+            sums = theirs.withColumn("_low", _low("key", d)).join(bounded(shorter, d), "_low").groupBy("context").agg(F.sum("n").alias(f"w{d}"), F.count("*").alias(f"k{d}"), F.sum("v").alias(f"v{d}"))
+            wide = wide.withColumn("context", F.shiftright(f"key{d}", BITS)).join(bounded(sums, d), "context", "left").drop("context")
+        wide = keep(wide.drop(f"key{d}"), "ppm-unseen")
+
+    price = F.lit(-math.log10(max(1, EDGE + 1 - root.k0)))
+    log = lambda x: F.log10(F.greatest(x, F.lit(1e-300)))
+    for d in range(order + 1):  # the price at this level, if all longer contexts lack the symbol
+        n, w, k = (F.col(f"{x}{d}") for x in "nwk")
+        first = F.when(n.isNotNull(), log(n - DISCOUNT) - log(w)).when(w > 0, log(DISCOUNT * k) - log(w) + price).otherwise(price)
+        if d < order:
+            left = w - F.col(f"v{d + 1}")
+            after = F.when(n.isNotNull(), log(n - DISCOUNT) - log(left)).when(left > 0, log(DISCOUNT * (k - F.col(f"k{d + 1}"))) - log(left) + price).otherwise(price)
+            first = F.when(F.col(f"w{d + 1}") > 0, after).otherwise(first)
+        wide = wide.withColumn(f"price{d}", first)
+        price = F.col(f"price{d}")
+    return wide.select("gram", price.alias("price"))
+
+
+def _common_scores(texts: list[bytes], order: int, priced: Table, prices: np.ndarray, kind: pa.DataType) -> tuple[pa.Array, pa.Array]:
+    """The sum over each text's symbols whose gram is priced, and the other grams with their numbers in the text."""
+    total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    grams, tfs = [], []
+    for symbols, scored, row in pieces(texts, order):
+        keys, row = keys_of(symbols, order)[scored], row[scored]
+        at = priced.find(keys)
+        hit = at >= 0
+        total += np.bincount(row[hit], weights=prices[at[hit]], minlength=len(texts))
+        keys, row = keys[~hit], row[~hit]
+        by = np.lexsort((keys, row))
+        keys, row = keys[by], row[by]
+        first = np.nonzero(np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])]))[0]
+        grams.append(keys[first]), tfs.append(np.diff(first, append=len(keys)).astype(np.int32))
+        size += np.bincount(row[first], minlength=len(texts))
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, tfs)]
+    values = pa.StructArray.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int32())], fields=list(kind.value_type))
+    ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+    return pa.array(total), pa.ListArray.from_arrays(ends, values, type=kind)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, order: int = 5, gram_bits: int = GRAM_BITS, head_bits: int = HEAD_BITS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), (crc_remainder(F.col(id_col), modulus) == held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     counts = keep(gather(rows.filter("not held_out").select("text"), "text", order), "ppm-counts")
-    levels, symbols, texts = trie(counts.filter("gram is not null").select("gram", "n"), order, share_bits)
+    grams = keep(seen_prices(counts.filter("gram is not null").select("gram", "n")), "ppm-prices")
+    sums = grams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("gram") % (1 << BITS) == EDGE, F.col("n"))), F.lit(0))).first()
+    symbols, texts = int(sums[0]), int(sums[1])
+    common = max(1, math.ceil(symbols / 2**gram_bits))
+    gram_rows = grams.filter(F.col("n") >= common).select("gram", "price").toArrow()  # at most 2**gram_bits grams
     words = counts.filter("word is not null").select("word", F.col("n").alias("c"))
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(sums[0]) + texts, int(sums[1]) + (texts > 0)  # every training text has one end token
     share = max(1, math.ceil(n / 2**head_bits))
     head_rows = words.filter(F.col("c") >= share).toArrow()  # at most 2**head_bits words
     head = dict(zip(head_rows.column(0).to_pylist(), head_rows.column(1).to_pylist()))
-    shared = context.broadcast((levels, symbols, texts, head))
+    shared = context.broadcast((gram_rows.column(0).to_numpy(), gram_rows.column(1).to_numpy(), head))
     below = math.log10(n + v + 1)
     end_known, end_part = int(texts > 0), math.log10(texts + 1)
+    rest_type = pa.list_(pa.struct([("gram", pa.int64()), ("tf", pa.int32())]))
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
 
     def run(batches):
-        levels, symbols, texts, head = shared.value
-        model = Model(levels, symbols, texts)
+        keys, prices, head = shared.value
+        priced = Table(keys)
         logs = {w: math.log10(c + 1) for w, c in head.items()}
         for batch in batches:
             low = [t.lower() for t in text_bytes(batch.column(2))]
@@ -308,19 +368,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
                 base.append(total)
                 tails.append(rest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model.score(low), pa.float64()), pa.array(tails, tail_type)],
-                names=["id", "held_out", "n_tokens", "known", "base", "score", "tail"],
+                [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), *_common_scores(low, order, priced, prices, rest_type), pa.array(tails, tail_type)],
+                names=["id", "held_out", "n_tokens", "known", "base", "score", "rest", "tail"],
             )
 
     kind = dict(docs.dtypes)[id_col]
-    layout = f"id {kind}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word binary, tf int>>"
+    layout = f"id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<gram long, tf int>>, tail array<struct<word binary, tf int>>"
     scored = keep(rows.mapInArrow(run, layout).withColumn("row", F.monotonically_increasing_id()), "ppm-scores")
     tails = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.tf")
     rare = words.filter(F.col("c") < share)
     found = tails.join(rare, "word").groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("part"))
-    return scored.drop("tail").join(found, "row", "left").select(
+    lacking = scored.select("row", "held_out", F.explode("rest").alias("r")).select("row", "held_out", "r.gram", "r.tf")
+    uncommon = grams.filter(F.col("n") < common).select("gram", "price")
+    # grams of training rows are all known
+    unseen = keep(lacking.filter("held_out").select("gram").distinct().join(uncommon, "gram", "left_anti"), "ppm-unseen-grams")
+    every = uncommon.unionByName(unseen_prices(unseen, grams.select("gram", "n"), order))
+    added = lacking.join(every, "gram").groupBy("row").agg(F.sum(F.col("tf") * F.col("price")).alias("added"))
+    return scored.drop("tail", "rest").join(found, "row", "left").join(added, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("part", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("part", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score"),
     )
 
 

@@ -116,3 +116,21 @@ def test_rows(spark, head_bits):
 def test_beats_the_base_on_held_out_text(spark):
     rows = op.query(spark, "/root/testdata/sf0.1").filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+@pytest.mark.parametrize("gram_bits", [21, 4, 0])
+def test_rare_contexts_are_not_dropped(spark, gram_bits):
+    """Nearly all grams are looked up by the join; scores equal the dictionaries of the whole model."""
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("abcdef ") for _ in range(rng.randrange(40))), "en", "s", 1) for k in range(150)]
+    rows += [(200 + k, f"é {k} zq" * (k % 3), "en", "s", 1) for k in range(40)] + [(None, "only", "en", "s", 1)]
+    out = op.score(documents(spark, rows), order=3, gram_bits=gram_bits).collect()
+    slow = Slow([t.encode() for i, t, *_ in rows if remainder(i) != 2], 3)
+    want = {i: slow.score(t.encode()) for i, t, *_ in rows}
+    assert len(out) == len(rows) and sum(r.held_out for r in out) > 15
+    assert [r.score for r in out] == pytest.approx([want[r.doc_id] for r in out], abs=1e-6)
+
+
+def test_no_training_rows(spark):
+    held = [(k, "ab", "en", "s", 1) for k in range(60) if remainder(k) == 2]
+    assert [r.score for r in op.score(documents(spark, held)).collect()] == pytest.approx([-3 * math.log10(257)] * len(held))
