@@ -7,8 +7,8 @@ suffixes of each language are spread, and how often a host has each language, sm
 and that towards the whole table. A row's own vote is taken out of its host's and domain's counts. A background class of evenly spread
 trigrams stands for texts in none of the languages.
 
-Bounds: languages with at least 1/256 of the labelled rows (at most 256) by 2**15 columns; suffixes with at least 1/1024
-of the rows (at most 1024), the rest share a class. Hosts are joined, not broadcast.
+Every labelled language is learned, however few its rows: the model has 2**15 columns for each, so its size (256 KB a language)
+follows the number of languages, not that of rows. Hosts and suffixes are joined, not broadcast; a suffix without votes is a class of its own.
 
 Rejected are texts without a letter, texts for which the background wins, and those whose best posterior is under ``min_posterior``.
 
@@ -29,6 +29,8 @@ from parlance.llm.common import crc_remainder, keep, table, text_bytes
 
 COLUMNS = 1 << 15
 CHUNK = 1 << 20
+#: Languages whose counts a task holds before it hands them on.
+HELD = 256
 UNKNOWN = "und"
 #: Trigrams overlap: each byte is seen by three of them.
 TEMPER = 1 / 3
@@ -67,20 +69,26 @@ class TextModel:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:
     """Frequencies from all labelled rows, added up per task before they are shuffled."""
     labelled = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = {r.lang: r.n for r in sizes.filter(F.col("n") * 256 >= total).orderBy("lang").collect()}  # at most 256
+    rows = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}  # one a language
     languages = list(rows)
 
     def run(batches):
-        sums = {lang: np.zeros(COLUMNS) for lang in languages}
+        sums: dict[str, np.ndarray] = {}
+
+        def out():
+            for lang, counts in sums.items():
+                at = np.nonzero(counts)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at].astype(np.int64))], names=["lang", "col", "n"])
+            sums.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                if lang in sums:
-                    sums[lang] += trigram_counts(text)
-        for lang, counts in sums.items():
-            at = np.nonzero(counts)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at].astype(np.int64))], names=["lang", "col", "n"])
+                if lang not in sums:
+                    if len(sums) >= HELD:
+                        yield from out()
+                    sums[lang] = np.zeros(COLUMNS)
+                sums[lang] += trigram_counts(text)
+        yield from out()
 
     counts = np.zeros((len(languages), COLUMNS))
     if languages:
@@ -121,7 +129,7 @@ def _text_rows(docs: DataFrame, model, html: bool) -> DataFrame:
 
 
 def _votes(df: DataFrame, by: list[str], out: str) -> DataFrame:
-    """Votes by language of each group, as a map of at most 256 entries."""
+    """Votes by language of each group, as a map of at most one entry a language."""
     return df.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias(out))
 
 
@@ -145,12 +153,14 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
     total = np.zeros(len(languages))
     for r in hosts.groupBy("vote").agg(F.sum("n").alias("n")).collect():
         total[r.vote] = r.n
-    number = max(1, int(total.sum()))
     known = F.when(F.col("declared").isin(languages), F.col("declared")).when(F.col("declared") != "", F.lit("other"))
     declarations = {(r.d, r.vote): r.n for r in voted.groupBy(known.alias("d"), "vote").agg(F.count("*").alias("n")).filter("d is not null").collect()}
-    wide = voted.filter("suffix is not null").groupBy("suffix").agg(F.count("*").alias("n")).filter(F.col("n") * 1024 >= number)
-    suffixes = [r.suffix for r in wide.collect()]  # at most 1024
-    spread = {(r.s, r.vote): r.n for r in voted.filter("suffix is not null").groupBy(F.when(F.col("suffix").isin(suffixes), F.col("suffix")).otherwise("").alias("s"), "vote").agg(F.count("*").alias("n")).collect()}
+    suffixes = keep(voted.filter("suffix <> ''").groupBy("suffix", "vote").agg(F.count("*").alias("n")), "language-suffixes")
+    by_suffix = _votes(suffixes, ["suffix"], "suffix_votes")
+    # half a count for each suffix and for those without votes
+    spread = np.full(len(languages), (suffixes.select("suffix").distinct().count() + 1) / 2)
+    for r in suffixes.groupBy("vote").agg(F.sum("n").alias("n")).collect():
+        spread[r.vote] += r.n
 
     def logs(counts: dict, values: list[str]) -> dict[str, np.ndarray]:
         """log P(value | language) with half a count added; the background has the mean of all languages."""
@@ -159,7 +169,6 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
         return {v: np.append(x, x.mean()) for v, x in zip(values, out)}
 
     by_declared = logs(declarations, [*languages, "other"])
-    by_suffix = logs(spread, [*suffixes, ""])
     overall = (total + 1) / (total + 1).sum() if len(languages) else total
     names = [*ids, "text_language", "language", "posterior", "rejected"]
     kinds = dict(docs.dtypes)
@@ -177,7 +186,7 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
         for batch in batches:
             first, best, post, bad = [], [], [], []
             n = len(ids)
-            for ll, own, decl, suffix, hv, dv in zip(*(batch.column(n + k).to_pylist() for k in range(6))):
+            for ll, own, decl, suffix, hv, dv, sv in zip(*(batch.column(n + k).to_pylist() for k in range(7))):
                 if ll is None or not languages:
                     first.append(UNKNOWN), best.append(UNKNOWN), post.append(0.0), bad.append(True)
                     continue
@@ -188,13 +197,17 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
                 if decl:
                     log = log + by_declared[decl if decl in by_declared else "other"]
                 if suffix:
-                    log = log + by_suffix[suffix if suffix in by_suffix else ""]
+                    counts = np.full(len(languages), 0.5)
+                    for j, m in sv or ():
+                        counts[j] += m
+                    x = np.log(counts / spread)
+                    log = log + np.append(x, x.mean())
                 p = _spread(log)
                 k = int(p.argmax())
                 best.append(every[k]), post.append(float(p[k])), bad.append(k == len(languages) or p[k] < min_posterior)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(first, pa.string()), pa.array(best, pa.string()), pa.array(post, pa.float64()), pa.array(bad, pa.bool_())], names=names)
 
-    joined = rows.join(by_host, "host", "left").select(*ids, "lls", "vote", "declared", "suffix", "host_votes", "domain_votes")
+    joined = rows.join(by_host, "host", "left").join(by_suffix, "suffix", "left").select(*ids, "lls", "vote", "declared", "suffix", "host_votes", "domain_votes", "suffix_votes")
     return joined.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in ids), "text_language string, language string, posterior double, rejected boolean"]))
 
 

@@ -79,3 +79,23 @@ def test_declaration_is_read_wherever_the_tag_starts(spark):
     for k in range(len(fronts)):
         assert [got[10 * k + j].language for j in range(2)] == ["en", "fr"]
         assert [got[10 * k + j].posterior for j in range(2)] == pytest.approx([got[j].posterior for j in range(2)], abs=1e-9)
+
+
+def test_rare_languages_and_suffixes_are_kept(spark):
+    """Two rows of 902 are in a third language; its suffix has 2 of 1502 votes and is told from suffixes without votes."""
+    rare = "zwei katzen und zwölf hunde wohnen in diesem großen haus"
+    teach = [(k, t, lang, f"s{k % 3}", 1) for k in range(450) for t, lang in [("the cat and the dog of the house", "en"), ("le chat et le chien de la maison", "fr")]]
+    teach += [(9000 + k, rare, "de", "s", 1) for k in range(2)]
+    model = op.train(documents(spark, teach))
+    assert model.languages == ["de", "en", "fr"]
+    texts = [("the cat and the dog of the house", "a.com")] * 1500 + [(rare, "b.de")] * 2 + [("the dog le chien", "c.de"), ("the dog le chien", "c.qq")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(texts)], "doc_id long, text string, h string")
+    got = {r.doc_id: r for r in op.identify(df, model, ["doc_id"], F.col("text"), F.col("h"), F.lit(None)).filter("doc_id >= 1500").collect()}
+    assert all(got[k].language == "de" and not got[k].rejected for k in (1500, 1501))
+    votes = {"com": np.array([0, 1500, 0]), "de": np.array([2, 0, 0]), "qq": np.zeros(3)}
+    overall = (np.array([2, 1500, 0]) + 1) / 1505
+    for k, suffix in [(1502, "de"), (1503, "qq")]:
+        x = np.log((votes[suffix] + 0.5) / (sum(votes.values()) + 1.5))
+        domain = (op.DOMAIN_WEIGHT * overall) / op.DOMAIN_WEIGHT
+        p = op._spread(model.likelihoods(b"the dog le chien") + np.append(np.log(domain), np.log(1e-3)) + np.append(x, x.mean()))
+        assert got[k].posterior == pytest.approx(p.max(), abs=1e-9)
