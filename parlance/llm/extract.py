@@ -1,19 +1,28 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. First pass: blocks inside boilerplate (navigation, footers, asides,
-forms, and elements whose class, id or role says so) are bad; others are decided by stop-word density, length and link density,
-or stay ambiguous when short. Second pass: an ambiguous block takes the label of the nearest decided block of
-its region (the article, or the page around it), at equal distance the later one for headings and the earlier one for others; a region without
-a decided block is good inside an article and bad beside one. Where a page has an article, what lies outside it is bad.
+A page is cut into blocks at block-level tags. What elements mark as boilerplate (navigation, footers, asides, forms, hidden parts,
+site headers, and wrappers whose class, id or role names one of these) is left out while reading.
+
+First pass: each other block is good, bad or ambiguous by its text alone. Link density over LINK_DENSITY is bad; long
+blocks are good with stop words and bad without; middling ones need more stop words, else they are ambiguous, and so are short ones.
+On a page whose words are hardly ever stop words (another language) length and link density decide alone.
+Second pass: an ambiguous block takes the label of the nearest decided block, at equal distance the later one for headings and the
+earlier one for others; without any decided block it is good.
+
+An article (or main) element is evidence: if it has at least half of the good text of the page, what lies outside it is bad, and
+blocks inside it that are bad by their text (lists of sources, code, names) become ambiguous, as nothing in it but marked
+boilerplate may go. If it has less (a page of teasers), blocks are judged as if it were not there.
 
 Defined cases: null html has no text; a page without any block gives an empty string; unclosed and mismatched tags are
-tolerated; rows are independent, so null or repeated ids and urls pass through; further columns are ignored.
+tolerated, and a page is read in time linear in its length however broken it is; texts of any length are read whole; rows are independent,
+so null or repeated ids and urls pass through; further columns are ignored, names that clash included; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,40 +41,65 @@ STOP_WORDS = frozenset(
     al como con de del el ella en es esta este fue ha la las lo los más no o para pero por que se sin sobre su sus un una y
     che di e il non per sono una della dei con gli le""".split()
 )
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "title", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "template", "iframe", "title", "noembed", "noframes"}
 CONTROLS = {"form", "select", "button", "textarea", "fieldset", "datalist", "dialog", "label", "option"}
 BOILER = {"nav", "footer", "aside", "menu", "head"} | CONTROLS
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: A start tag of the first column ends an open element of the second, as browsers do.
+#: Start tags that end an open paragraph, and the open element that a start tag ends, as browsers do; lists and tables bound the search.
 ENDS_P = BLOCK - {"html", "head", "body", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "caption", "legend", "summary", "figcaption"}
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"li": "li", "dt": "dd", "dd": "dd", "td": "td", "th": "td", "tr": "tr", "option": "option"}
+BOUNDS = {"ul", "ol", "dl", "table", "select"}
 
-_BOILER_NAME = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar\w*|side|aside|rail|widget\w*|footer\w*|masthead|topbar|toolbar"
-    r"|comments?|commentlist|replies|reply|respond|disqus\w*|discussion|responses|reactions|share|sharing|social\w*|related|recommended|recommendations|teaser\w*|outbrain|taboola|login|search|skip|legal|disclaimer|copyright|contentinfo|complementary|navigation)(?:$|[-_\s])",
-    re.I,
-)
+#: Kinds of boilerplate as wrappers are named, and words around them that only say what the wrapper is.
+_KINDS = set("ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside rail widget widgets footer masthead topbar toolbar comment comments commentlist replies respond disqus share sharing social related recommended recommendations teaser teasers legal login search disclaimer copyright contentinfo complementary".split())
+_WRAPPERS = set("area bar block body box button buttons container content group heading holder inner item items left right top bottom main meta primary secondary links link list outer panel posts region row section site slot stories text title unit wrap wrapper zone page global form and the".split())
 #: Names that say what a wrapper has or lacks, names of the main content, and names of a site's head.
 _ABOUT = re.compile(r"^(?:no|with|without|has|is|layout)[-_]", re.I)
 _CONTENT_NAME = re.compile(r"^(?:(?:main|page|site|post|entry|article|story|blog|news|body)?[-_]?(?:content|body|text)|article|post|entry|hentry|story|main|main[-_]?col(?:umn)?)$", re.I)
 _HEAD_NAME = re.compile(r"^(?:(?:site|page|main|global|top)[-_]?header|header|site[-_]?title|logo|top|topnav)$", re.I)
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[^<]+|<""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[^<]+""", re.S)
+#: For the rest of a page in which a quote is never closed: a tag ends at the first ">".
+_PLAIN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+""", re.S)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_TAG = re.compile(r"</?[a-zA-Z]")
 _WORD = re.compile(r"\w+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @dataclass
 class Block:
     text: str
     linked: int  # code points inside links
-    boiler: bool
     article: bool
     heading: bool
     label: bool | None = None
 
 
+@dataclass
+class _Open:
+    """An open block-level element: what holds for the text inside it."""
+
+    tag: str
+    boiler: bool
+    article: bool
+    heading: bool
+    linked: bool  # a link around it
+    ends: dict  # place in the stack of the elements that a start tag may end
+    links: int = 0  # links opened directly inside
+    mute: str = ""  # an inline element that is boilerplate, and how often it is open
+    depth: int = 0
+
+
+def _kind(name: str) -> bool:
+    """Whether a class, id or role names boilerplate: its last part that is more than a wrapper's does (site-footer, ad-box-2, not side-effects)."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    while len(parts) > 1 and parts[-1] in _WRAPPERS:
+        parts.pop()
+    return bool(parts) and parts[-1] in _KINDS
+
+
 def _named(attributes: str, article: bool) -> tuple[bool, bool]:
     """(boilerplate, main content), as an element's class, id, role and visibility say."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
@@ -79,60 +113,74 @@ def _named(attributes: str, article: bool) -> tuple[bool, bool]:
             for word in value.split():
                 if _CONTENT_NAME.match(word):
                     content = True
-                elif not _ABOUT.match(word) and (_BOILER_NAME.search(word) or not article and _HEAD_NAME.match(word)):
+                elif not _ABOUT.match(word) and (_kind(word) or not article and _HEAD_NAME.match(word)):
                     boiler = True
     return boiler and not content, content
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks with text in page order; white space inside a block is one space."""
+    """Blocks with text outside boilerplate in page order; white space inside a block is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+    stack = [_Open("", False, False, False, False, {})]
+    opened: Counter = Counter()
     parts: list[str] = []
-    linked, breaks, links, at, low = 0, 0, 0, 0, None
+    linked, breaks, at, low, token, last = 0, 0, 0, None, _TOKEN, page.rfind(">")
+    unclosed: set[str] = set()
 
     def close_block():
         nonlocal linked, breaks
-        text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
+        text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            top = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, linked, top[1], top[2], any(t[0] in HEADINGS for t in stack[-4:])))
+            out.append(Block(text, linked, stack[-1].article, stack[-1].heading))
         parts.clear()
         linked = breaks = 0
 
     def pop(k: int):
-        nonlocal links
-        links -= sum(t[0] == "a" for t in stack[k:])
+        for x in stack[k:]:
+            opened[x.tag] -= 1
         del stack[k:]
 
-    while m := _TOKEN.match(page, at):
+    while at < len(page):
+        m, top = token.match(page, at), stack[-1]
+        if m is None:
+            if not _TAG.match(page, at):
+                at += 1
+                if not (top.boiler or top.mute):
+                    parts.append("<")
+            elif at < last:  # a quote is never closed
+                token = _PLAIN
+            else:  # a tag without an end
+                break
+            continue
         at = m.end()
         tag = m[2]
         if tag is None:
-            if m[0][0] != "<" or len(m[0]) == 1:
-                if parts or not m[0].isspace():
-                    parts.append(m[0])
-                    breaks = breaks if m[0].isspace() else 0
-                    linked += len(m[0].strip()) if links else 0
+            if m[0][0] != "<" and not (top.boiler or top.mute) and (parts or not m[0].isspace()):
+                text = entities.unescape(m[0]) if "&" in m[0] else m[0]
+                parts.append(text)
+                breaks = breaks if text.isspace() else 0
+                linked += len(text.strip()) if top.links or top.linked else 0
             continue
         tag = tag.lower()
         if m[1]:
             if tag in BLOCK:
                 close_block()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None and not (tag not in BLOCK and any(t[0] in BLOCK for t in stack[k + 1 :])):
-                pop(k)
-            elif k is not None:  # an inline end tag across blocks closes only itself
-                links -= tag == "a"
-                del stack[k]
+                if opened[tag]:
+                    pop(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+            elif tag == "a":
+                top.links, top.linked = max(0, top.links - 1), top.linked and top.links > 0
+            if tag == top.mute:
+                top.depth -= 1
+                top.mute = top.mute if top.depth else ""
             continue
         if tag in RAW:
             low = low or page.lower()
-            end = low.find(f"</{tag}", at)
-            end = len(page) if end < 0 and tag in ("script", "style", "title", "xmp") else end
-            if end >= 0:
-                close = page.find(">", end)
-                at = len(page) if close < 0 else close + 1
+            end = -1 if tag in unclosed else low.find(f"</{tag}", at)
+            if end < 0 and tag not in ("script", "style", "title"):
+                unclosed.add(tag)
+                continue
+            close = page.find(">", len(page) if end < 0 else end)
+            at = len(page) if close < 0 else close + 1
             continue
         if tag == "br":
             breaks += 1
@@ -142,55 +190,77 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             close_block()
-            if tag in ENDS_P:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK), None)
-                if k is not None and stack[k][0] == "p":
-                    pop(k)
-            if tag in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in CLOSES[tag]:
-                        pop(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
-                        break
+            if tag in ENDS_P and top.tag == "p":
+                pop(len(stack) - 1)
+            if tag in ENDS and (k := stack[-1].ends.get(ENDS[tag])):
+                pop(k)
+            top = stack[-1]
         if tag in VOID:
             continue
-        _, boiler, article = stack[-1] if stack else ("", False, False)
-        named, content = (False, False) if tag in ("html", "body") else _named(m[3], article)
+        named, content = (False, False) if tag in ("html", "body") else _named(m[3], top.article)
         whole = tag in ("article", "main")
-        boiler = boiler or tag in BOILER or tag == "header" and not article or named and not whole
-        article = article or whole or content and tag in ("div", "section", "td")
-        stack.append((tag, boiler, article))
-        links += tag == "a"
+        boiler = tag in BOILER or tag == "header" and not top.article or named and not whole
+        if tag in BLOCK:
+            ends = {} if tag in BOUNDS else top.ends
+            if tag in ENDS:
+                ends = ends | {ENDS[tag]: len(stack)}
+            article = top.article or whole or content and tag in ("div", "section", "td")
+            stack.append(_Open(tag, top.boiler or bool(top.mute) or boiler, article, top.heading or tag in HEADINGS, top.linked or top.links > 0, ends))
+            opened[tag] += 1
+        elif tag == "a":
+            top.links += 1
+        if tag not in BLOCK and (tag == top.mute or boiler and not top.mute):
+            top.mute = tag
+            top.depth += 1
     close_block()
     return out
 
 
+def judge(blocks: list[Block]) -> list[bool | None]:
+    """First pass: good (True), bad (False) or ambiguous (None) by each block's text alone."""
+    words = [_WORD.findall(b.text.lower()) for b in blocks]
+    stops = [sum(w in STOP_WORDS for w in ws) for ws in words]
+    spoken = sum(stops) >= STOP_DENSITY / 4 * sum(map(len, words))
+    out: list[bool | None] = []
+    for b, ws, n in zip(blocks, words, stops):
+        density = n / max(1, len(ws)) if spoken else STOP_DENSITY
+        if b.linked > LINK_DENSITY * len(b.text):
+            out.append(False)
+        elif len(b.text) >= LONG:
+            out.append(density >= STOP_DENSITY / 2)
+        else:
+            out.append(True if len(b.text) >= SHORT and density >= STOP_DENSITY else None)
+    return out
+
+
+def inherit(labels: list[bool | None], headings: list[bool]) -> list[bool]:
+    """Second pass: ambiguous blocks take the label of the nearest decided one."""
+    decided = [k for k, x in enumerate(labels) if x is not None]
+    out, after = [], 0
+    for k, x in enumerate(labels):
+        while after < len(decided) and decided[after] < k:
+            after += 1
+        near = decided[max(0, after - 1) : after + 1]
+        if x is None:
+            x = labels[min(near, key=lambda d: (abs(d - k), -d if headings[k] else d))] if near else True
+        out.append(x)
+    return out
+
+
 def classify(blocks: list[Block]) -> None:
     """Both passes; sets every block's label."""
-    has_article = any(b.article and not b.boiler for b in blocks)
-    for b in blocks:
-        density = b.linked / max(1, len(b.text))
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.boiler or has_article and not b.article:
-            b.label = False
-        elif density > LINK_DENSITY and not (b.article and stops >= STOP_DENSITY and len(b.text) >= LONG):
-            b.label = False
-        elif len(b.text) >= LONG and (stops >= STOP_DENSITY / 2 or b.article) or len(b.text) >= SHORT and stops >= STOP_DENSITY:
-            b.label = True
-    for region in (True, False):
-        own = [b for b in blocks if b.article is region and not b.boiler]
-        decided = [k for k, b in enumerate(own) if b.label is not None]
-        fallback = region or not has_article and not any(b.label for b in blocks)
-        after = 0
-        for k, b in enumerate(own):
-            if b.label is not None:
-                continue
-            while after < len(decided) and decided[after] < k:
-                after += 1
-            near = [d for d in decided[max(0, after - 1) : after + 1] if not (region and own[d].label is False)]
-            b.label = own[min(near, key=lambda d: (abs(d - k), -d if b.heading else d))].label if near else fallback
+    labels = judge(blocks)
+    good = [sum(len(b.text) for b, x in zip(blocks, labels) if x and b.article is inside) for inside in (False, True)]
+    if any(b.article for b in blocks) and good[1] >= good[0]:
+        inside = [k for k, b in enumerate(blocks) if b.article]
+        found = inherit([labels[k] or None for k in inside], [blocks[k].heading for k in inside])
+        labels = [False] * len(blocks)
+        for k, x in zip(inside, found):
+            labels[k] = x
+    else:
+        labels = inherit(labels, [b.heading for b in blocks])
+    for b, x in zip(blocks, labels):
+        b.label = x
 
 
 def extract_text(page: str | None) -> str:

@@ -1,5 +1,9 @@
 import html as entities
+import random
 import re
+import time
+
+import pytest
 
 from parlance.llm import extract as op
 
@@ -34,6 +38,85 @@ def test_named_containers():
     assert op.extract_text(page).split("\n") == ["Heading", body.strip(), "Tail."]
 
 
+def test_only_boilerplate_goes_from_an_article():
+    """Link-only parts, formulas, parts for browsers without scripts and sections whose names merely contain a word stay."""
+    page = """<article><h1>Title</h1><p><a href=x>Read the original report</a></p><ul><li><a href=y>First source</a><li><a href=z>Second source</a></ul>
+    <p>Sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> end</p><noscript><p>plain part</p></noscript><object>fallback</object><section class="side-effects">Nausea</section><section id="legal-history"><p>1901 to 1950</p></section>
+    <p>Sign <button>Send</button><label>Name</label>here <span class="share-buttons">tweet <b>it</b></span>now</p><pre>x1 y2 z3 """ + "q9 " * 90 + """</pre><div class="related-posts">See too</div><div id="ad-2">Buy</div></article>"""
+    assert op.extract_text(page).split("\n") == ["Title", "Read the original report", "First source", "Second source", "Sum a+b end", "plain part", "fallback", "Nausea", "1901 to 1950", "Sign here now", ("x1 y2 z3 " + "q9 " * 90).strip()]
+
+
+def test_page_of_teasers_is_judged_without_its_articles():
+    body = "this is the text of the page and it is long enough for the rule " * 5
+    cards = "".join(f"<article><a href={k}>Teaser {k}</a></article>" for k in range(3))
+    page = f"<body><div><h2>Title of it</h2><p>{body}</p><p>short</p></div>{cards}<ul>" + "<li><a>x</a></li>" * 5 + "</ul></body>"
+    assert op.extract_text(page).split("\n") == ["Title of it", body.strip(), "short"]
+
+
+def test_other_languages_are_judged_by_length_and_links():
+    body = "日本語の文章はここにありますが単語の間に空白はありません。" * 9
+    assert op.extract_text(f"<div><p>{body}</p></div><div><a>次へ</a> <a>前へ</a></div>") == body
+
+
+def slow_labels(blocks):
+    """Both passes written out block by block."""
+    words = [re.findall(r"\w+", b.text.lower()) for b in blocks]
+    spoken = sum(w in op.STOP_WORDS for ws in words for w in ws) >= 0.045 * sum(map(len, words))
+
+    def alone(b, ws):
+        stop = sum(w in op.STOP_WORDS for w in ws) / max(1, len(ws)) if spoken else 0.18
+        if b.linked / len(b.text) > 0.4:
+            return False
+        if len(b.text) >= 200:
+            return stop >= 0.09
+        return True if len(b.text) >= 70 and stop >= 0.18 else None
+
+    first = [alone(b, ws) for b, ws in zip(blocks, words)]
+    good = lambda inside: sum(len(b.text) for b, x in zip(blocks, first) if x and b.article == inside)
+    stands = any(b.article for b in blocks) and good(True) >= good(False)
+    out = []
+    for k, b in enumerate(blocks):
+        if stands and not b.article:
+            out.append(False)
+            continue
+        region = [j for j, x in enumerate(blocks) if x.article or not stands]
+        mine = {j: (None if stands and first[j] is False else first[j]) for j in region}
+        if mine[k] is not None:
+            out.append(mine[k])
+            continue
+        place = region.index(k)
+        best = None
+        for j in region:
+            if mine[j] is not None:
+                far = abs(region.index(j) - place)
+                if best is None or far < best[0] or far == best[0] and b.heading:
+                    best = (far, mine[j])
+        out.append(best[1] if best else True)
+    return out
+
+
+def test_both_passes_equal_brute_force():
+    rng = random.Random(4)
+    labels = set()
+    for _ in range(400):
+        blocks = []
+        for _ in range(rng.randrange(9)):
+            n = rng.choice([2, 12, 20, 60])
+            text = " ".join(rng.choice(["the", "of", "stone", "river", "x9"] if rng.random() < 0.7 else ["qq", "zz"]) for _ in range(n))
+            blocks.append(op.Block(text, rng.choice([0, 0, 0, len(text) // 4, len(text)]), rng.random() < 0.4, rng.random() < 0.3))
+        op.classify(blocks)
+        assert [b.label for b in blocks] == slow_labels(blocks)
+        labels |= {b.label for b in blocks}
+    assert labels == {True, False}
+
+
+@pytest.mark.parametrize("part, tail", [('<b a="', ""), ('<b a="', ">x"), ("<b a='\"", ">"), ("<b ", ""), ("<i>", "</b>" * 9000), ("<div>", "</i>" * 9000), ("<li>", "<div>" * 9000 + "<li>" * 9000), ("<template>", ""), ("<!", ""), ("</", ""), ("<a>", "</p>" * 9000), ("<p><b>", ""), ("&am", "")])
+def test_broken_pages_take_linear_time(part, tail):
+    began = time.process_time()
+    op.extract_text("<p>start " + part * (1_000_000 // len(part) if not tail or len(tail) < 9 else 9000) + tail)
+    assert time.process_time() - began < 6
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>a<"), (4, "u", "<article><p>only"), (4, "u", '<p class="x>broken'), (5, "u", "<article>" + "<div>" * 3000 + "deep"), (6, "u", "<script>never closed <p>x"), (7, "u", "plain &lt;text&gt; here"), (8, "u", "<article><p>" + "word " * 300_000)]
     out = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
