@@ -8,8 +8,9 @@ lower-cased A-Z. Nothing is pruned. A symbol's probability depends only on its g
 change while scoring, so every gram is priced once: c - 1/2 of its context's count if it was seen in training, else by the
 escapes, which need only the tables of the contexts that unseen grams have.
 
-Bounds: grams with at least 1 / 2**``gram_bits`` of all training symbols (2**21: at most 2 million) and words with at least 1 / 2**17
-of all tokens (at most 131072) are sent to the tasks; all others are counted by row and looked up by a shuffled join.
+Bounds: the most frequent grams (at most 2**``gram_bits``, 24 MB) and words (at most 2**``head_bits``) are sent to the tasks; all others
+are counted by row and looked up by a shuffled join. A task works on slices of 2 MB of text (or one longer text) and on pieces of half a
+million symbols; a text of any length is scored whole.
 
 Defined cases: null text is empty (one end token, one boundary symbol); null ids have remainder crc32('') and are
 training rows or not like others; rows that repeat are trained and scored each; with no training rows every symbol
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import crc_remainder, keep, table, text_bytes
+from parlance.llm.common import crc_remainder, keep, slices, table, text_bytes
 
 EDGE, BITS = 256, 9  # the boundary symbol; bits of a symbol in a key
 CHUNK = 1 << 19
@@ -98,7 +99,7 @@ def gather(docs: DataFrame, text_col: str, order: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(counts)], names=names)
             grams.clear()
 
-        for batch in batches:
+        for batch in slices(batches, 0):
             texts = [t.lower() for t in text_bytes(batch.column(0))]
             for t in texts:
                 words.update(t.split())
@@ -123,140 +124,6 @@ def gather(docs: DataFrame, text_col: str, order: int) -> DataFrame:
     return rows.groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-class Table:
-    """Integer keys to rows of values: open addressing in arrays, looked up for many keys at once."""
-
-    def __init__(self, keys: np.ndarray):
-        size = 1 << max(4, int(math.ceil(math.log2(max(1, len(keys)) * 2.5))))
-        self.mask, self.slots, self.rows = size - 1, np.full(size, -1, np.int64), np.zeros(size, np.int32)
-        todo = np.arange(len(keys))
-        step = 0
-        while len(todo):
-            slot = self._slot(keys[todo], step)
-            free = self.slots[slot] == -1
-            first = np.zeros(len(todo), bool)
-            first[np.unique(slot, return_index=True)[1]] = True
-            put = free & first
-            self.slots[slot[put]], self.rows[slot[put]] = keys[todo[put]], todo[put]
-            todo, moved = todo[~put], free[~put]
-            if not moved.any():
-                step += 1
-            else:  # others took the slot in this step: all of the rest look at it again, find it full and go on
-                step = step + 1
-
-    def _slot(self, keys: np.ndarray, step: int) -> np.ndarray:
-        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (((h >> np.uint64(32)) + np.uint64(step)) & np.uint64(self.mask)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, or -1."""
-        slot = self._slot(keys, 0)
-        seen = self.slots[slot]
-        out = np.where(seen == keys, self.rows[slot], np.int32(-1))
-        todo = np.nonzero((seen != keys) & (seen != -1))[0]
-        step = 1
-        while len(todo):
-            slot = self._slot(keys[todo], step)
-            seen = self.slots[slot]
-            hit = seen == keys[todo]
-            out[todo[hit]] = self.rows[slot[hit]]
-            todo = todo[~hit & (seen != -1)]
-            step += 1
-        return out
-
-
-class Model:
-    """A trie in arrays with all logarithms, for one process. levels[d]: (keys, counts) of contexts of d symbols with the symbol that follows."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], total: int, texts: int):
-        self.order = len(levels) - 1
-        self.pairs, self.direct, self.plain, self.contexts, self.stats = [], [], [], [], []
-        kept_of: dict[int, tuple] = {}
-        for d, (keys, counts) in enumerate(levels):
-            at = np.argsort(keys)
-            keys, counts = keys[at], counts[at].astype(np.float64)
-            context, first, inverse = np.unique(keys >> BITS, return_index=True, return_inverse=True)
-            kept = np.bincount(inverse, weights=counts, minlength=len(context))
-            distinct = np.bincount(inverse, minlength=len(context)).astype(np.float64)
-            whole = self._whole(d, context, total, texts, kept, kept_of)
-            kept_of[d] = (keys, counts)
-            pruned = np.maximum(0.0, whole - kept)
-            mass, total_kept = counts - DISCOUNT, kept - DISCOUNT * distinct
-            escape = DISCOUNT * distinct + pruned
-            with np.errstate(divide="ignore"):
-                first_escape = np.log10(escape) - np.log10(total_kept + escape)
-                direct = np.log10(mass) - np.log10(total_kept + escape)[inverse]
-            # moving on to the context one symbol shorter, without the symbols seen here
-            onward, onward_escape = np.zeros(len(context)), np.zeros(len(context))
-            if d:
-                lower_context, lower_kept, lower_distinct, lower_pruned, lower_table, lower_mass = self._lower
-                parent = np.searchsorted(lower_context, context & ((1 << (BITS * (d - 1))) - 1))
-                shared = lower_mass[lower_table.find(((context & ((1 << (BITS * (d - 1))) - 1))[inverse] << BITS) | (keys & ((1 << BITS) - 1)))]
-                left = lower_kept[parent] - np.bincount(inverse, weights=shared, minlength=len(context))
-                novel = DISCOUNT * (lower_distinct[parent] - distinct) + lower_pruned[parent]
-                with np.errstate(divide="ignore"):
-                    onward = np.where(left + novel > 0, np.log10(np.maximum(left + novel, 1e-300)), 0.0)
-                    onward_escape = np.where(novel > 0, np.log10(np.maximum(novel, 1e-300)) - onward, 0.0)
-            pairs = Table(keys)
-            self._lower = (context, total_kept, distinct, pruned, pairs, mass)
-            self.pairs.append(pairs)
-            self.direct.append(direct.astype(np.float32))
-            self.plain.append(np.log10(mass).astype(np.float32))
-            self.contexts.append(Table(context))
-            self.stats.append(np.stack([first_escape, onward, onward_escape]).astype(np.float32))
-        root = len(levels[0][0]) if levels else 0
-        self.rest = -math.log10(max(1, EDGE + 1 - root))
-        del self._lower
-
-    @staticmethod
-    def _whole(d, context, total, texts, kept, kept_of):
-        """All occurrences of each context, pruned symbols included: its own count as a symbol after the context before it."""
-        if d == 0:
-            return np.full(len(context), float(total))
-        keys, counts = kept_of[d - 1]
-        at = np.minimum(np.searchsorted(keys, context), max(0, len(keys) - 1))
-        own = np.where(keys[at] == context, counts[at], kept) if len(keys) else kept
-        edges = sum(EDGE << (BITS * j) for j in range(d))
-        return np.maximum(kept, np.where(context == edges, float(texts), own))
-
-    def symbol_scores(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each key's symbol after its context."""
-        out = np.zeros(len(keys))
-        live = np.arange(len(keys))
-        carried = np.full(len(keys), -1, np.int64)  # row of the context escaped from one level up, or -1
-        for d in range(self.order, -1, -1):
-            if not len(live):
-                break
-            now = keys[live] & ((1 << (BITS * (d + 1))) - 1)
-            row = self.pairs[d].find(now)
-            hit = row >= 0
-            came = carried >= 0
-            up = self.stats[d + 1] if d < self.order else None
-            fresh = hit & ~came
-            out[live[fresh]] += self.direct[d][row[fresh]]
-            after = hit & came
-            if up is not None and after.any():
-                out[live[after]] += self.plain[d][row[after]] - up[1][carried[after]]
-            miss = ~hit
-            live, now, came, back = live[miss], now[miss], came[miss], carried[miss]
-            at = self.contexts[d].find(now >> BITS).astype(np.int64)
-            known = at >= 0
-            first = known & ~came
-            out[live[first]] += self.stats[d][0][at[first]]
-            if up is not None and came.any():
-                out[live[came]] += up[2][back[came]]
-            carried = at
-        out[live] += self.rest
-        return out
-
-    def score(self, texts: list[bytes], chunk: int = CHUNK) -> np.ndarray:
-        """log10 probability of each lower-cased text."""
-        total = np.zeros(len(texts))
-        for symbols, scored, row in pieces(texts, self.order, chunk):
-            total += np.bincount(row[scored], weights=self.symbol_scores(keys_of(symbols, self.order)[scored]), minlength=len(texts))
-        return total
-
-
 def _low(key: str, symbols: int) -> Column:
     """The last ``symbols`` symbols of a key."""
     return F.col(key).bitwiseAND(F.lit((1 << (BITS * symbols)) - 1))
@@ -304,25 +171,59 @@ def unseen_prices(unseen: DataFrame, grams: DataFrame, order: int) -> DataFrame:
     return wide.select("gram", price.alias("price"))
 
 
-def _common_scores(texts: list[bytes], order: int, priced: Table, prices: np.ndarray, kind: pa.DataType) -> tuple[pa.Array, pa.Array]:
-    """The sum over each text's symbols whose gram is priced, and the other grams with their numbers in the text."""
-    total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    grams, tfs = [], []
-    for symbols, scored, row in pieces(texts, order):
-        keys, row = keys_of(symbols, order)[scored], row[scored]
-        at = priced.find(keys)
-        hit = at >= 0
-        total += np.bincount(row[hit], weights=prices[at[hit]], minlength=len(texts))
-        keys, row = keys[~hit], row[~hit]
-        by = np.lexsort((keys, row))
-        keys, row = keys[by], row[by]
-        first = np.nonzero(np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])]))[0]
-        grams.append(keys[first]), tfs.append(np.diff(first, append=len(keys)).astype(np.int32))
-        size += np.bincount(row[first], minlength=len(texts))
-    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, tfs)]
-    values = pa.StructArray.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int32())], fields=list(kind.value_type))
-    ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-    return pa.array(total), pa.ListArray.from_arrays(ends, values, type=kind)
+def _most_frequent(counts: DataFrame, count_col: str, bits: int) -> int:
+    """The smallest power of two such that at most 2**bits rows have a count of at least that."""
+    sizes = {r.p: r.n for r in counts.groupBy(F.floor(F.log2(count_col)).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()}  # at most 63 rows
+    power, rows = 63, 0
+    while power and rows + sizes.get(power - 1, 0) <= 1 << bits:
+        power -= 1
+        rows += sizes.get(power, 0)
+    return 1 << power
+
+
+class Common:
+    """The broadcast part of the tables, as a task uses it: prices of common grams and logarithms of common words."""
+
+    def __init__(self, keys: np.ndarray, prices: np.ndarray, words: list[bytes], counts: list[int]):
+        self.keys, self.prices = keys, prices  # by key
+        self.logs = {w: math.log10(c + 1) for w, c in zip(words, counts)}
+
+    def grams(self, texts: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The sum over each text's symbols whose gram is common; and (row, gram, tf) of the others, ordered by row."""
+        total, rest = np.zeros(len(texts)), [[], [], []]
+        for symbols, scored, row in pieces(texts, order):
+            keys, row = keys_of(symbols, order)[scored], row[scored]
+            by = np.argsort(keys)
+            keys, row = keys[by], row[by]
+            at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+            hit = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            total += np.bincount(row[hit], weights=self.prices[at[hit]], minlength=len(texts))
+            keys, row = keys[~hit], row[~hit]
+            by = np.argsort(row, kind="stable")
+            keys, row = keys[by], row[by]
+            first = np.nonzero(np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])]))[0]
+            for kind, part in zip(rest, (row[first], keys[first], np.diff(first, append=len(keys)))):
+                kind.append(part)
+        return total, [np.concatenate(x) if x else np.zeros(0, np.int64) for x in rest]
+
+    def words(self, text: bytes) -> tuple[int, int, float, list[bytes], list[int]]:
+        """Tokens without the end, known ones, the sum of their logarithms, and the other words with their numbers."""
+        split = text.split()
+        known, part, rest, tfs = 0, 0.0, [], []
+        for w, k in Counter(split).items():
+            if (x := self.logs.get(w)) is not None:
+                known += k
+                part += k * x
+            else:
+                rest.append(w), tfs.append(k)
+        return len(split), known, part, rest, tfs
+
+
+def _lists(rows: np.ndarray, values: list, kind: pa.DataType, size: int) -> pa.Array:
+    """Flat values, ordered by row, as one list for each of ``size`` rows."""
+    fields = list(kind.value_type)
+    flat = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(values, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=size))]), pa.int32()), flat, type=kind)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, order: int = 5, gram_bits: int = GRAM_BITS, head_bits: int = HEAD_BITS) -> DataFrame:
@@ -331,46 +232,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     rows = docs.select(F.col(id_col).alias("id"), (crc_remainder(F.col(id_col), modulus) == held).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     counts = keep(gather(rows.filter("not held_out").select("text"), "text", order), "ppm-counts")
     grams = keep(seen_prices(counts.filter("gram is not null").select("gram", "n")), "ppm-prices")
-    sums = grams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("gram") % (1 << BITS) == EDGE, F.col("n"))), F.lit(0))).first()
-    symbols, texts = int(sums[0]), int(sums[1])
-    common = max(1, math.ceil(symbols / 2**gram_bits))
-    gram_rows = grams.filter(F.col("n") >= common).select("gram", "price").toArrow()  # at most 2**gram_bits grams
+    texts = int(grams.agg(F.coalesce(F.sum(F.when(F.col("gram") % (1 << BITS) == EDGE, F.col("n"))), F.lit(0))).first()[0])
+    common = _most_frequent(grams, "n", gram_bits)
+    gram_rows = grams.filter(F.col("n") >= common).select("gram", "price").orderBy("gram").toArrow()  # at most 2**gram_bits grams
     words = counts.filter("word is not null").select("word", F.col("n").alias("c"))
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(sums[0]) + texts, int(sums[1]) + (texts > 0)  # every training text has one end token
-    share = max(1, math.ceil(n / 2**head_bits))
+    share = _most_frequent(words, "c", head_bits)
     head_rows = words.filter(F.col("c") >= share).toArrow()  # at most 2**head_bits words
-    head = dict(zip(head_rows.column(0).to_pylist(), head_rows.column(1).to_pylist()))
-    shared = context.broadcast((gram_rows.column(0).to_numpy(), gram_rows.column(1).to_numpy(), head))
+    shared = context.broadcast((gram_rows.column(0).to_numpy(), gram_rows.column(1).to_numpy().astype(np.float32), head_rows.column(0).to_pylist(), head_rows.column(1).to_pylist()))
     below = math.log10(n + v + 1)
     end_known, end_part = int(texts > 0), math.log10(texts + 1)
     rest_type = pa.list_(pa.struct([("gram", pa.int64()), ("tf", pa.int32())]))
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))
 
     def run(batches):
-        keys, prices, head = shared.value
-        priced = Table(keys)
-        logs = {w: math.log10(c + 1) for w, c in head.items()}
-        for batch in batches:
+        model = Common(*shared.value)
+        for batch in slices(batches, 2):
             low = [t.lower() for t in text_bytes(batch.column(2))]
-            tokens, known, base, tails = [], [], [], []
-            for t in low:
-                split = t.split()
-                total, seen, rest = end_part, end_known, []
-                for w, k in Counter(split).items():
-                    if (x := logs.get(w)) is not None:
-                        total += k * x
-                        seen += k
-                    else:
-                        rest.append({"word": w, "tf": k})
-                tokens.append(len(split) + 1)
-                known.append(seen)
-                base.append(total)
-                tails.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), *_common_scores(low, order, priced, prices, rest_type), pa.array(tails, tail_type)],
-                names=["id", "held_out", "n_tokens", "known", "base", "score", "rest", "tail"],
-            )
+            tokens, known, base, at, tail, tfs = [], [], [], [], [], []
+            for k, t in enumerate(low):
+                size, seen, part, more, many = model.words(t)
+                tokens.append(size + 1), known.append(seen + end_known), base.append(part + end_part)
+                at += [k] * len(more)
+                tail += more
+                tfs += many
+            total, (row, keys, times) = model.grams(low, order)
+            rest = _lists(row, [keys, times.astype(np.int32)], rest_type, len(low))
+            tails = _lists(np.array(at, np.int64), [tail, tfs], tail_type, len(low))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total), rest, tails], names=["id", "held_out", "n_tokens", "known", "base", "score", "rest", "tail"])
 
     kind = dict(docs.dtypes)[id_col]
     layout = f"id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<gram long, tf int>>, tail array<struct<word binary, tf int>>"

@@ -1,12 +1,15 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parlance.llm import ppm as op
+from parlance.llm.common import slices, text_bytes
 from tests.llm.cases import ROWS, documents
 
 
@@ -52,38 +55,58 @@ class Slow:
         return sum(self.symbol(tuple(s[i - self.order : i]), s[i]) for i in range(self.order, len(s)))
 
 
-def levels(slow):
-    out = [([], []) for _ in range(slow.order + 1)]
-    for c, seen in slow.counts.items():
-        for s, n in seen.items():
-            key = 0
-            for x in (*c, s):
-                key = key << op.BITS | x
-            out[len(c)][0].append(key)
-            out[len(c)][1].append(n)
-    return [(np.array(k, np.int64), np.array(n, np.int64)) for k, n in out]
+def key_of(context, symbol):
+    key = 0
+    for x in (*context, symbol):
+        key = key << op.BITS | x
+    return key
+
+
+def test_probabilities_sum_to_one(spark):
+    """Prices of all 257 symbols in contexts that are known whole, in part or not at all."""
+    texts = [b"abracadabra", b"banana", b"abc"]
+    grams = Counter()
+    for symbols, scored, _ in op.pieces(texts, 3):
+        grams.update(op.keys_of(symbols, 3)[scored].tolist())
+    trained = spark.createDataFrame(list(grams.items()), "gram long, n long")
+    contexts = [b"abr", b"ana", b"zzz", b"raz"]
+    every = [key_of(c, s) for c in contexts for s in range(257)]
+    unseen = spark.createDataFrame([(k,) for k in every if k not in grams], "gram long")
+    priced = op.seen_prices(trained).select("gram", "price").unionByName(op.unseen_prices(unseen, trained, 3)).filter(op.F.col("gram").isin(every)).collect()
+    price = {r.gram: r.price for r in priced}
+    for c in contexts:
+        assert sum(10 ** price[key_of(c, s)] for s in range(257)) == pytest.approx(1.0, abs=1e-9)
 
 
-@pytest.mark.parametrize("least", [1, 3])
 @pytest.mark.parametrize("chunk", [op.CHUNK, 7])
-def test_arrays_equal_dictionaries(least, chunk):
-    rng = random.Random(5)
-    texts = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(60))).encode() for _ in range(60)] + [b"", "é日".encode()]
-    slow = Slow(texts, 3, least)
-    model = op.Model(levels(slow), slow.whole[()], len(texts))
-    probe = texts[:20] + [b"", b"zzz", b"abcz\x00\xff", "日本".encode(), b"a" * 50]
-    assert model.score(probe, chunk) == pytest.approx([slow.score(t) for t in probe], abs=1e-3)
-
-
-def test_probabilities_sum_to_one():
-    slow = Slow([b"abracadabra", b"banana", b"abc"], 3)
-    model = op.Model(levels(slow), slow.whole[()], 3)
-    for context in ("abr", "ana", "zzz", "raz"):
-        key = 0
-        for x in context.encode():
-            key = key << op.BITS | x
-        p = 10 ** model.symbol_scores(np.array([key << op.BITS | s for s in range(257)], np.int64))
-        assert p.sum() == pytest.approx(1.0, abs=1e-3)
+def test_pieces_cover_every_symbol_once(chunk):
+    texts = [b"", b"abc", b"x" * 14, b"long text " * 9]
+    seen = Counter()
+    for symbols, scored, row in op.pieces(texts, 3, chunk):
+        seen.update(zip(row[scored].tolist(), op.keys_of(symbols, 3)[scored].tolist()))
+    want = Counter()
+    for row, t in enumerate(texts):
+        s = [256] * 3 + list(t) + [256]
+        want.update((row, key_of(s[i - 3 : i], s[i])) for i in range(3, len(s)))
+    assert seen == want
+
+
+def test_memory_follows_bytes_not_rows():
+    """A task's peak is the same for batches of 2,000 and of 20,000 rows whose grams and words are all rare."""
+    rng = random.Random(1)
+    peaks = []
+    for size in (2_000, 20_000):
+        texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(120)).encode() for _ in range(size)]
+        batch = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in texts])], names=["text"])
+        model = op.Common(np.zeros(0, np.int64), np.zeros(0, np.float32), [], [])
+        tracemalloc.start()
+        for part in slices([batch], 0):
+            low = list(text_bytes(part.column(0)))
+            model.grams(low, 5)
+            [model.words(t) for t in low]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.3 * peaks[0] < 200 << 20
 
 
 @pytest.mark.parametrize("head_bits", [17, 2])
