@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.schemas import MIN_EDIT_SECONDS, PSEUDO_LABELS, SPECIALS
@@ -12,12 +12,14 @@ LABEL_PREFIX = r"(?i)^(?:発言者|話者|speaker)\s*[:\-]?\s*"
 SEVERAL = "複数|重複|同時"
 NOBODY = "不明|不詳|unknown"
 JOIN_MARKS = "。、．，!?！？」』）)…・ー~〜-"
-WHITE = r"[\s　]"
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = f"[{BLANKS}]"
+LINE_BREAK = "\\R|[\x1c-\x1e]"
 
 
 def trim(c: Column) -> Column:
-    """Strip white space, the ideographic space included."""
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    """Strip Unicode white space."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def label_of(cluster: Column) -> Column:
@@ -104,6 +106,21 @@ def parse_time(text: Column) -> Column:
     return F.when(s.rlike(r"^(?:[0-9]+:){0,2}[0-9]+(?:\.[0-9]*)?$") & (n <= 3) & lower_ok, F.bround(total, 1))
 
 
+def parse_times(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """(ok, rejects): rows whose column is a time, with its seconds in its place, and the others as they came."""
+    both = df.withColumn("_seconds", parse_time(F.col(col)))
+    ok = both.filter("_seconds is not null").withColumn(col, F.col("_seconds")).drop("_seconds")
+    return ok, both.filter("_seconds is null").drop("_seconds")
+
+
+def format_times(df: DataFrame, col: str, style: str = "hms") -> DataFrame:
+    """df with the seconds of a column as text: hms, ms or tenths."""
+    styles = {"hms": format_hms, "ms": format_ms, "tenths": format_tenths}
+    if style not in styles:
+        raise ValueError(f"style is one of {', '.join(styles)}")
+    return df.withColumn(col, styles[style](F.col(col)))
+
+
 def round1(c: Column) -> Column:
     return F.bround(c, 1)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.columns import estimate_speech, join_fragments, normalize_label, trim
+from parlance.functions.columns import LINE_BREAK, estimate_speech, join_fragments, normalize_label, trim
 from parlance.schemas import PSEUDO_LABELS
 
 KEY = ["recording_id", "chunk"]
@@ -32,7 +32,7 @@ def _to(c: Column, digits: int) -> Column:
 def explode_lines(chunks: DataFrame) -> DataFrame:
     """(…, line_no, line): lines of a chunk's text that are not blank, stripped. Columns other than text are kept."""
     rest = [c for c in chunks.columns if c != "text"]
-    return chunks.select(*rest, F.posexplode(F.split("text", r"\R")).alias("line_no", "line")).withColumn("line", trim(F.col("line"))).filter("line <> ''")
+    return chunks.select(*rest, F.posexplode(F.split("text", LINE_BREAK)).alias("line_no", "line")).withColumn("line", trim(F.col("line"))).filter("line <> ''")
 
 
 def _number(c: Column) -> Column:

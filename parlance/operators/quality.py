@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.columns import trim
+from parlance.functions.columns import LINE_BREAK, trim
 
-LOOP, MIN_LINES, DISTINCT_SHARE = 15, 40, 0.2
+LOOP, UNIT, MIN_LINES, DISTINCT_SHARE = 15, 12, 40, 0.2
 # What messages of failed requests contain, by kind, in the order in which they are tried.
 FATAL = {
     "depleted": ("credits are depleted", "prepayment", "billing"),
@@ -17,12 +19,40 @@ FATAL = {
 RATE_LIMITED = ("429", "resource_exhausted", "rate limit")
 
 
+def has_loop(text: str) -> bool:
+    """Whether a line of at least 2 * LOOP characters has a unit of up to 12 characters LOOP times in a row.
+
+    A unit of k characters is repeated LOOP times where (LOOP - 1) * k places in a row equal those k places on."""
+    if len(text) < 2 * LOOP:
+        return False
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    ends = np.concatenate([[-1], np.flatnonzero(c == 10), [len(c)]])
+    for k in range(1, UNIT + 1):
+        differ = np.flatnonzero((c[k:] != c[:-k]) | (c[k:] == 10) | (c[:-k] == 10))
+        edges = np.concatenate([[-1], differ, [max(0, len(c) - k)]])
+        runs = np.flatnonzero(np.diff(edges) > (LOOP - 1) * k)
+        if k > 1 and len(runs):
+            return True
+        for at in edges[runs] + 1:  # one character over and over: the line may be too short
+            line = np.searchsorted(ends, at)
+            if ends[line] - ends[line - 1] - 1 >= 2 * LOOP:
+                return True
+    return False
+
+
+def _loops(texts: pd.Series) -> pd.Series:
+    return texts.map(has_loop)
+
+
 def flag_degenerate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, degenerate, reason): empty, a short unit repeated within a line, few different lines, or one line many times in a row."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\R"), trim), lambda x: x != "")
-    rows = docs.select(F.col(id_col), lines.alias("lines"))
-    loops = F.exists("lines", lambda x: (F.char_length(x) >= 2 * LOOP) & x.rlike(r"(.{1,12}?)\1{14,}"))
-    few = (F.size("lines") >= MIN_LINES) & (F.size(F.array_distinct("lines")) / F.size("lines") < DISTINCT_SHARE)
+    """(id, degenerate, reason): empty, a short unit repeated within a line, few different lines, or one line many times in a row.
+
+    Texts are split and counted by Spark's functions; loops are found by comparing a text with itself, shifted, over whole arrays, which a
+    pattern with a back reference would try from every place."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), LINE_BREAK), trim), lambda x: x != "")
+    rows = docs.select(F.col(id_col), lines.alias("lines")).withColumn("distinct", F.array_distinct("lines"))
+    loops = F.pandas_udf(_loops, "boolean")(F.array_join("distinct", "\n"))
+    few = (F.size("lines") >= MIN_LINES) & (F.size("distinct") / F.size("lines") < DISTINCT_SHARE)
     # a run of n equal lines has a stretch of n - 1 places that equal their predecessor
     same = F.array_join(F.zip_with("lines", F.slice("lines", F.lit(2), F.size("lines")), lambda a, b: F.when(a == b, "=").otherwise(".")), "")
     run = F.contains(same, F.lit("=" * (LOOP - 1)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.columns import trim
+from parlance.functions.columns import LINE_BREAK, trim
 
 RID = "recording_id"
 # Fixed value: a line of a roster, '- name(note): note' in ASCII or full width.
@@ -18,7 +18,7 @@ def _id(number: Column) -> Column:
 
 def parse_rosters(rosters: DataFrame) -> DataFrame:
     """rosters (recording_id, text) to speakers; ids come from line numbers, blank lines included."""
-    lines = rosters.select(RID, F.posexplode(F.split("text", r"\R")).alias("at", "raw")).withColumn("line", trim(F.col("raw"))).filter("line <> ''")
+    lines = rosters.select(RID, F.posexplode(F.split("text", LINE_BREAK)).alias("at", "raw")).withColumn("line", trim(F.col("raw"))).filter("line <> ''")
     hit = F.col("line").rlike(LINE)
     notes = F.filter(F.transform(F.array(F.regexp_extract("line", LINE, 2), F.regexp_extract("line", LINE, 3)), trim), lambda n: n != "")
     rows = lines.select(RID, "at", F.when(hit, trim(F.regexp_extract("line", LINE, 1))).otherwise(F.col("line")).alias("name"), F.when(hit, F.array_join(notes, " / ")).otherwise("").alias("note")).filter("name <> ''")

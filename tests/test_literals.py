@@ -1,5 +1,8 @@
 """Stated expectations: labels, times, edges, previews, and whole chunks of text."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +40,34 @@ def test_clamp(spark, args, moved, want):
     assert (one(spark, s), one(spark, e)) == want
 
 
+@pytest.mark.parametrize("text, want", [("\u00a0\u2003a b\x1f\u3000", "a b"), ("\x85\u2028x", "x"), ("\u200bx", "\u200bx"), ("", "")])
+def test_unicode_white_space_is_stripped(spark, text, want):
+    assert one(spark, c.trim(F.lit(text))) == want == text.strip()
+
+
+def test_times_that_cannot_be_read_are_kept_apart(spark):
+    rows = spark.createDataFrame([(1, "1:02"), (2, "1:75:00"), (3, None), (4, "0:5.25"), (5, "x")], "k long, at string")
+    ok, rejects = c.parse_times(rows, "at")
+    assert sorted(map(tuple, ok.collect())) == [(1, 62.0), (4, 5.2)] and sorted((r.k, r.at) for r in rejects.collect()) == [(2, "1:75:00"), (3, None), (5, "x")] and rejects.columns == ["k", "at"]
+    assert [r.at for r in c.format_times(ok.orderBy("k"), "at", "ms").collect()] == ["01:02", "00:05"]
+    with pytest.raises(ValueError):
+        c.format_times(ok, "at", "other")
+
+
+def slow_loop(text):
+    return any(len(x) >= 30 and re.search(r"(.{1,12}?)\1{14,}", x) for x in text.split("\n"))
+
+
+def test_loops_are_those_of_the_pattern():
+    rng = random.Random(2)
+    texts = ["", "a" * 15, "a" * 29, "a" * 30, "b" * 15 + "cdefghijklmnopq", "b" * 14 + "cdefghijklmnopqr", "ab" * 15, "ab" * 14, "ab" * 14 + "\n" + "ab" * 14, "x\n" * 40, "日本語" * 15]
+    for _ in range(300):
+        unit = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 15)))
+        texts.append("\n".join("".join(rng.choice("abc") for _ in range(rng.randrange(9))) + unit * rng.randrange(12, 18) + rng.choice(["", "c"]) for _ in range(rng.randrange(1, 3))))
+    found = [quality.has_loop(t) for t in texts]
+    assert found == [bool(slow_loop(t)) for t in texts] and 50 < sum(found) < 260
+
+
 def segment(spark, **kw):
     row = {"recording_id": 1, "idx": 0, "seg_start": 100.0, "seg_end": 101.1, "text": "うん。", "cluster": "0:A", "chunk": 0, "speaker_id": None, "reviewed": False, "note": "", "text_edited": False, "time_edited": False, "time_reviewed": False, "orig_start": 100.0, "orig_end": 101.1} | kw
     return spark.createDataFrame([tuple(row[f] for f in SEGMENT.fieldNames())], SEGMENT)
