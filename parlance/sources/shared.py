@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -20,3 +20,10 @@ def work_path(spark: SparkSession, name: str) -> str:
         base = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-")
         _LOCAL[app] = base
     return f"{base.rstrip('/')}/parlance/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The table written once and read back, for what several branches of a job need."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,10 @@
 import random
+import re
 from difflib import SequenceMatcher
 
+import pytest
+from pyspark.sql import functions as F
+
 from parlance.operators import alignment as op
 from parlance.plans import align_queries
 from parlance.plans.views import view
@@ -121,3 +125,32 @@ def test_letters_after_the_sixtieth_take_part(spark, tmp_path):
             if m:
                 r = got[c, t]
                 assert (r.matched, r.total) == (m[3], len(texts[c, t])) and abs(r.coverage - m[2]) < 1e-6 and abs(r.m_start - m[0]) < 1e-3
+
+
+def test_plain_characters_need_no_python(spark):
+    """Every character of PLAIN is kept or stripped by the pattern just as compatibility normalisation would have it; other texts go through Python."""
+    plain = re.compile(f"[{op.PLAIN}]")
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and plain.match(chr(c))]
+    assert len(chars) > 30_000
+    texts = ["".join(chars[k : k + 500]) for k in range(0, len(chars), 500)] + ["ＡＢ、 ㍻1", "ﬁn ǆ", "a\U0001f600b", "", "\n", "e\u0301"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(-1, None)], "k long, t string").select("k", op.normalized(F.col("t")).alias("n")).collect()
+    assert {r.k: r.n for r in rows} == {-1: ""} | {k: op.normalize_text(t)[0] for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("limit", [op.ITEM_GRAMS, 0])
+def test_contamination_is_the_same_on_either_way(spark, limit):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdef") for _ in range(rng.choice([5, 30, 90, 400]))) for _ in range(60)]
+    items = [(k, texts[k][:200] + texts[-k][:9]) for k in range(20)] + [(99, None), (98, "short")]
+    docs = [(k, t) for k, t in enumerate(texts)] + [(500, None), (501, texts[3] + " " + texts[4])]
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            t2 = "".join((t or "").split())
+            grams = {t2[k : k + 20] for k in range(len(t2) - 19)}
+            hit = {k + j for k in range(len(x or "") - 19) if x[k : k + 20] in grams for j in range(20)}
+            if hit and len(hit) / len(x) >= 0.6:
+                want[d, i] = len(hit) / len(x)
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in op.contamination_rate(*frames, item_grams=limit).collect()}
+    assert got.keys() == want.keys() and len(want) > 15 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
