@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,25 +59,47 @@ def read_rosters(spark: SparkSession, path: str) -> DataFrame:
     return parse_rosters(rows.select(F.xxhash64(F.col("_metadata.file_path")).alias("recording_id"), F.col("value").alias("text")))
 
 
-def hash_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, fingerprint, sha256): BLAKE2b-64 of the size's digits and the bytes, and SHA-256.
+#: Files up to this size are read by Spark's binary source, which holds a file in one row; larger ones are read piece by piece in the task.
+BINARY_BYTES, PIECE = 1 << 28, 1 << 22
 
-    A file is one row of Spark's binary source and so at most 2 GB; larger ones are refused by the reader."""
 
-    def run(batches):
+def hash_files(spark: SparkSession, path: str, binary_bytes: int = BINARY_BYTES) -> DataFrame:
+    """(path, size, fingerprint, sha256): BLAKE2b-64 of the size's digits and the bytes, and SHA-256; both empty if a file cannot be read.
+
+    Files over ``binary_bytes`` and files that vanish or are closed to reading are opened by their path where the task runs, so large files have to be on
+    a file system that the executors mount; on a store that only Spark reads they count as unreadable."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
+    readable = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(path)
+    whole = readable.filter(F.col("length") <= binary_bytes).select("path", "length", "content")
+    names = ["path", "size", "fingerprint", "sha256"]
+    schema = "path string, size long, fingerprint string, sha256 string"
+
+    def from_rows(batches):
+        for batch in batches:
+            found = [_digests(size, [content.as_buffer()]) for size, content in zip(batch.column(1).to_pylist(), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([f[k] for f in found], pa.string()) for k in range(2))], names=names)
+
+    def from_paths(batches):
         for batch in batches:
-            prints, shas = [], []
-            for size, content in zip(batch.column(1).to_pylist(), batch.column(2)):
-                data = content.as_buffer()
-                prints.append(_blake(size, data))
-                shas.append(hashlib.sha256(data).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.string()), pa.array(shas, pa.string())], names=["path", "size", "fingerprint", "sha256"])
+            rows = [(p, n, f, s) if s is not None else (p, n, *_digests(n, _pieces(p))) for p, n, f, s in zip(*(batch.column(k).to_pylist() for k in range(4)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=names)
+
+    done = whole.mapInArrow(from_rows, schema).drop("size")
+    return files.join(done, "path", "left").select(*names).mapInArrow(from_paths, schema)
+
 
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), "content")
-    return files.mapInArrow(run, "path string, size long, fingerprint string, sha256 string")
+def _pieces(url: str):
+    with open(unquote(urlsplit(url).path), "rb") as f:
+        while piece := f.read(PIECE):
+            yield piece
 
 
-def _blake(size: int, data) -> str:
-    h = hashlib.blake2b(str(size).encode(), digest_size=8)
-    h.update(data)
-    return h.hexdigest()
+def _digests(size: int, pieces) -> tuple[str, str]:
+    blake, sha = hashlib.blake2b(str(size).encode(), digest_size=8), hashlib.sha256()
+    try:
+        for piece in pieces:
+            blake.update(piece)
+            sha.update(piece)
+    except OSError:
+        return "", ""
+    return blake.hexdigest(), sha.hexdigest()

@@ -52,6 +52,11 @@ def test_hashes_and_rosters(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(data)
     r = caches.hash_files(spark, str(tmp_path / "f.bin")).collect()[0]
     assert r.sha256 == hashlib.sha256(data).hexdigest() and r.fingerprint == hashlib.blake2b(str(len(data)).encode() + data, digest_size=8).hexdigest() and r["size"] == len(data)
+    (tmp_path / "big file.bin").write_bytes(data * 9)
+    want = {len(d): (hashlib.blake2b(str(len(d)).encode() + d, digest_size=8).hexdigest(), hashlib.sha256(d).hexdigest()) for d in (data, data * 9)}
+    for limit in (caches.BINARY_BYTES, len(data), 1):  # read by Spark, in part, or in pieces by the tasks
+        assert {r["size"]: (r.fingerprint, r.sha256) for r in caches.hash_files(spark, str(tmp_path / "*.bin"), limit).collect()} == want
+    assert caches._digests(3, caches._pieces("file:/nowhere/at/all")) == ("", "")
     (tmp_path / "r.txt").write_text("佐藤\n\n- 鈴木(理事): 議長役\n・田中：会計\n高橋（監事）", encoding="utf-8")
     got = [(r.speaker_id, r.name, r.note, r.ord) for r in caches.read_rosters(spark, str(tmp_path / "r.txt")).orderBy("ord").collect()]
     assert got == [("sp01", "佐藤", "", 0), ("sp03", "鈴木", "理事 / 議長役", 1), ("sp04", "田中", "会計", 2), ("sp05", "高橋", "監事", 3)]
