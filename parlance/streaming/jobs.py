@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.operators.parse import parse_transcripts
 
@@ -17,20 +12,15 @@ CHUNK = "recording_id long, chunk int, text string, length double, offset double
 
 
 def stream_segments(spark: SparkSession, source: str, sink: str, checkpoint: str, merge_same_speaker: bool = True) -> StreamingQuery:
-    """Chunks that arrive as JSON files become segments. Each batch writes its own folder, replaced if the batch is run again,
-    and a chunk that is already there is not parsed twice. Offsets come with the chunk, as order is not guaranteed."""
+    """Chunks that arrive as JSON files become segments, each chunk once: the keys of those that came before are the stream's state,
+    which is kept by hash of the key. A batch writes its own folder, replaced if the batch is run again. Offsets come with the chunk, as order
+    is not guaranteed."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = f"{sink}/segments"
-        fresh = batch.dropDuplicates(["recording_id", "chunk"])
-        path = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(done)
-        if path.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(path):
-            seen = batch.sparkSession.read.parquet(done).filter(F.col("batch") != batch_id).select("recording_id", "chunk").distinct()
-            fresh = fresh.join(seen, ["recording_id", "chunk"], "left_anti")
-        parse_transcripts(fresh, merge_same_speaker).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
+        parse_transcripts(batch, merge_same_speaker).write.mode("overwrite").parquet(f"{sink}/segments/batch={batch_id}")
 
-    stream = spark.readStream.schema(CHUNK).json(source)
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    once = spark.readStream.schema(CHUNK).json(source).dropDuplicates(["recording_id", "chunk"])
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_progress(stream: DataFrame) -> DataFrame:
@@ -45,26 +35,12 @@ def stream_activity(stream: DataFrame, width: str = "1 hour", delay: str = "10 m
     return counts.select("recording_id", F.col("w.start").alias("from"), F.col("w.end").alias("to"), "n")
 
 
-_LAST = "at timestamp, batch_id long, kind string, after string"
-
-
-def _last_write(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the newest edit of a target; of equal times the larger batch wins."""
-    best = state.get if state.exists else None
-    for frame in frames:
-        for r in frame.sort_values(["at", "batch_id"]).itertuples(index=False):
-            if best is None or (r.at, r.batch_id) >= (pd.Timestamp(best[0]), best[1]):
-                best = (r.at.to_pydatetime(), int(r.batch_id), r.kind, r.after)
-    state.update(best)
-    yield pd.DataFrame([[key[0], key[1], *best]], columns=["recording_id", "target", "at", "batch_id", "kind", "after"])
-
-
 def stream_edits(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """edits (recording_id, target, at, batch_id, kind, after) to the latest of each target, in update mode; repeats of a
-    batch's edit within the delay are dropped."""
+    """edits (recording_id, target, at, batch_id, kind, after) to the latest of each target, of equal times that of the larger batch, in update
+    mode; repeats of a batch's edit within the delay are dropped. One edit a target is kept as state."""
     once = stream.withWatermark("at", delay).dropDuplicatesWithinWatermark(["recording_id", "target", "batch_id"])
-    layout = f"recording_id long, target long, {_LAST}"
-    return once.groupBy("recording_id", "target").applyInPandasWithState(_last_write, layout, _LAST, "update", GroupStateTimeout.NoTimeout)
+    last = once.groupBy("recording_id", "target").agg(F.max(F.struct("at", "batch_id", "kind", "after")).alias("last"))
+    return last.select("recording_id", "target", "last.*")
 
 
 def late_edits(batch: DataFrame, applied: DataFrame) -> DataFrame:
