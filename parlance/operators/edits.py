@@ -135,10 +135,42 @@ def set_offsets(recordings: DataFrame, edits: DataFrame, limit: float = 10.0) ->
 LOGGED = {"speaker_id": "string", "reviewed": "boolean", "seg_start": "double", "seg_end": "double", "time_edited": "boolean", "time_reviewed": "boolean", "text": "string"}
 
 
-def undo_batches(segments: DataFrame, edits: DataFrame, batch_ids: DataFrame) -> DataFrame:
+#: Fields whose batches are undone as a whole or not at all.
+TIMES = ("seg_start", "seg_end", "time_edited", "time_reviewed")
+
+
+def _moved(edits: DataFrame, structure: DataFrame) -> DataFrame:
+    """edits with idx as it is after the splits and merges that came later, null where the row is gone, and ``later``: whether any came.
+
+    structure (recording_id, at, kind, idx): a split makes two rows of idx, a merge takes idx + 1 into idx."""
+    events = structure.groupBy(RID).agg(F.array_sort(F.collect_list(F.struct("at", "kind", F.col("idx").cast("long").alias("idx")))).alias("_events"))
+    rows = edits.join(events, RID, "left").withColumn("_events", F.filter(F.coalesce("_events", F.array()), lambda e: e["at"] > F.col("at")))
+
+    def step(idx: Column, e: Column) -> Column:
+        split = F.when(idx > e["idx"], idx + 1).otherwise(idx)
+        merge = F.when(idx == e["idx"] + 1, None).when(idx > e["idx"], idx - 1).otherwise(idx)
+        return F.when(e["kind"] == "split", split).otherwise(merge)
+
+    moved = F.aggregate("_events", F.col("idx").cast("long"), step)
+    return rows.withColumns({"idx": moved, "later": F.size("_events") > 0}).drop("_events")
+
+
+def refused_batches(edits: DataFrame, batch_ids: DataFrame, structure: DataFrame) -> DataFrame:
+    """(recording_id, batch_id) of the given batches of times after which a row was split or merged: they are not undone."""
+    asked = edits.filter(F.col("field").isin(*TIMES)).join(batch_ids.select("batch_id").distinct(), "batch_id", "left_semi")
+    return _moved(asked, structure).filter("later").select(RID, "batch_id").distinct()
+
+
+def undo_batches(segments: DataFrame, edits: DataFrame, batch_ids: DataFrame, structure: DataFrame | None = None) -> DataFrame:
     """edits (recording_id, idx, field, before, after, at, batch_id), values as text: fields that the given batches touched get
-    what the remaining edits left, or what was there before the first edit."""
+    what the remaining edits left, or what was there before the first edit.
+
+    With a log of splits and merges (recording_id, at, kind, idx) edits follow their rows to the places these have now; what a merge swallowed
+    is not restored, and batches of times that came before are left as they are (see refused_batches)."""
     marked = edits.join(batch_ids.select("batch_id", F.lit(True).alias("undone")).distinct(), "batch_id", "left")
+    if structure is not None:
+        refused = refused_batches(edits, batch_ids, structure).withColumn("refused", F.lit(True))
+        marked = _moved(marked, structure).filter("idx is not null").join(refused, [RID, "batch_id"], "left").withColumn("undone", F.when(F.col("refused").isNull() | ~F.col("field").isin(*TIMES), F.col("undone")))
     state = marked.groupBy(*KEY, "field").agg(
         F.max(F.coalesce("undone", F.lit(False))).alias("touched"), F.max(F.when(F.col("undone").isNull(), F.struct("at", "after"))).alias("rest"), F.min(F.struct("at", "before")).alias("first")
     )

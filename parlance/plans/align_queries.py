@@ -4,33 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators import alignment, proposals, snapshots
+from parlance.operators import alignment, jobs
 from parlance.plans.views import view, with_views
 
 RID = "recording_id"
 
 
-def words_of(s, d, first=None):
-    """One word for each letter of a turn: an eighth of a second each, or less where the turn would last over 7.5 seconds.
-    With ``first`` only that many letters of each turn, as the SQL of the track has it."""
-    turns = alignment.normalize_corpus(view(s, d, "conversations").select("conv_id", "turn", "text"))
-    norm = F.substring("norm", 1, first) if first else F.col("norm")
-    chars = turns.select(F.col("conv_id").alias(RID), "turn", F.greatest(F.char_length(norm), F.lit(60)).alias("n"), F.posexplode(F.split(norm, "")).alias("k", "text")).filter("text <> ''")
+def words_of(s, d):
+    """One word for each letter of a turn: an eighth of a second each, or less where the turn would last over 7.5 seconds."""
+    turns = view(s, d, "conversations").select("conv_id", "turn", alignment.normalized(F.col("text")).alias("norm"))
+    chars = turns.select(F.col("conv_id").alias(RID), "turn", F.greatest(F.char_length("norm"), F.lit(60)).alias("n"), F.posexplode(F.split("norm", "")).alias("k", "text")).filter("text <> ''")
     at = lambda k: F.col("turn") * 20 + k * F.lit(7.5) / F.col("n")
     return chars.select(RID, "text", at(F.col("k")).cast("double").alias("start"), at(F.col("k") + 1).cast("double").alias("end"))
 
 
 def drifted(s, d):
     """Segments of the same letters, all but the first of a recording 7 seconds late."""
-    turns = alignment.normalize_corpus(view(s, d, "conversations").select("conv_id", "turn", "text"))
+    turns = view(s, d, "conversations").select("conv_id", "turn", alignment.normalized(F.col("text")).alias("norm"))
     start = F.col("turn") * 20 + F.when(F.col("turn") > 0, 7).otherwise(0)
     return turns.select(F.col("conv_id").alias(RID), F.col("turn").alias("idx"), F.col("norm").alias("text"), start.cast("double").alias("now_start"), (start + 8).cast("double").alias("now_end"))
 
 
 def _runs(s, d):
+    """All runs, by segment: how many, their letters, the longest, and a sum over their places."""
     spans = drifted(s, d).withColumnRenamed("text", "norm")
     runs = alignment.anchor_runs(spans, alignment.build_track(words_of(s, d)))
-    return runs.groupBy(RID, "idx").agg(F.max("len").alias("longest"))
+    place = (F.col("a") * 31 + (F.col("b") - F.col("a")) * 17) * F.col("len")
+    return runs.groupBy(RID, "idx").agg(F.count("*").alias("runs"), F.sum("len").alias("letters"), F.max("len").alias("longest"), F.sum(place).alias("places"))
 
 
 def _measured(s, d):
@@ -38,21 +38,22 @@ def _measured(s, d):
 
 
 def _inspection(s, d):
-    """Measure, propose, and drop proposals that compete for one place."""
-    segments = view(s, d, "segments_v")
+    """Proposals for segments that lie late in the audio."""
     spans = drifted(s, d)
-    rows = segments.drop("text").join(spans.select(RID, "idx", "text", F.col("now_start").alias("a"), F.col("now_end").alias("b")), [RID, "idx"]).withColumns({"seg_start": F.col("a"), "seg_end": F.col("b"), "time_edited": F.lit(True), "time_reviewed": F.lit(False), "orig_start": F.col("a")}).drop("a", "b")
-    found = proposals.propose_times(rows, alignment.measure_segments(spans, words_of(s, d)), view(s, d, "recordings_v")).filter("reason = 'proposal'")
-    kept, _ = snapshots.drop_conflicts(found.drop("p_start", "p_end").withColumnsRenamed({"s": "p_start", "e": "p_end"}))
-    return kept.select(RID, "idx", "id", F.round("p_start", 3).alias("start"))
+    rows = view(s, d, "segments_v").drop("text", "seg_start", "seg_end", "orig_start", "time_edited", "time_reviewed").join(spans.select(RID, "idx", "text", F.col("now_start").alias("seg_start"), F.col("now_end").alias("seg_end")), [RID, "idx"])
+    rows = rows.withColumns({"time_edited": F.lit(True), "time_reviewed": F.lit(False), "orig_start": F.col("seg_start")})
+    every, _ = jobs.inspect_times(rows, view(s, d, "recordings_v"), words_of(s, d))
+    return every.select(RID, "idx", "id", F.round("p_start", 3).alias("start"))
 
 
 _NORM = r"regexp_replace(text, '[\p{Z}\p{C}\p{P}\p{S}]', '', 'g')"
-_CHARS = f"n AS (SELECT conv_id AS recording_id, turn, left({_NORM}, 60) AS h FROM conversations), ch AS (SELECT recording_id, turn, k, substr(h, k + 1, 1) AS c FROM n, range(60) AS t(k) WHERE k < length(h))"
+_CHARS = f"""n AS (SELECT conv_id AS recording_id, turn, {_NORM} AS h FROM conversations)
+  , ch AS (SELECT recording_id, turn, unnest(range(length(h))) AS k, unnest(string_split(h, '')) AS c, greatest(length(h), 60) AS n FROM n WHERE h <> '')
+  , track AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY turn, k) - 1 AS pos, c AS ch, CAST(turn * 20 + k * 7.5 / n AS DOUBLE) AS c_start, CAST(turn * 20 + (k + 1) * 7.5 / n AS DOUBLE) AS c_end FROM ch)"""
 
 QUERIES = {
     "n1_normalize_corpus": lambda s, d: alignment.normalize_corpus(view(s, d, "conversations")).select("conv_id", "turn", F.md5(F.col("norm").cast("binary")).alias("norm"), F.size("origin").alias("n")),
-    "n2_build_track": lambda s, d: alignment.build_track(words_of(s, d, first=60)),  # its SQL has 60 letters of a turn
+    "n2_build_track": lambda s, d: alignment.build_track(words_of(s, d)).select(RID, "pos", "ch", F.round("c_start", 6).alias("c_start"), F.round("c_end", 6).alias("c_end")),
     "n3_anchor_runs": _runs,
     "n5_measure_segments": _measured,
     "n6_contamination_rate": lambda s, d: alignment.contamination_rate(view(s, d, "documents"), view(s, d, "benchmark")).select("doc_id", "item_id", F.round("coverage", 6).alias("coverage")),
@@ -63,7 +64,15 @@ ORACLES = {
     name: with_views(sql)
     for name, sql in {
         "n1_normalize_corpus": f"SELECT conv_id, turn, md5({_NORM}) AS norm, CAST(length({_NORM}) AS INT) AS n FROM conversations",
-        "n2_build_track": f"WITH {_CHARS} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY turn, k) - 1 AS pos, c AS ch, CAST(turn * 20 + k * 0.125 AS DOUBLE) AS c_start, CAST(turn * 20 + k * 0.125 + 0.125 AS DOUBLE) AS c_end FROM ch",
+        "n2_build_track": f"WITH {_CHARS} SELECT recording_id, pos, ch, round(c_start, 6) AS c_start, round(c_end, 6) AS c_end FROM track",
+        "n3_anchor_runs": f"""WITH {_CHARS}
+          , g AS (SELECT * FROM (SELECT recording_id, pos AS b, concat(ch, lead(ch) OVER w, lead(ch, 2) OVER w) AS gram, c_end, lead(c_start, 2) OVER w AS last_start FROM track WINDOW w AS (PARTITION BY recording_id ORDER BY pos)) WHERE length(gram) = 3)
+          , s AS (SELECT recording_id, turn AS idx, h, turn * 20 + CASE WHEN turn > 0 THEN 7 ELSE 0 END AS now_start FROM n WHERE length(h) >= 3)
+          , q AS (SELECT recording_id, idx, now_start - 30 AS t0, now_start + 8 + 30 AS t1, unnest(range(length(h) - 2)) AS a, unnest(list_transform(range(1, length(h) - 1), lambda k: substr(h, k, 3))) AS gram FROM s)
+          , hit AS (SELECT q.recording_id, idx, a, b, b - a AS d FROM q JOIN g USING (recording_id, gram) WHERE c_end >= t0 AND last_start <= t1)
+          , isl AS (SELECT *, a - row_number() OVER (PARTITION BY recording_id, idx, d ORDER BY a) AS run FROM hit)
+          , runs AS (SELECT recording_id, idx, d, min(a) AS a, count(*) + 2 AS len FROM isl GROUP BY recording_id, idx, d, run)
+          SELECT recording_id, idx, count(*) AS runs, CAST(sum(len) AS BIGINT) AS letters, max(len) AS longest, CAST(sum((a * 31 + d * 17) * len) AS BIGINT) AS places FROM runs GROUP BY recording_id, idx""",
         "n6_contamination_rate": f"""WITH d AS (SELECT doc_id, {_NORM} AS n FROM documents), i AS (SELECT item_id, {_NORM} AS n FROM benchmark)
           , ig AS (SELECT item_id, length(n) AS total, unnest(list_transform(range(1, length(n) - 18), lambda k: substr(n, k, 20))) AS g, unnest(range(1, length(n) - 18)) AS p FROM i WHERE length(n) >= 20)
           , dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(n) - 18), lambda k: substr(n, k, 20))) AS g FROM d WHERE length(n) >= 20)

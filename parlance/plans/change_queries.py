@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import columns
-from parlance.operators import edits, proposals, rosters, snapshots
+from parlance.operators import edits, jobs, proposals, rosters, snapshots
 from parlance.plans.segment_queries import on
 from parlance.plans.views import view, with_views
 
@@ -105,11 +105,45 @@ def _ranges(s, d):
     return snapshots.window_words(spans, _words(s, d)).select(RID, "idx", "lo", "hi")
 
 
+def _carry(s, d):
+    """Old rows, of which some are split, against new ones that are shifted (within the tolerance and beyond), doubled, and inside edited spans."""
+    return snapshots.carry_over(view(s, d, "old_v"), view(s, d, "new_v"))
+
+
 def _carried(s, d):
-    """Old rows against new ones at the same times, of which some were joined by hand."""
-    old = view(s, d, "segments_v")
-    new = old.withColumns({"speaker_id": F.lit(None).cast("string"), "reviewed": F.lit(False), "note": F.lit(""), "text_edited": F.lit(False), "time_edited": F.lit(False), "time_reviewed": F.lit(False)})
-    return _states(snapshots.carry_over(old, new)[0])
+    rows = _carry(s, d)[0]
+    return rows.select(RID, "idx", F.round("seg_start", 3).alias("seg_start"), "speaker_id", "reviewed", "note", "text_edited", "time_edited", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+CARRY = """
+fam AS (SELECT *, round(orig_start, 3) AS family, count(*) OVER (PARTITION BY recording_id, round(orig_start, 3)) AS members, bool_or(time_edited) OVER (PARTITION BY recording_id, round(orig_start, 3)) AS edited FROM old_v WHERE speaker_id IS NOT NULL OR text_edited OR time_edited)
+, mt AS (SELECT n.recording_id, f.family, min(n.idx) AS pos FROM new_v n JOIN (SELECT DISTINCT recording_id, family FROM fam) f ON n.recording_id = f.recording_id AND abs(n.seg_start - f.family) < 2 + 1e-9 GROUP BY 1, 2)
+, fm AS (SELECT fam.*, pos FROM fam JOIN mt USING (recording_id, family))
+, ins AS (SELECT DISTINCT n.recording_id, n.idx FROM new_v n JOIN fm ON fm.recording_id = n.recording_id AND fm.time_edited AND fm.orig_start < n.seg_start AND n.seg_start < fm.orig_end WHERE (n.recording_id, n.idx) NOT IN (SELECT (recording_id, pos) FROM mt))
+, rows3 AS (
+  SELECT recording_id, idx AS pos, idx, seg_start, speaker_id, reviewed, note, text_edited, time_edited, text, 'new' AS how FROM new_v WHERE (recording_id, idx) NOT IN (SELECT (recording_id, pos) FROM mt) AND (recording_id, idx) NOT IN (SELECT (recording_id, idx) FROM ins)
+  UNION ALL SELECT n.recording_id, n.idx, n.idx, n.seg_start, fm.speaker_id, fm.speaker_id IS NOT NULL AND fm.reviewed, fm.note, fm.text_edited, false, CASE WHEN fm.text_edited THEN fm.text ELSE n.text END, 'carried' FROM new_v n JOIN fm ON fm.recording_id = n.recording_id AND fm.pos = n.idx WHERE members = 1 AND NOT edited
+  UNION ALL SELECT recording_id, pos, idx, seg_start, speaker_id, reviewed, note, text_edited, time_edited, text, 'replaced' FROM fm WHERE members > 1 OR edited)
+"""
+ABSORBED = "SELECT recording_id, count(*) AS absorbed FROM ins GROUP BY 1"
+SAME = """same AS (SELECT o.recording_id, o.doc_revision FROM recordings_v o JOIN rerecorded_v n USING (recording_id) WHERE recording_id % 10 <> 9 AND CASE WHEN o.audio_fingerprint <> '' AND n.audio_fingerprint <> '' THEN o.audio_fingerprint = n.audio_fingerprint ELSE abs(o.duration - n.duration) <= 1 END)"""
+
+
+def _stored(s, d, name):
+    """What was stored: every tenth recording is new to the run."""
+    return view(s, d, name).filter("recording_id % 10 <> 9")
+
+
+def _rerun(s, d):
+    """What a second run leaves of every recording: revision, segments, those with a speaker, people and edits."""
+    arriving = lambda df: df.filter("recording_id % 10 <> 8")
+    old = {"recordings": _stored(s, d, "recordings_v"), "speakers": _stored(s, d, "speakers_v"), "segments": _stored(s, d, "old_v"), "edits": _log(s, d).filter("recording_id % 10 <> 9")}
+    roster = arriving(_wanted(s, d)).withColumn("speaker_id", F.concat(F.lit("sp"), F.lpad((F.col("ord") + 1).cast("string"), 2, "0")))
+    out = jobs.rerun(old, {"recordings": view(s, d, "rerecorded_v"), "speakers": roster, "segments": arriving(view(s, d, "new_v"))})
+    count = lambda df, name: df.groupBy(RID).agg(F.count("*").alias(name))
+    rows = out["segments"].groupBy(RID).agg(F.count("*").alias("segments"), F.count("speaker_id").alias("assigned"))
+    both = out["recordings"].select(RID, "doc_revision").join(rows, RID, "left").join(count(out["speakers"], "people"), RID, "left").join(count(out["edits"], "edits"), RID, "left")
+    return both.fillna(0)
 
 
 def _decisions(s, d):
@@ -141,6 +175,30 @@ def _undone(s, d):
     return edits.undo_batches(view(s, d, "segments_v"), _log(s, d), ids).select(RID, "idx", "speaker_id")
 
 
+def _full_log(s, d):
+    """Batches 0 to 2 set speakers, 3 texts and 4 times; then rows are split and joined; batch 5 sets speakers again."""
+    v = view(s, d, "segments_v")
+    edit = lambda df, field, before, after, at, batch: df.select(RID, "idx", F.lit(field).alias("field"), before.cast("string").alias("before"), after.cast("string").alias("after"), F.lit(at).alias("at"), batch.cast("long").alias("batch_id"))
+    parts = [
+        edit(v, "speaker_id", F.lit("first"), F.lit("second"), 1, F.col("idx") % 3), edit(v, "reviewed", F.lit(True), F.lit(False), 1, F.col("idx") % 3), edit(v.filter("idx % 2 = 0"), "text", F.concat(F.lit("was "), F.col("idx").cast("string")), F.lit("now"), 2, F.lit(3)),
+        *[edit(v.filter("idx % 4 < 2"), f, b, F.col(f), 3, F.lit(4)) for f, b in (("seg_start", F.col("idx") * 2.0), ("seg_end", F.col("idx") * 2.0 + 1), ("time_edited", F.lit(True)), ("time_reviewed", F.lit(True)))],
+        edit(v.filter("idx % 5 = 0"), "speaker_id", F.lit("second"), F.lit("third"), 9, F.lit(5)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _undone_all(s, d):
+    """Recordings of even number had row 2 split; of those every third had row 4 joined with the next."""
+    r = view(s, d, "recordings_v").filter("recording_id % 2 = 0")
+    events = r.select(RID, F.lit(5).alias("at"), F.lit("split").alias("kind"), F.lit(2).alias("idx")).unionByName(r.filter("recording_id % 3 = 0").select(RID, F.lit(6).alias("at"), F.lit("merge").alias("kind"), F.lit(4).alias("idx")))
+    ids = s.range(6).filter("id in (1, 3, 4, 5)").select(F.col("id").alias("batch_id"))
+    rows = edits.undo_batches(view(s, d, "segments_v"), _full_log(s, d), ids, events)
+    return rows.select(RID, "idx", "speaker_id", "reviewed", F.round("seg_start", 3).alias("seg_start"), F.round("seg_end", 3).alias("seg_end"), "time_edited", "time_reviewed", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
 def _formats(s, d):
     t = (F.col("event_id") * 7.25 + 0.5).alias("t")
     rows = view(s, d, "events").select("event_id", t)
@@ -186,6 +244,8 @@ QUERIES = {
     "j5_remove_from_segments": lambda s, d: _states(rosters.remove_speakers(view(s, d, "speakers_v"), view(s, d, "segments_v"), _lost(s, d))[1]),
     "j5b_add_speakers": lambda s, d: rosters.add_speakers(view(s, d, "speakers_v"), _new_people(s, d)),
     "j6_carry_over": _carried,
+    "j6_audit": lambda s, d: _carry(s, d)[1],
+    "j6_rerun": _rerun,
     "j7_target_segments": lambda s, d: snapshots.target_segments(view(s, d, "proposals_v"), view(s, d, "segments_v"), view(s, d, "recordings_v")).select(RID, "id", "idx"),
     "j8_segment_at": lambda s, d: snapshots.segment_at(_points(s, d), view(s, d, "segments_v")),
     "j9_drop_conflicts": lambda s, d: snapshots.drop_conflicts(view(s, d, "proposals_v"))[0].select(RID, "id"),
@@ -209,6 +269,7 @@ QUERIES = {
     "e7_apply_text_edits": lambda s, d: edits.apply_text_edits(view(s, d, "segments_v"), view(s, d, "segments_v").filter("idx % 2 = 0").select(RID, "idx", F.when(F.col("idx") % 4 == 0, F.concat(F.lit(" "), "text")).otherwise("　new ").alias("new_text"))).select(RID, "idx", F.md5(F.col("text").cast("binary")).alias("text"), "text_edited"),
     "e8_set_offsets": lambda s, d: edits.set_offsets(view(s, d, "recordings_v"), view(s, d, "recordings_v").filter("recording_id % 3 > 0").select(RID, (F.col("recording_id") * 0.25 - 9).alias("new_offset"))).select(RID, "time_offset"),
     "e9_undo_batches": _undone,
+    "e9_undo_after_splits": _undone_all,
     "e10_review_windows": lambda s, d: edits.review_windows(view(s, d, "segments_v"), view(s, d, "recordings_v"), back=1.0).select(RID, "idx", *[F.round(c, 6).alias(c) for c in ("play_from", "play_to", "tail_from", "tail_to")]),
     "e11_times": _formats,
 }
@@ -228,7 +289,16 @@ _ORACLES = {
     "j5_remove_speakers": "SELECT recording_id, speaker_id, name, note, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY ord) - 1 AS INT) AS ord FROM speakers_v WHERE ord <> 1",
     "j5_remove_from_segments": "SELECT recording_id, idx, CASE WHEN speaker_id IS DISTINCT FROM 'sp02' THEN speaker_id END AS speaker_id, reviewed AND speaker_id IS DISTINCT FROM 'sp02' AS reviewed FROM segments_v",
     "j5b_add_speakers": "SELECT * FROM speakers_v UNION ALL SELECT recording_id, concat('sp', lpad(CAST(CASE WHEN n = 4 THEN i + 6 ELSE n + 1 + i END AS VARCHAR), 2, '0')), CASE i WHEN 0 THEN 'x' ELSE 'y' END, '', CAST(n + i AS INT) FROM (SELECT recording_id, count(*) AS n FROM speakers_v GROUP BY 1), range(2) AS t(i)",
-    "j6_carry_over": "SELECT recording_id, idx, speaker_id, CASE WHEN speaker_id IS NOT NULL OR time_edited THEN reviewed ELSE false END AS reviewed FROM segments_v",
+    "j6_carry_over": f"WITH {CARRY} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY pos, seg_start, idx) - 1 AS idx, round(seg_start, 3) AS seg_start, speaker_id, reviewed, note, text_edited, time_edited, md5(text) AS text FROM rows3",
+    "j6_audit": f"""WITH {CARRY}, ab AS ({ABSORBED}), c AS (SELECT recording_id, count(*) FILTER (how <> 'new' AND speaker_id IS NOT NULL) AS carried, count(*) FILTER (how <> 'new' AND text_edited) AS texts, count(*) FILTER (how = 'replaced') AS replaced FROM rows3 GROUP BY 1)
+      SELECT recording_id, coalesce(carried, 0) AS carried, coalesce(texts, 0) AS texts, coalesce(replaced, 0) AS replaced, coalesce(absorbed, 0) AS absorbed FROM c FULL JOIN ab USING (recording_id)""",
+    "j6_rerun": f"""WITH {CARRY}, {SAME}, wt AS ({WANTED.replace("{speakers_v} AS speakers_v", "speakers_v")})
+      , r AS (SELECT recording_id FROM rerecorded_v UNION SELECT recording_id FROM recordings_v WHERE recording_id % 10 = 8)
+      , sg AS (SELECT recording_id, speaker_id FROM rows3 WHERE recording_id IN (SELECT recording_id FROM same) UNION ALL SELECT recording_id, speaker_id FROM old_v WHERE recording_id % 10 = 8 UNION ALL SELECT recording_id, speaker_id FROM new_v WHERE recording_id % 10 <> 8 AND recording_id NOT IN (SELECT recording_id FROM same))
+      , pp AS (SELECT recording_id, name FROM speakers_v WHERE recording_id % 10 <> 9 UNION SELECT recording_id, name FROM wt WHERE recording_id % 10 <> 8)
+      , ed AS (SELECT recording_id, 2 * count(speaker_id) AS n FROM segments_v WHERE recording_id % 10 = 8 OR recording_id IN (SELECT recording_id FROM same) GROUP BY 1)
+      SELECT r.recording_id, CAST(CASE WHEN r.recording_id % 10 = 8 THEN (SELECT doc_revision FROM recordings_v x WHERE x.recording_id = r.recording_id) ELSE coalesce((SELECT doc_revision FROM same WHERE same.recording_id = r.recording_id), 0) END AS INT) AS doc_revision,
+             (SELECT count(*) FROM sg WHERE sg.recording_id = r.recording_id) AS segments, (SELECT count(speaker_id) FROM sg WHERE sg.recording_id = r.recording_id) AS assigned, (SELECT count(*) FROM pp WHERE pp.recording_id = r.recording_id) AS people, coalesce((SELECT n FROM ed WHERE ed.recording_id = r.recording_id), 0) AS edits FROM r""",
     "j7_target_segments": f"WITH {TARGETS} SELECT p.recording_id, p.id, tg.idx FROM proposals_v p LEFT JOIN tg USING (recording_id, id)",
     "j8_segment_at": "WITH p AS (SELECT DISTINCT recording_id, seg_start + idx * 7 % 23 AS t FROM segments_v) SELECT recording_id, t, idx FROM (SELECT p.recording_id, t, s.idx, row_number() OVER (PARTITION BY p.recording_id, t ORDER BY abs(s.seg_start - t), s.idx) AS k FROM p JOIN segments_v s USING (recording_id)) WHERE k = 1",
     "j9_drop_conflicts": f"WITH {_CONFLICT} SELECT recording_id, id FROM proposals_v WHERE (recording_id, id) NOT IN (SELECT (recording_id, id) FROM bad)",
@@ -265,6 +335,14 @@ _ORACLES = {
     "e7_apply_text_edits": "WITH x AS (SELECT *, CASE WHEN idx % 2 = 1 THEN text WHEN idx % 4 = 0 THEN regexp_replace(text, '^[\\s　]+|[\\s　]+$', '', 'g') ELSE 'new' END AS t FROM segments_v) SELECT recording_id, idx, md5(t) AS text, text_edited OR t <> text AS text_edited FROM x",
     "e8_set_offsets": "SELECT recording_id, CASE WHEN recording_id % 3 > 0 THEN greatest(-10.0, least(10.0, round(recording_id * 0.25 - 9, 2))) ELSE time_offset END AS time_offset FROM recordings_v",
     "e9_undo_batches": "SELECT recording_id, idx, CASE WHEN speaker_id IS NULL THEN NULL WHEN idx % 5 IN (0, 1) THEN CASE WHEN idx % 3 = 1 THEN NULL ELSE 'sp01' END ELSE speaker_id END AS speaker_id FROM segments_v",
+    "e9_undo_after_splits": """WITH g AS (SELECT recording_id, idx, recording_id % 2 = 0 AS sp, recording_id % 6 = 0 AS mg FROM segments_v)
+      , a AS (SELECT *, CASE WHEN sp AND idx > 2 THEN idx + 1 ELSE idx END AS i1 FROM g), m AS (SELECT *, CASE WHEN NOT mg THEN i1 WHEN i1 = 5 THEN NULL WHEN i1 > 4 THEN i1 - 1 ELSE i1 END AS i2 FROM a)
+      , one AS (SELECT recording_id, i2 AS idx, idx AS was FROM m WHERE i2 IS NOT NULL), late AS (SELECT recording_id, idx FROM g WHERE idx % 5 = 0)
+      , sp AS (SELECT coalesce(o.recording_id, l.recording_id) AS recording_id, coalesce(o.idx, l.idx) AS idx, o.was % 3 = 1 AS early, o.was IS NOT NULL AS has, l.idx IS NOT NULL AS again FROM one o FULL JOIN late l ON o.recording_id = l.recording_id AND o.idx = l.idx)
+      SELECT v.recording_id, v.idx, CASE WHEN sp.early THEN 'first' WHEN sp.again AND sp.has THEN 'second' WHEN sp.again THEN 'second' ELSE v.speaker_id END AS speaker_id, CASE WHEN o.was % 3 = 1 THEN true ELSE v.reviewed END AS reviewed,
+             round(CASE WHEN v.recording_id % 2 = 1 AND v.idx % 4 < 2 THEN v.idx * 2 ELSE v.seg_start END, 3) AS seg_start, round(CASE WHEN v.recording_id % 2 = 1 AND v.idx % 4 < 2 THEN v.idx * 2 + 1 ELSE v.seg_end END, 3) AS seg_end,
+             (v.recording_id % 2 = 1 AND v.idx % 4 < 2) OR v.time_edited AS time_edited, (v.recording_id % 2 = 1 AND v.idx % 4 < 2) OR v.time_reviewed AS time_reviewed, md5(CASE WHEN o.was % 2 = 0 THEN concat('was ', o.was) ELSE v.text END) AS text
+      FROM segments_v v LEFT JOIN sp ON sp.recording_id = v.recording_id AND sp.idx = v.idx LEFT JOIN one o ON o.recording_id = v.recording_id AND o.idx = v.idx""",
     "e10_review_windows": f"""WITH {AUDIO}, n AS (SELECT *, greatest(8.0, least(60.0, least(120.0, greatest(1.0, length(regexp_replace(text, '^[\\s　]+|[\\s　]+$', '', 'g')) / 4.5)) + 5)) AS need, CASE WHEN time_edited THEN 0 ELSE time_offset END AS shift FROM s)
       SELECT recording_id, idx, round(greatest(0, seg_start + shift - 1), 6) AS play_from, round(CASE WHEN time_edited THEN seg_end ELSE seg_start + least(greatest(seg_end - seg_start, 1.5), need) END + shift, 6) AS play_to, round(greatest(0, now_end - least(3.0, greatest(0.1, now_end - now_start))), 6) AS tail_from, round(now_end, 6) AS tail_to FROM n""",
     "e11_times": f"""WITH x AS (SELECT event_id, CAST(event_id * 7.25 + 0.5 AS DOUBLE) AS t, CAST(round_even(event_id * 7.25 + 0.5, 0) AS BIGINT) AS r, CAST(round_even((event_id * 7.25 + 0.5) * 10, 0) AS BIGINT) AS z FROM events)

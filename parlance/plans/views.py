@@ -4,6 +4,8 @@ Each is one SELECT that Spark and DuckDB read alike; ``{name}`` stands for a tab
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("conversations", "events", "documents", "benchmark", "nation", "customer")
@@ -18,6 +20,20 @@ FROM (SELECT conv_id AS recording_id, turn AS idx, CAST(turn * 20 + conv_id % 5
                   WHEN role = 'assistant' THEN CASE WHEN conv_id % 2 = 0 THEN 'sp02' ELSE 'sp03' END ELSE 'sp04' END AS speaker_id,
              (conv_id + turn) % 2 = 0 AS reviewed, CASE WHEN turn % 5 = 0 THEN 'memo' ELSE '' END AS note, turn % 6 = 5 AS text_edited, (conv_id + turn) % 4 = 3 AS time_edited
       FROM {conversations}) AS c""",
+    "old_v": """
+SELECT recording_id, idx * 2 AS idx, seg_start, seg_end, text, cluster, chunk, speaker_id, reviewed, note, text_edited, time_edited, time_reviewed, orig_start, orig_end FROM {segments_v}
+UNION ALL SELECT recording_id, idx * 2 + 1 AS idx, seg_start + 7 AS seg_start, seg_end, concat(text, ' tail') AS text, cluster, chunk, CAST(NULL AS VARCHAR(9)) AS speaker_id, false AS reviewed, '' AS note, text_edited, true AS time_edited, false AS time_reviewed, orig_start, orig_end
+FROM {segments_v} WHERE idx % 9 = 4""",
+    "new_v": """
+SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seg_start, k) - 1 AS idx, seg_start, seg_start + 12 AS seg_end, text, cluster, chunk, CAST(NULL AS VARCHAR(9)) AS speaker_id, false AS reviewed, '' AS note,
+       false AS text_edited, false AS time_edited, false AS time_reviewed, seg_start AS orig_start, seg_start + 12 AS orig_end
+FROM (SELECT recording_id, 0 AS k, concat('new ', text) AS text, cluster, chunk, CAST(seg_start + CASE (recording_id + idx) % 7 WHEN 1 THEN 1.5 WHEN 2 THEN -1.9 WHEN 3 THEN 2.5 WHEN 4 THEN 0.4 WHEN 6 THEN 0.5 ELSE 0 END AS DOUBLE) AS seg_start FROM {segments_v}
+      UNION ALL SELECT recording_id, 1 AS k, 'second' AS text, cluster, chunk, seg_start + 1 AS seg_start FROM {segments_v} WHERE (recording_id + idx) % 7 = 6
+      UNION ALL SELECT recording_id, 2 AS k, 'inside' AS text, cluster, chunk, seg_start + 10 AS seg_start FROM {segments_v} WHERE (recording_id + idx) % 3 = 0) AS n""",
+    "rerecorded_v": """
+SELECT recording_id, audio_path, duration + CASE WHEN recording_id % 8 = 4 THEN 30 ELSE 1 END AS duration, time_offset, source_sha256, engine_mode, engine_model, engine_at, CAST(0 AS INT) AS doc_revision,
+       CASE WHEN recording_id % 5 = 2 THEN concat('other', recording_id) ELSE audio_fingerprint END AS audio_fingerprint
+FROM {recordings_v} WHERE recording_id % 10 <> 8""",
     "segments_ev": """
 SELECT recording_id, idx, CAST(idx * 10 AS DOUBLE) AS seg_start, CAST(idx * 10 + 9 AS DOUBLE) AS seg_end, concat('t', idx) AS text, concat(chunk, ':', label) AS cluster, chunk, speaker_id, reviewed,
        '' AS note, false AS text_edited, false AS time_edited, false AS time_reviewed, CAST(idx * 10 AS DOUBLE) AS orig_start, CAST(idx * 10 + 9 AS DOUBLE) AS orig_end
@@ -74,7 +90,7 @@ def sql_of(name: str) -> str:
 
 def with_views(sql: str) -> str:
     """SQL in which every view that is named is defined in front."""
-    defined = [v for v in VIEWS if v in sql]
+    defined = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     head = ", ".join(f"{v} AS ({sql_of(v)})" for v in defined)
     body = sql.strip()
     if body[:5].upper() == "WITH ":
