@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/parlance/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables kept by the innermost ``scratch`` that is open.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables kept inside are deleted at the end, but for those that are given to the function it yields."""
+    made: list[DataFrame] = []
+    last: list[DataFrame] = []
+
+    def stays(df: DataFrame) -> DataFrame:
+        last.append(df)
+        return df
+
+    _SCRATCH.append(made)
+    try:
+        yield stays
+    finally:
+        _SCRATCH.pop()
+        for df in made:
+            if not any(df is x for x in last):
+                discard(df)
+        if _SCRATCH:
+            _SCRATCH[-1].extend(last)
+
+
 def keep(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -49,6 +76,8 @@ def keep(df: DataFrame, name: str, partition_by: list[str] | None = None, **opti
     writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._kept_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(back)
     return back
 
 
@@ -111,11 +140,12 @@ def prune(docs: DataFrame, key: Column, lost: DataFrame, repeated: DataFrame | N
         return docs
     bits = filter_bits(n)
     bitmap = keep(key_filter(asked.select(slot_of(F.col("_key"), bits).alias("_slot"))), "key-filter")
-    marked = may_hold(docs.withColumn("_key", key), F.col("_key"), bitmap, bits)
+    # rows travel as one value, so no column of docs can clash
+    marked = may_hold(docs.select(F.struct("*").alias("_row"), key.alias("_key")), F.col("_key"), bitmap, bits)
     left = marked.filter("_maybe").join(lost, "_key", "left_anti")
     if repeated is not None and not repeated.isEmpty():
         left = left.join(repeated, "_key", "left_anti").unionByName(left.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
-    return marked.filter("not _maybe").unionByName(left).select(*docs.columns)
+    return marked.filter("not _maybe").unionByName(left).select("_row.*")
 
 
 def take(docs: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:

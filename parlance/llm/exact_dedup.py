@@ -1,15 +1,18 @@
 """Exact dedup with a log-structured merge index, in DataFrame operations only.
 
-Documents fall into memtables (a hash of the row's id); each memtable is flushed as one *run*: its
-(digest, id) entries sorted by digest, written as Parquet whose row groups carry min/max statistics
-and a Bloom filter on the digest. *Compaction* merges all runs into one level that holds, per digest,
-the smallest and largest entry and the number of entries. Entries whose digest occurs more than once are
-*hits*; a filter of fixed size over the hits' digests picks the rows whose texts take part in the byte
-verification, which groups by the whole text. A digest that turns out to cover several texts is
-resolved by the texts themselves.
+Each task's documents are a memtable, which is flushed as one *run*: its (digest, id) entries sorted by digest, written as
+Parquet. A run's filter are the slots of its digests; counted over all runs they give a bitmap of the slots that are used
+more than once. Before runs are merged each entry is looked up in it: an entry alone in its slot has no equal in any run, is
+final and is not shuffled. *Compaction* merges the rest into one level that holds, per digest, the smallest and largest entry and the
+number of entries. Entries whose digest occurs more than once are *hits*; a filter over the hits' digests picks the
+rows whose texts take part in the byte verification, which groups by the whole text. A digest that turns out to cover several
+texts is resolved by the texts themselves.
+
+Bounds: both filters have 16 bits an entry, at most 2**27 (16 MiB); an index of more than some ten million rows merges more entries than it
+had to, with the same result.
 
 Defined cases: a null text counts as empty; a null id loses against any id and never stays unless all
-ids of its group are null; rows that repeat id and text are one group, of which one row is kept; further
+ids of its group are null; rows that repeat id and text are one group, of which one row is kept; texts of any length are read whole; further
 columns are ignored, names that clash included; an empty table gives an empty result.
 """
 
@@ -18,11 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import keep, table
-
-#: Bits of the hit filter: 2**23 bits are 256 bitmaps of 4 KiB, so at most 1 MiB (plus keys) is broadcast.
-FILTER_BITS = 1 << 23
-BITMAP_BITS = 32768  # of Spark's bitmap_construct_agg
+from parlance.llm.common import filter_bits, keep, key_filter, may_hold, prune, row_key, scratch, slot_of, table
 
 
 def _entries(docs: DataFrame, id_col: str, text_col: str, key_hex: int) -> DataFrame:
@@ -32,11 +31,18 @@ def _entries(docs: DataFrame, id_col: str, text_col: str, key_hex: int) -> DataF
 
 
 def flush_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_hex: int = 64) -> DataFrame:
-    """Level 0: (key, id, sha, ord). Each task's memtable becomes one sorted run, a Parquet file with filters on the key.
+    """Level 0: (key, id, sha, ord). Each task's memtable becomes one sorted run.
 
     ``ord`` numbers the entries once and is fixed by the write, so rows that repeat an id can be told apart."""
     entries = _entries(docs, id_col, text_col, key_hex).select("key", "id", "sha", F.monotonically_increasing_id().alias("ord"))
-    return keep(entries.sortWithinPartitions("key"), "lsm-run", **{"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": "200000"})
+    return keep(entries.sortWithinPartitions("key"), "lsm-run")
+
+
+def looked_up(level0: DataFrame) -> DataFrame:
+    """Level 0 with ``_maybe``: whether another entry of any run may have the same key."""
+    bits = filter_bits(level0.count())
+    used = level0.groupBy(slot_of(F.col("key"), bits).alias("_slot")).agg(F.count("*").alias("n")).filter("n > 1")
+    return may_hold(level0, F.col("key"), keep(key_filter(used), "lsm-filter"), bits)
 
 
 def _ends(best: str = "n") -> list[Column]:
@@ -49,35 +55,18 @@ def compact(level: DataFrame) -> DataFrame:
     return level.groupBy("key").agg(*_ends())
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-
-
-def hit_filter(index: DataFrame) -> DataFrame:
-    """A one-hash Bloom filter over keys that occur more than once: (bucket, bits), at most FILTER_BITS / 8 bytes."""
-    slot = _slot(F.col("key"))
-    return (
-        index.filter("n > 1")
-        .select(F.floor(slot / BITMAP_BITS).alias("bucket"), F.pmod(slot, F.lit(BITMAP_BITS)).alias("bit"))
-        .groupBy("bucket")
-        .agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
-    )
-
-
 def maybe_hits(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """rows (with a key) and whether the filter of the index's hits lets them pass; no hit is missed."""
-    slot = _slot(F.col("key"))
-    bit = F.pmod(slot, F.lit(BITMAP_BITS))
-    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    passed = F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
-    return rows.withColumn("bucket", F.floor(slot / BITMAP_BITS)).join(F.broadcast(hit_filter(index)), "bucket", "left").withColumn("maybe", passed).drop("bucket", "bits")
+    """rows (with a key) with ``_maybe``: whether the filter of the index's hits lets them pass; no hit is missed."""
+    hits = keep(index.filter("n > 1").select("key"), "lsm-hits")
+    bits = filter_bits(hits.count())
+    return may_hold(rows, F.col("key"), key_filter(hits.select(slot_of(F.col("key"), bits).alias("_slot"))), bits)
 
 
 def verify(entries: DataFrame, index: DataFrame) -> DataFrame:
     """Byte verification of hits: the keys that cover more than one text (none, unless digests collide).
 
     Copies collapse before the shuffle, as the whole text is a grouping key."""
-    hits = maybe_hits(entries, index).filter("maybe")
+    hits = maybe_hits(entries, index).filter("_maybe")
     return hits.groupBy("key", "text").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1").select("key")
 
 
@@ -95,30 +84,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("best.ord") == F.col("ord")).alias("kept"), F.col("sha").alias("text_sha256")
         )
 
-    level0 = flush_runs(docs, id_col, text_col, key_hex)
-    index = keep(compact(level0), "lsm-level1")
+    level0 = looked_up(flush_runs(docs, id_col, text_col, key_hex))
+    several = level0.filter("_maybe")
+    alone = level0.filter("not _maybe").select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    index = keep(compact(several), "lsm-level1")
     entries = _entries(docs, id_col, text_col, key_hex)
     mixed = keep(verify(entries, index), "lsm-mixed")
     if mixed.isEmpty():
-        return decided(level0, index, ["key"])
-    clean = decided(level0.join(mixed, "key", "left_anti"), index, ["key"])
+        return alone.unionByName(decided(several, index, ["key"]))
+    clean = decided(several.join(mixed, "key", "left_anti"), index, ["key"])
     rest = keep(entries.join(mixed, "key", "left_semi").withColumn("ord", F.monotonically_increasing_id()), "lsm-rest")
-    return clean.unionByName(decided(rest, rest.groupBy("key", "text").agg(*_ends()), ["key", "text"]))
+    return alone.unionByName(clean).unionByName(decided(rest, rest.groupBy("key", "text").agg(*_ends()), ["key", "text"]))
 
 
 def keep_one(docs: DataFrame, stays: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat both id and text, one stays."""
-    decisions = keep(exact_dedup(docs, id_col, text_col, stays), "lsm-decisions")
-    kept = decisions.filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & (sha == kept["_sha"]), "left_semi")
-    repeats = decisions.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(id_col).alias("_id"))
-    if repeats.isEmpty():
-        return out
-    again = F.broadcast(repeats) if repeats.count() < 10_000 else repeats
-    single = out.join(again, out[id_col].eqNullSafe(again["_id"]), "left_anti")
-    several = out.join(again, out[id_col].eqNullSafe(again["_id"]), "left_semi").dropDuplicates([id_col, text_col])
-    return single.unionByName(several)
+    best = F.col(id_col).eqNullSafe(F.col("keep_id"))
+    with scratch() as last:
+        copies = exact_dedup(docs, id_col, text_col, stays).filter("group_size > 1")
+        copies = last(keep(copies.select(row_key(F.col(id_col), F.col("text_sha256")).alias("_key"), best.alias("best"), "kept"), "lsm-decisions"))
+    return prune(docs, row_key(F.col(id_col), sha), copies.filter("not best"), copies.filter("best and not kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

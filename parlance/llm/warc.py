@@ -40,8 +40,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     firsts = keep(firsts, "warc-firsts")
     # a filter of fixed size keeps pages without an equal out of the join, so their payloads are not shuffled
     marked = maybe_hits(rows.withColumn("key", F.col("digest")), firsts.select(F.col("digest").alias("key"), "n")).drop("key")
-    alone = marked.filter("not maybe").withColumn("first", F.lit(None).cast("long"))
-    both = marked.filter("maybe").join(firsts.select("digest", "first"), "digest", "left").unionByName(alone)
+    alone = marked.filter("not _maybe").withColumn("first", F.lit(None).cast("long"))
+    both = marked.filter("_maybe").join(firsts.select("digest", "first"), "digest", "left").unionByName(alone)
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     number = lambda c: F.concat(F.lit("<urn:parlance:page:"), c.cast("string"), F.lit(">"))
 
