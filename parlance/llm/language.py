@@ -4,7 +4,7 @@ Evidence: the text (hashed byte trigrams against each language's frequencies), t
 address suffix, and a prior of the host. The declared language is that of a page's first html tag outside comments, wherever it starts. Text frequencies are learned from labelled rows; the other three from the
 votes of confident texts by grouped aggregation: how often each language is declared as what, how the
 suffixes of each language are spread, and how often a host has each language, smoothed towards its domain
-and that towards the whole table. A row's own vote is taken out of its host's and domain's counts. A background class of evenly spread
+and that towards the whole table. A row's own vote is taken out of all of these counts but the whole table's. A background class of evenly spread
 trigrams stands for texts in none of the languages.
 
 Every labelled language is learned, however few its rows: the model has 2**15 columns for each, so its size (256 KB a language)
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import extract
-from parlance.llm.common import crc_remainder, keep, table, text_bytes
+from parlance.llm.common import crc_remainder, keep, prune, row_key, scratch, table, text_bytes
 
 COLUMNS = 1 << 15
 CHUNK = 1 << 20
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
     hosts = voted.groupBy("host", "domain", "vote").agg(F.count("*").alias("n"))
     hosts = keep(hosts, "language-hosts")
     domains = _votes(hosts.filter("domain is not null").groupBy("domain", "vote").agg(F.sum("n").alias("n")), ["domain"], "domain_votes")
-    by_host = _votes(hosts.filter("host is not null").groupBy("host", "domain", "vote").agg(F.sum("n").alias("n")), ["host", "domain"], "host_votes").join(domains, "domain", "left").drop("domain")
+    by_host = _votes(hosts.filter("host is not null").groupBy("host", "vote").agg(F.sum("n").alias("n")), ["host"], "host_votes")
     total = np.zeros(len(languages))
     for r in hosts.groupBy("vote").agg(F.sum("n").alias("n")).collect():
         total[r.vote] = r.n
@@ -162,13 +162,17 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
     for r in suffixes.groupBy("vote").agg(F.sum("n").alias("n")).collect():
         spread[r.vote] += r.n
 
-    def logs(counts: dict, values: list[str]) -> dict[str, np.ndarray]:
-        """log P(value | language) with half a count added; the background has the mean of all languages."""
-        grid = np.array([[counts.get((v, k), 0) + 0.5 for k in range(len(languages))] for v in values]) if values and languages else np.zeros((0, len(languages)))
-        out = np.log(grid / grid.sum(0)) if len(grid) else grid
-        return {v: np.append(x, x.mean()) for v, x in zip(values, out)}
+    declared_counts = {v: np.array([declarations.get((v, k), 0) for k in range(len(languages))], float) for v in [*languages, "other"]}
+    declared_sums = sum(declared_counts.values()) + 0.5 * len(declared_counts)
+
+    def likelihood(counts: np.ndarray, sums: np.ndarray, own) -> np.ndarray:
+        """log P(value | language) with half a count added and without the row's own vote; the background has the mean of all languages."""
+        mine = np.zeros(len(languages))
+        if own is not None:
+            mine[own] = 1
+        x = np.log((counts - mine + 0.5) / (sums - mine))
+        return np.append(x, x.mean())
 
-    by_declared = logs(declarations, [*languages, "other"])
     overall = (total + 1) / (total + 1).sum() if len(languages) else total
     names = [*ids, "text_language", "language", "posterior", "rejected"]
     kinds = dict(docs.dtypes)
@@ -195,25 +199,24 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
                 prior = smoothed(hv, own, smoothed(dv, own, overall, DOMAIN_WEIGHT), HOST_WEIGHT)
                 log = ll + np.append(np.log(prior), np.log(1e-3))
                 if decl:
-                    log = log + by_declared[decl if decl in by_declared else "other"]
+                    log = log + likelihood(declared_counts[decl if decl in declared_counts else "other"], declared_sums, own)
                 if suffix:
-                    counts = np.full(len(languages), 0.5)
+                    counts = np.zeros(len(languages))
                     for j, m in sv or ():
-                        counts[j] += m
-                    x = np.log(counts / spread)
-                    log = log + np.append(x, x.mean())
+                        counts[j] = m
+                    log = log + likelihood(counts, spread, own)
                 p = _spread(log)
                 k = int(p.argmax())
                 best.append(every[k]), post.append(float(p[k])), bad.append(k == len(languages) or p[k] < min_posterior)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(first, pa.string()), pa.array(best, pa.string()), pa.array(post, pa.float64()), pa.array(bad, pa.bool_())], names=names)
 
-    joined = rows.join(by_host, "host", "left").join(by_suffix, "suffix", "left").select(*ids, "lls", "vote", "declared", "suffix", "host_votes", "domain_votes", "suffix_votes")
+    joined = rows.join(by_host, "host", "left").join(domains, "domain", "left").join(by_suffix, "suffix", "left").select(*ids, "lls", "vote", "declared", "suffix", "host_votes", "domain_votes", "suffix_votes")
     return joined.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in ids), "text_language string, language string, posterior double, rejected boolean"]))
 
 
-def of_documents(docs: DataFrame, model: TextModel, min_posterior: float = 0.4) -> DataFrame:
+def of_documents(docs: DataFrame, model: TextModel, min_posterior: float = 0.4, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Documents carry no markup or address; their source is the host."""
-    return identify(docs, model, ["doc_id"], F.col("text"), F.col("source"), F.lit(None), min_posterior=min_posterior)
+    return identify(docs, model, list(ids), F.col("text"), F.col("source"), F.lit(None), min_posterior=min_posterior)
 
 
 def of_pages(pages: DataFrame, model: TextModel, min_posterior: float = 0.4) -> DataFrame:
@@ -224,10 +227,12 @@ def of_pages(pages: DataFrame, model: TextModel, min_posterior: float = 0.4) ->
 
 
 def keep_identified(docs: DataFrame, min_posterior: float = 0.4) -> DataFrame:
-    """Rows of docs whose language is known; their label column teaches, it does not decide. Rows without an id stay."""
-    found = of_documents(docs, train(docs), min_posterior)
-    lost = found.filter("rejected").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(lost, docs["doc_id"] == lost["_id"], "left_anti")
+    """Rows of docs whose language is known; their label column teaches, it does not decide. Rows that share text and source are decided alike."""
+    key = row_key(F.col("source"), F.col("text"))
+    with scratch() as last:
+        found = of_documents(docs.select(key.alias("_key"), "source", "text"), train(docs), min_posterior, ids=("_key",))
+        lost = last(keep(found.filter("rejected").select("_key"), "language-lost"))
+    return prune(docs, key, lost)
 
 
 def query(spark: SparkSession, sf_dir: str, modulus: int = 5, held: int = 1) -> DataFrame:

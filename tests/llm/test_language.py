@@ -19,28 +19,34 @@ TEACH = [(k, t, lang, f"s{k % 3}", 1) for k in range(30) for t, lang in [("the c
 
 
 def brute(rows, model, hosts, decls):
-    """The fusion written out for each row, without joins."""
+    """The fusion written out for each row, without joins: every level and table counts the other rows' votes."""
     langs, votes = model.languages, []
+    every = range(len(langs))
     for text in rows:
         ll = model.likelihoods(text.encode())
         p = op._spread(ll + np.append(model.prior, np.log(1e-3)))
         votes.append(int(p.argmax()) if p.max() >= 0.9 and p.argmax() < len(langs) else None)
-    total = np.array([sum(v == k for v in votes) for k in range(len(langs))], float)
+    total = np.array([sum(v == k for v in votes) for k in every], float)
     overall = (total + 1) / (total + 1).sum()
     names = [*langs, "other"]
-    grid = np.array([[0.5 + sum(d == n and v == k for d, v in zip(decls, votes)) for k in range(len(langs))] for n in names])
-    grid = np.log(grid / grid.sum(0))
+    parts = [h.split(".") for h in hosts]
+    domains = [".".join(p[-2:]) if len(p) > 1 else None for p in parts]
+    suffixes = [p[-1] if len(p) > 1 else None for p in parts]
+    kinds = {s for s, v in zip(suffixes, votes) if s and v is not None}
     out = []
-    for text, host, decl, own in zip(rows, hosts, decls, votes):
-        counts = np.array([sum(h == host and v == k for h, v in zip(hosts, votes)) for k in range(len(langs))], float)
-        if own is not None:
-            counts[own] -= 1
-        # the hosts have no domain: the level between them and the whole table is the whole table
-        prior = (counts + op.HOST_WEIGHT * overall) / (counts.sum() + op.HOST_WEIGHT)
-        log = model.likelihoods(text.encode()) + np.append(np.log(prior), np.log(1e-3))
-        if decl:
-            x = grid[names.index(decl)]
-            log = log + np.append(x, x.mean())
+    for i, text in enumerate(rows):
+        others = [j for j in range(len(rows)) if j != i and votes[j] is not None]
+        count = lambda values, value: np.array([sum(values[j] == value and votes[j] == k for j in others) for k in every], float)
+        given = lambda values: np.array([sum(bool(values[j]) and votes[j] == k for j in others) for k in every], float)
+        log = model.likelihoods(text.encode())
+        domain = count(domains, domains[i]) if domains[i] else np.zeros(len(langs))
+        above = (domain + op.DOMAIN_WEIGHT * overall) / (domain.sum() + op.DOMAIN_WEIGHT)
+        host = count(hosts, hosts[i])
+        log = log + np.append(np.log((host + op.HOST_WEIGHT * above) / (host.sum() + op.HOST_WEIGHT)), np.log(1e-3))
+        for values, spare in ((decls, len(names)), (suffixes, len(kinds) + 1)):
+            if values[i]:
+                x = np.log((count(values, values[i]) + 0.5) / (given(values) + 0.5 * spare))
+                log = log + np.append(x, x.mean())
         out.append(op._spread(log))
     return out
 
@@ -48,9 +54,9 @@ def brute(rows, model, hosts, decls):
 def test_equals_brute_force(spark):
     model = op.train(documents(spark, TEACH))
     assert model.languages == ["en", "fr"]
-    texts = ["the dog", "le chien", "la maison de", "of the", "chat", "x", "qq", "the cat and", "le", "a"]
-    hosts = ["h1", "h2", "h2", "h1", "h2", "h2", "h1", "h1", "h3", "h3"]
-    decls = ["en", "fr", "fr", "en", "en", "fr", "", "en", "other", "en"]
+    texts = ["the dog", "le chien", "la maison de", "of the", "chat", "x", "qq", "the cat and", "le", "a"] * 2
+    hosts = ["h1", "h2", "h2", "a.h1.com", "b.h2.fr", "b.h2.fr", "a.h1.com", "c.h1.com", "h3.com", "h3.fr", "c.h1.com", "h3.fr", "b.h2.fr", "x.h3.com", "h2", "d.h2.fr", "h9.zz", "a.h1.com", "h1", "h3.com"]
+    decls = ["en", "fr", "fr", "en", "en", "fr", "", "en", "other", "en"] * 2
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(zip(texts, hosts, decls))], "doc_id long, text string, h string, d string")
     got = {r.doc_id: r for r in op.identify(df, model, ["doc_id"], F.col("text"), F.col("h"), F.when(F.col("d") == "other", "zz").otherwise(F.col("d"))).collect()}
     for k, p in enumerate(brute(texts, model, hosts, decls)):
