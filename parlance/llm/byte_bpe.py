@@ -5,7 +5,10 @@ printable characters, one for each byte, and scored by its negative rank, with i
 of sentencepiece (highest score first, then leftmost) are then the merges by lowest rank. Pre-tokens, the
 matches of the splitting pattern, are mapped and encoded separately; decoding maps pieces back to bytes.
 
-Defined cases: null counts as empty text, which has no tokens; further columns are ignored; rows are independent.
+Bounds: a task remembers at most REMEMBERED pre-tokens of at most REMEMBERED_BYTES bytes each; longer ones, which may be whole texts, are encoded anew.
+
+Defined cases: null counts as empty text, which has no tokens; texts and pre-tokens of any length are encoded whole; rows are independent,
+so null ids and rows that repeat pass through; an empty table gives an empty result; further columns are ignored unless ``keep_cols`` names them.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import table
+from parlance.llm.common import slices, table
 
-#: Pre-tokens remembered by a task; the memory is emptied when full.
-REMEMBERED = 200_000
+#: Pre-tokens remembered by a task, and their length; the memory is emptied when full.
+REMEMBERED, REMEMBERED_BYTES = 200_000, 64
 #: The white space of the pattern's \s, without the separators 1C-1F that Python's \s adds.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -89,6 +92,7 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers."""
         parts, seen = self.split(text), self.seen
         new = [p for p in dict.fromkeys(parts) if p not in seen]
+        long: dict[str, bytes] = {}
         if new:
             if len(seen) > REMEMBERED:
                 seen.clear()
@@ -97,8 +101,8 @@ class Codec:
             for part, ids in zip(new, self.model.encode(mapped, out_type=int, num_threads=1)):
                 if self.unknown in ids:
                     raise ValueError(f"the vocabulary has no token for a byte of {part[:40]!r}")
-                seen[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join([seen[p] for p in parts])
+                (seen if len(part) * 4 <= REMEMBERED_BYTES else long)[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([seen[p] if p in seen else long[p] for p in parts]) if long else b"".join([seen[p] for p in parts])
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
@@ -110,7 +114,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     def run(batches):
         codec = Codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in slices(batches, len(carried)):
             n, sha, back, lists = [], [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 ids = codec.encode(text or "")
