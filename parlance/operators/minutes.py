@@ -10,6 +10,19 @@ from parlance.operators.stats import assigned, heard, resolve_speakers
 from parlance.schemas import NOISE, SCHEMA_VERSION, SPECIALS, UNKNOWN_LABEL
 
 RID = "recording_id"
+# What minutes say, in the order in which it is said.
+NOTE_ALL = "※ 話者ラベルはユーザーが音声を聴いて割り当てたものです(全 "
+NOTE_HEARD = " 区間中、聴いて確定 "
+NOTE_BULK = "、まとめて適用 "
+NOTE_OPEN = "、未確定 "
+NOTE_UNIT = " 区間"
+NOTE_END = ")。"
+ATTENDEES = "出席者: "
+MODES = {"cloud": "クラウド", "local": "ローカル"}
+ITEMS = ("元音声", "SHA-256", "処理経路", "版", "話者の確認", "時刻の修正", "注意")
+HEARD, BULK, OPEN = "聴いて確定 ", " / まとめて適用 ", " / 未確定 "
+TIMES_HEARD, TIMES_BULK = "聴いて確認 ", " / 適用のみ "
+CAUTION = "本書の記載は確認の履歴であり、内容の正しさや法的効力を保証するものではありません。"
 
 
 def minutes(segments: DataFrame, merge_consecutive: bool = True, drop_noise: bool = True) -> DataFrame:
@@ -43,9 +56,9 @@ def review_note(segments: DataFrame) -> DataFrame:
     """One sentence per recording on what was heard, applied in bulk, and left open."""
     t = {c: F.col(c).cast("string") for c in ("total", "heard", "bulk", "open")}
     note = F.concat(
-        F.lit("※ 話者ラベルはユーザーが音声を聴いて割り当てたものです(全 "), t["total"], F.lit(" 区間中、聴いて確定 "), t["heard"], F.lit(" 区間"),
-        F.when(F.col("bulk") > 0, F.concat(F.lit("、まとめて適用 "), t["bulk"], F.lit(" 区間"))).otherwise(""),
-        F.when(F.col("open") > 0, F.concat(F.lit("、未確定 "), t["open"], F.lit(" 区間"))).otherwise(""), F.lit(")。"),
+        F.lit(NOTE_ALL), t["total"], F.lit(NOTE_HEARD), t["heard"], F.lit(NOTE_UNIT),
+        F.when(F.col("bulk") > 0, F.concat(F.lit(NOTE_BULK), t["bulk"], F.lit(NOTE_UNIT))).otherwise(""),
+        F.when(F.col("open") > 0, F.concat(F.lit(NOTE_OPEN), t["open"], F.lit(NOTE_UNIT))).otherwise(""), F.lit(NOTE_END),
     )
     return _counts(segments).select(RID, note.alias("note"))
 
@@ -53,18 +66,18 @@ def review_note(segments: DataFrame) -> DataFrame:
 def _facts(revision: Column) -> Column:
     """Items and values of the verification summary as an array of (seq, item, value)."""
     t = {c: F.coalesce(F.col(c), F.lit(0)).cast("string") for c in ("heard", "bulk", "open", "t_heard", "t_bulk")}
-    mode = F.when(F.col("engine_mode") == "cloud", "クラウド").when(F.col("engine_mode") == "local", "ローカル").otherwise(F.col("engine_mode"))
+    mode = F.when(F.col("engine_mode") == "cloud", MODES["cloud"]).when(F.col("engine_mode") == "local", MODES["local"]).otherwise(F.col("engine_mode"))
     route = F.array_join(F.filter(F.array(mode, F.col("engine_model"), F.col("engine_at")), lambda x: F.coalesce(x, F.lit("")) != ""), " / ")
-    row = lambda seq, item, value, keep=None: F.when(keep if keep is not None else F.lit(True), F.struct(F.lit(seq).alias("seq"), F.lit(item).alias("item"), value.alias("value")))
+    row = lambda seq, value, keep=None: F.when(keep if keep is not None else F.lit(True), F.struct(F.lit(seq).alias("seq"), F.lit(ITEMS[seq - 1]).alias("item"), value.alias("value")))
     return F.array_compact(
         F.array(
-            row(1, "元音声", F.concat(F.regexp_extract("audio_path", r"([^/\\]*)$", 1), F.lit(" ("), format_hms(F.col("duration")), F.lit(")"))),
-            row(2, "SHA-256", F.col("source_sha256"), F.coalesce("source_sha256", F.lit("")) != ""),
-            row(3, "処理経路", route, (F.coalesce("engine_mode", F.lit("")) != "") | (F.coalesce("engine_model", F.lit("")) != "")),
-            row(4, "版", F.concat(F.lit("revision "), revision.cast("string"), F.lit(f" (schema {SCHEMA_VERSION})"))),
-            row(5, "話者の確認", F.concat(F.lit("聴いて確定 "), t["heard"], F.lit(" / まとめて適用 "), t["bulk"], F.lit(" / 未確定 "), t["open"])),
-            row(6, "時刻の修正", F.concat(F.lit("聴いて確認 "), t["t_heard"], F.lit(" / 適用のみ "), t["t_bulk"])),
-            row(7, "注意", F.lit("本書の記載は確認の履歴であり、内容の正しさや法的効力を保証するものではありません。")),
+            row(1, F.concat(F.regexp_extract("audio_path", r"([^/\\]*)$", 1), F.lit(" ("), format_hms(F.col("duration")), F.lit(")"))),
+            row(2, F.col("source_sha256"), F.coalesce("source_sha256", F.lit("")) != ""),
+            row(3, route, (F.coalesce("engine_mode", F.lit("")) != "") | (F.coalesce("engine_model", F.lit("")) != "")),
+            row(4, F.concat(F.lit("revision "), revision.cast("string"), F.lit(f" (schema {SCHEMA_VERSION})"))),
+            row(5, F.concat(F.lit(HEARD), t["heard"], F.lit(BULK), t["bulk"], F.lit(OPEN), t["open"])),
+            row(6, F.concat(F.lit(TIMES_HEARD), t["t_heard"], F.lit(TIMES_BULK), t["t_bulk"])),
+            row(7, F.lit(CAUTION)),
         )
     )
 
@@ -85,7 +98,7 @@ def minutes_document(
     if include_attendees:
         shown = F.when(F.coalesce("note", F.lit("")) != "", F.concat("name", F.lit("("), "note", F.lit(")"))).otherwise(F.col("name"))
         names = speakers.groupBy(RID).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", shown.alias("t")))), lambda x: x["t"]), "、").alias("names"))
-        parts.append(sec(names, 2, F.lit(0), F.concat(F.lit("出席者: "), "names")))
+        parts.append(sec(names, 2, F.lit(0), F.concat(F.lit(ATTENDEES), "names")))
     if include_note:
         parts.append(sec(review_note(segments), 3, F.lit(0), F.col("note"), "grey"))
     body = resolve_speakers(minutes(segments, merge_consecutive, drop_noise), speakers)

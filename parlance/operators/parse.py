@@ -15,6 +15,7 @@ from parlance.schemas import PSEUDO_LABELS
 KEY = ["recording_id", "chunk"]
 # The head of a line, [h:mm:ss.f] in any bracket, then a label in 【】 or [], then the text.
 HEADER = r"(?U)^\s*[\[［(（]\s*(?:(\d{1,2})\s*[:：]\s*)?(\d{1,3})\s*[:：]\s*(\d{1,2})(?:[.,]\d+)?\s*[\]］)）]\s*(?:[【\[]\s*([^】\]]{1,24}?)\s*[】\]])?\s*(.*)$"
+# Times inside a text, and the head of a line of minutes.
 RELATIVE = r"\[(\d{1,2}):(\d{2})\]"
 LEAD = r"^(\[\d{1,2}:\d{2}(?::\d{2})?\])\s*(【[^】]+】)?\s*(.*)"
 MERGE_SECONDS, MERGE_GAP = 180.0, 20.0

@@ -13,15 +13,22 @@ REASONS = ("unmatched", "reviewed", "short_match", "low_coverage", "scattered",
 WEAK = ("low_coverage", "short_match", "scattered", "stretched", "head_lost", "conflicted")
 
 
+# How evidence is worded.
+MATCHED = "一致 %d/%d 文字(被覆 %.0f%%)・ずれ 開始 %+.1f 秒"
+TAIL_KEPT = "・終わりは測れず(いまの長さを保つ)"
+TAIL = " / 終了 %+.1f 秒"
+HEAD = "・頭の欠け %d 字を %.1f 秒手前に補正"
+
+
 def proposal_id(kind: Column, orig_start: Column, start: Column, end: Column) -> Column:
     """The same evidence gives the same id."""
     return F.substring(F.sha2(F.format_string("%s|%.3f|%.2f|%.2f", kind, orig_start, start, end).cast("binary"), 256), 1, 12)
 
 
 def evidence(matched: Column, total: Column, coverage: Column, d_start: Column, d_end: Column, keep_tail: Column, head_gap: Column, head_seconds: Column) -> Column:
-    base = F.format_string("一致 %d/%d 文字(被覆 %.0f%%)・ずれ 開始 %+.1f 秒", matched, total, coverage * 100, d_start)
-    tail = F.when(keep_tail, "・終わりは測れず(いまの長さを保つ)").otherwise(F.format_string(" / 終了 %+.1f 秒", d_end))
-    return F.concat(base, tail, F.when(head_seconds >= 0.1, F.format_string("・頭の欠け %d 字を %.1f 秒手前に補正", head_gap, head_seconds)).otherwise(""))
+    base = F.format_string(MATCHED, matched, total, coverage * 100, d_start)
+    tail = F.when(keep_tail, TAIL_KEPT).otherwise(F.format_string(TAIL, d_end))
+    return F.concat(base, tail, F.when(head_seconds >= 0.1, F.format_string(HEAD, head_gap, head_seconds)).otherwise(""))
 
 
 def confidence_band(confidence: Column) -> Column:

@@ -18,6 +18,8 @@ CLUSTER, BOUNDARY, LETTER, FORWARD, BACKWARD, FREQUENCY, ROSTER = 100.0, 45.0, 2
 REPEAT_PENALTY, THIN = 8.0, 6
 FULL_LETTER, FULL_TRANSITION, FULL_FREQUENCY = 4, 8, 10
 RID = "recording_id"
+# How reasons are worded.
+TIMES, ACROSS, AFTER, BEFORE = "回", "境界の続き", "の次: ", "の前: "
 
 
 def _total(df: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -71,15 +73,15 @@ def rank_candidates(segments: DataFrame, speakers: DataFrame, include_special: b
     )
 
     def times(c: Column) -> Column:
-        return F.concat(c.cast("string"), F.lit("回"))
+        return F.concat(c.cast("string"), F.lit(TIMES))
 
     reasons = F.array_compact(
         F.array(
             F.when(own_votes > 0, F.concat(cluster_title(F.col("cluster")), F.lit(": "), times(own_votes))),
-            F.when(border, F.lit("境界の続き")),
+            F.when(border, F.lit(ACROSS)),
             F.when(count["lv"] > 0, F.concat(F.lit("【"), F.col("label"), F.lit("】: "), times(count["lv"]))),
-            F.when(count["fw"] > 0, F.concat(F.col("prev_speaker"), F.lit("の次: "), times(count["fw"]))),
-            F.when(count["bw"] > 0, F.concat(F.col("next_speaker"), F.lit("の前: "), times(count["bw"]))),
+            F.when(count["fw"] > 0, F.concat(F.col("prev_speaker"), F.lit(AFTER), times(count["fw"]))),
+            F.when(count["bw"] > 0, F.concat(F.col("next_speaker"), F.lit(BEFORE), times(count["bw"]))),
         )
     )
     scored = rows.select(RID, "idx", F.col("candidate").alias("speaker_id"), score.alias("score"), reasons.alias("reasons"), "ord")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators.parse import accumulate_offsets
-from parlance.plans.text_queries import chunks_of
+from parlance.plans.text_queries import TRANSCRIPT, chunks_of
 from parlance.plans.views import with_views
 from parlance.sources.shared import work_path
 from parlance.streaming import jobs
@@ -59,6 +59,7 @@ def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"x1_stream_segments": _segments, "x2_stream_progress": _progress, "x3_stream_edits": _edits, "x4_stream_activity": _activity}
 
 ORACLES = {
+    "x1_stream_segments": with_views(f"WITH {TRANSCRIPT} SELECT * FROM transcript"),
     "x2_stream_progress": with_views("SELECT recording_id, count(*) AS total, count(speaker_id) AS assigned, count(*) FILTER (speaker_id IS NOT NULL AND reviewed) AS reviewed FROM segments_ev GROUP BY 1"),
     "x3_stream_edits": "SELECT user_id AS recording_id, event_id % 20 AS target, arg_max(event_id, (ts, event_id)) AS batch_id, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY 1, 2",
     "x4_stream_activity": "SELECT user_id AS recording_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS from_s, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) + 3600 AS to_s, count(*) AS n FROM events GROUP BY 1, 2, 3",

@@ -43,6 +43,21 @@ LINES = CHUNKS + """
 """
 
 
+_FIT = LINES.index(", need AS (")
+#: The whole parse job: chunks without a length have 60 seconds, rows of one voice are joined (a chunk is shorter than the cap on joined rows).
+TRANSCRIPT = LINES[:_FIT].replace("any_value(length) AS length", "CASE WHEN any_value(length) > 0 THEN any_value(length) ELSE 60.0 END AS length") + """
+, mx AS (SELECT *, coalesce(cluster = lag(cluster) OVER w AND cluster NOT IN ('?', '*') AND rel - lag(rel_end) OVER w <= 20, false) AS same FROM raw WINDOW w AS (PARTITION BY recording_id, chunk ORDER BY line_no))
+, my AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id, chunk ORDER BY line_no) AS isl FROM mx)
+, mz AS (SELECT *, CASE WHEN lead(isl) OVER w = isl AND instr('。、．，!?！？」』）)…・ー~〜-', right(text, 1)) = 0 AND instr('。、．，!?！？」』）)…・ー~〜-', left(lead(text) OVER w, 1)) = 0 THEN '、' ELSE '' END AS mark FROM my WINDOW w AS (PARTITION BY recording_id, chunk ORDER BY line_no))
+, merged AS (SELECT recording_id, chunk, any_value(length) AS length, any_value(chunk_len) AS chunk_len, min(line_no) AS line_no, any_value(cluster) AS cluster, arg_min(rel, line_no) AS rel, arg_max(rel_end, line_no) AS rel_end, string_agg(concat(text, mark), '' ORDER BY line_no) AS text FROM mz GROUP BY recording_id, chunk, isl)
+""" + LINES[_FIT:].replace("FROM raw WINDOW", "FROM merged WINDOW") + """
+, ofs AS (SELECT recording_id, chunk, coalesce(sum(length) OVER (PARTITION BY recording_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM chunks_v)
+, fin AS (SELECT recording_id, chunk, line_no, text, concat(chunk, ':', cluster) AS cluster, off + rel AS a, off + CASE WHEN lead(line_no) OVER w IS NULL THEN greatest(rel_end, chunk_len) ELSE rel_end END AS b
+          FROM red JOIN ofs USING (recording_id, chunk) WINDOW w AS (PARTITION BY recording_id, chunk ORDER BY line_no))
+, transcript AS (SELECT recording_id, chunk, row_number() OVER (PARTITION BY recording_id, chunk ORDER BY line_no) - 1 AS idx, round_even(a * 100, 0) / 100 AS seg_start, round_even(CASE WHEN b <= a THEN a + 1 ELSE b END * 100, 0) / 100 AS seg_end, text, cluster FROM fin)
+"""
+
+
 def _raw(spark, sf_dir):
     return parse.raw_segments(chunks_of(spark, sf_dir))
 
@@ -185,6 +200,7 @@ _ORACLES = {
       md5(concat('a。', t, '!b、c')) AS joined FROM (SELECT *, trim(text) AS t FROM conversations)""",
     "t10_redistribute_times": f"WITH {LINES} SELECT recording_id, chunk, line_no, cluster, rel, rel_end FROM red",
     "t11_finalize_segments": f"WITH {LINES} , f AS (SELECT *, row_number() OVER w - 1 AS idx, CASE WHEN lead(line_no) OVER w IS NULL THEN greatest(rel_end, chunk_len) ELSE rel_end END AS e FROM red WINDOW w AS (PARTITION BY recording_id, chunk ORDER BY line_no)) SELECT recording_id, chunk, idx, round_even(rel * 100, 0) / 100 AS seg_start, round_even(CASE WHEN e <= rel THEN rel + 1 ELSE e END * 100, 0) / 100 AS seg_end, concat(chunk, ':', cluster) AS cluster FROM f",
+    "t12_parse_transcripts": f"WITH {TRANSCRIPT} SELECT * REPLACE (row_number() OVER (PARTITION BY recording_id ORDER BY chunk, idx) - 1 AS idx) FROM transcript",
     "t13_accumulate_offsets": f"WITH {CHUNKS} SELECT recording_id, chunk, coalesce(sum(len) OVER (PARTITION BY recording_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS \"offset\", greatest(1.0, len) AS length FROM (SELECT *, CASE WHEN length > 0 THEN length ELSE 600.0 END AS len FROM chunks_v)",
     "t14_renumber": "SELECT recording_id, seg_start, row_number() OVER (PARTITION BY recording_id ORDER BY chunk, idx) - 1 AS idx FROM segments_ev",
     "t15_shift_timestamps": f"""WITH {CHUNKS} SELECT recording_id, chunk, md5(string_agg(CASE WHEN hit THEN concat('[', lpad(CAST(v // 3600 AS VARCHAR), 2, '0'), ':', lpad(CAST(v % 3600 // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(v % 60 AS VARCHAR), 2, '0'), ']', substr(part, 8)) ELSE part END, chr(10) ORDER BY k)) AS digest

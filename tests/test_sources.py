@@ -57,6 +57,6 @@ def test_hashes_and_rosters(spark, tmp_path):
     for limit in (caches.BINARY_BYTES, len(data), 1):  # read by Spark, in part, or in pieces by the tasks
         assert {r["size"]: (r.fingerprint, r.sha256) for r in caches.hash_files(spark, str(tmp_path / "*.bin"), limit).collect()} == want
     assert caches._digests(3, caches._pieces("file:/nowhere/at/all")) == ("", "")
-    (tmp_path / "r.txt").write_text("佐藤\n\n- 鈴木(理事): 議長役\n・田中：会計\n高橋（監事）", encoding="utf-8")
+    (tmp_path / "r.txt").write_text("* 森下（書記）：記録\n西\n\n\n・東（顧問）\n- 北川: 進行", encoding="utf-8")
     got = [(r.speaker_id, r.name, r.note, r.ord) for r in caches.read_rosters(spark, str(tmp_path / "r.txt")).orderBy("ord").collect()]
-    assert got == [("sp01", "佐藤", "", 0), ("sp03", "鈴木", "理事 / 議長役", 1), ("sp04", "田中", "会計", 2), ("sp05", "高橋", "監事", 3)]
+    assert got == [("sp01", "森下", "書記 / 記録", 0), ("sp02", "西", "", 1), ("sp05", "東", "顧問", 2), ("sp06", "北川", "進行", 3)]
