@@ -8,6 +8,8 @@ from parlance.functions import columns
 from parlance.operators import edits, jobs, proposals, rosters, snapshots
 from parlance.plans.segment_queries import on
 from parlance.plans.views import view, with_views
+from parlance.sources import caches
+from parlance.sources.shared import work_path
 
 RID = "recording_id"
 WANTED = """SELECT recording_id, CASE WHEN speaker_id = 'sp02' THEN concat('New ', recording_id) ELSE name END AS name, CASE WHEN speaker_id = 'sp03' THEN 'guest' ELSE '' END AS note, 9 - ord AS ord
@@ -199,6 +201,23 @@ def _undone_all(s, d):
     return rows.select(RID, "idx", "speaker_id", "reviewed", F.round("seg_start", 3).alias("seg_start"), F.round("seg_end", 3).alias("seg_end"), "time_edited", "time_reviewed", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
+def _stored_words(s, d):
+    """Words written to the shared folder and read back."""
+    e = view(s, d, "events")
+    words = e.select(F.col("user_id").alias(RID), F.col("event_type").alias("text"), (F.col("event_id") * 0.5).alias("start"), (F.col("event_id") * 0.5 + 0.25).alias("end"))
+    path = work_path(s, "words")
+    caches.write_words(words, path, model="small")
+    return caches.read_words(s, path)
+
+
+def _stored_proposals(s, d):
+    """Proposals written by fingerprint and read back; recordings without one keep none."""
+    prints = view(s, d, "recordings_v").select(RID, F.col("audio_fingerprint").alias("fingerprint"))
+    path = work_path(s, "proposals")
+    caches.write_proposals(view(s, d, "proposals_v").join(prints, RID), path)
+    return caches.read_proposals(s, path).select(RID, "id", "p_start", F.col("fingerprint").cast("string").alias("fingerprint"))
+
+
 def _formats(s, d):
     t = (F.col("event_id") * 7.25 + 0.5).alias("t")
     rows = view(s, d, "events").select("event_id", t)
@@ -244,6 +263,8 @@ QUERIES = {
     "j5_remove_from_segments": lambda s, d: _states(rosters.remove_speakers(view(s, d, "speakers_v"), view(s, d, "segments_v"), _lost(s, d))[1]),
     "j5b_add_speakers": lambda s, d: rosters.add_speakers(view(s, d, "speakers_v"), _new_people(s, d)),
     "j6_carry_over": _carried,
+    "s4_words": _stored_words,
+    "s5_proposals": _stored_proposals,
     "j6_audit": lambda s, d: _carry(s, d)[1],
     "j6_rerun": _rerun,
     "j7_target_segments": lambda s, d: snapshots.target_segments(view(s, d, "proposals_v"), view(s, d, "segments_v"), view(s, d, "recordings_v")).select(RID, "id", "idx"),
@@ -290,6 +311,8 @@ _ORACLES = {
     "j5_remove_from_segments": "SELECT recording_id, idx, CASE WHEN speaker_id IS DISTINCT FROM 'sp02' THEN speaker_id END AS speaker_id, reviewed AND speaker_id IS DISTINCT FROM 'sp02' AS reviewed FROM segments_v",
     "j5b_add_speakers": "SELECT * FROM speakers_v UNION ALL SELECT recording_id, concat('sp', lpad(CAST(CASE WHEN n = 4 THEN i + 6 ELSE n + 1 + i END AS VARCHAR), 2, '0')), CASE i WHEN 0 THEN 'x' ELSE 'y' END, '', CAST(n + i AS INT) FROM (SELECT recording_id, count(*) AS n FROM speakers_v GROUP BY 1), range(2) AS t(i)",
     "j6_carry_over": f"WITH {CARRY} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY pos, seg_start, idx) - 1 AS idx, round(seg_start, 3) AS seg_start, speaker_id, reviewed, note, text_edited, time_edited, md5(text) AS text FROM rows3",
+    "s4_words": "SELECT user_id AS recording_id, event_type AS text, event_id * 0.5 AS start, event_id * 0.5 + 0.25 AS \"end\", 'small' AS model FROM events",
+    "s5_proposals": "SELECT p.recording_id, id, p_start, audio_fingerprint AS fingerprint FROM proposals_v p JOIN recordings_v USING (recording_id) WHERE audio_fingerprint <> ''",
     "j6_audit": f"""WITH {CARRY}, ab AS ({ABSORBED}), c AS (SELECT recording_id, count(*) FILTER (how <> 'new' AND speaker_id IS NOT NULL) AS carried, count(*) FILTER (how <> 'new' AND text_edited) AS texts, count(*) FILTER (how = 'replaced') AS replaced FROM rows3 GROUP BY 1)
       SELECT recording_id, coalesce(carried, 0) AS carried, coalesce(texts, 0) AS texts, coalesce(replaced, 0) AS replaced, coalesce(absorbed, 0) AS absorbed FROM c FULL JOIN ab USING (recording_id)""",
     "j6_rerun": f"""WITH {CARRY}, {SAME}, wt AS ({WANTED.replace("{speakers_v} AS speakers_v", "speakers_v")})
