@@ -65,7 +65,6 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     both.select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
-
 def _parse(piece: bytes) -> tuple[int, int, dict] | None:
     """Header length, content length and fields of a record whose magic has been cut off; None if it is no header."""
     end = piece.find(b"\r\n\r\n")
@@ -133,17 +132,26 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
-    """(file, off) of the nodes (file, off, next) that a chain from offset 0 of their file reaches; by pointer jumping."""
-    state = keep(nodes.select("file", "off", F.col("next").alias("jump"), (F.col("off") == 0).alias("reached")), "chain")
-    while True:
-        further = state.select("file", F.col("off").alias("jump"), F.col("jump").alias("jump2"))
-        marks = state.filter("reached and jump is not null").select("file", F.col("jump").alias("off"), F.lit(True).alias("hit"))
-        after = state.join(further, ["file", "jump"], "left").join(marks, ["file", "off"], "left")
-        after = keep(after.select("file", "off", F.col("jump2").alias("jump"), (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached")), "chain")
-        discard(state)
-        state = after
-        if state.filter("reached and jump is not null").isEmpty():
-            return state.filter("reached").select("file", "off")
+    """(file, off) of the nodes (file, off, next) that a chain from offset 0 of their file reaches; by pointer jumping.
+
+    After k rounds a node points 2**k records on and the first 2**k records of each chain are reached. Only pointers that
+    still lead to a node are carried on, so a round's table shrinks with what is left of the chains."""
+    here = nodes.select("file", F.col("off").alias("jump"))
+    live = keep(nodes.select("file", "off", F.col("next").alias("jump")).join(here, ["file", "jump"], "left_semi"), "chain")
+    reached = [keep(nodes.filter("off = 0").select("file", "off"), "reached")]
+    while not live.isEmpty():
+        so_far = reached[0]
+        for part in reached[1:]:
+            so_far = so_far.unionByName(part)
+        reached.append(keep(live.join(so_far, ["file", "off"], "left_semi").select("file", F.col("jump").alias("off")), "reached"))
+        further = live.select("file", F.col("off").alias("jump"), F.col("jump").alias("jump2"))
+        after = keep(live.join(further, ["file", "jump"]).select("file", "off", F.col("jump2").alias("jump")), "chain")
+        discard(live)
+        live = after
+    out = reached[0]
+    for part in reached[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
