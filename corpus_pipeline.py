@@ -19,7 +19,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the one with the smallest doc_id."""
+    """Of each group of texts that share at least 0.8 of their five-word shingles the one with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 

@@ -21,12 +21,13 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import discard, keep, table, text_bytes, unsigned_hex
+from parlance.llm.common import discard, keep, prune, row_key, slices, table, take, text_bytes, unsigned_hex
 
 SEED = 42
 #: (first bit, bits) of the three segments.
@@ -163,11 +164,216 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_class, "fp").select(F.col("id").alias(id_col), unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """Rows of docs whose id names their component: one document of each group. Rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    lost = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(lost, docs[id_col] == lost["_id"], "left_anti")
+# Documents that share most of their shingles: links by similarity instead of bits.
+
+#: Golay segments of a long fingerprint; the words of its LONG_BITS bits.
+LONG_SEGMENTS, LONG_WORDS = 16, 6
+LONG_BITS = 23 * LONG_SEGMENTS
+#: Candidates may differ in so many of the first 64 and of all bits. Texts at 0.8 differ in 9.7 (sd 2.9) and 56 (sd 6.9) of them.
+NEAR_64, NEAR_ALL = 24, 100
+#: Texts and shingles of a block of a crowd.
+CROWD_BLOCK, CROWD_SHINGLES = 512, 1 << 20
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of lower-cased (A-Z) words; a shorter text is one shingle, one without words has none."""
+    words = text.lower().split()
+    n = min(shingle, len(words))
+    if not n:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = ends[n - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(last)].tolist(), last)], np.uint64))
+
+
+def _scramble(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent 64-bit hash of hashes."""
+    h = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def long_counts(shingles: np.ndarray) -> np.ndarray:
+    """For each of 384 bits the shingles that set it minus those that don't."""
+    out = np.zeros(64 * LONG_WORDS, np.int64)
+    for at in range(0, len(shingles), BLOCK):
+        part = shingles[at : at + BLOCK]
+        words = np.stack([_scramble(part, k) for k in range(LONG_WORDS)], axis=1).astype("<u8")
+        out += 2 * np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16).astype(np.int64) - len(part)
+    return out
+
+
+class SoftGolay:
+    """Decodes segments by how clear their bits are: the nearest codewords in the sense of the counts behind the bits."""
+
+    def __init__(self, best: int = 8):
+        code = np.arange(4096) << 11
+        code ^= _syndromes(code)
+        self.signs = (2 * (code[:, None] >> np.arange(23) & 1) - 1).astype(np.float32).T.copy()
+        self.best = best
+
+    def indices(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(indices, correlations) of the best codewords of each row of counts, best first; ties go to the lower index."""
+        fit = counts.astype(np.float32) @ self.signs
+        rows = np.arange(len(fit))
+        index, value = np.zeros((len(fit), self.best), np.int64), np.zeros((len(fit), self.best), np.float32)
+        for k in range(self.best):
+            index[:, k] = at = fit.argmax(1)
+            value[:, k] = fit[rows, at]
+            fit[rows, at] = -np.inf
+        return index, value
+
+    def keys(self, counts: np.ndarray, segments: int, probes: int) -> np.ndarray:
+        """(texts, keys): each run of ``segments`` neighbouring segments gives its ``probes`` best joint codewords."""
+        texts = len(counts)
+        index, value = (x.reshape(texts, LONG_SEGMENTS, self.best) for x in self.indices(counts[:, :LONG_BITS].reshape(-1, 23)))
+        ranks = np.array([r for r in np.ndindex(*[self.best] * segments) if np.prod([x + 1 for x in r]) <= probes])  # no other can be among the best
+        out = []
+        for first in range(LONG_SEGMENTS):
+            run = [(first + k) % LONG_SEGMENTS for k in range(segments)]
+            total = sum(value[:, g, ranks[:, k]] for k, g in enumerate(run))
+            chosen = ranks[np.argsort(-total, axis=1, kind="stable")[:, :probes]]
+            key = np.full((texts, probes), first, np.int64)
+            for k, g in enumerate(run):
+                key = key << 12 | np.take_along_axis(index[:, g], chosen[:, :, k], axis=1)
+            out.append(key)
+        return np.concatenate(out, axis=1)
+
+
+def sketches(rows: DataFrame, shingle: int, segments: int, probes: int) -> DataFrame:
+    """(doc_key, id, same, words, keys) of (doc_key, text, id): the digest of the shingle set, the long fingerprint and the Golay keys."""
+    names = ["doc_key", "id", "same", "words", "keys"]
+
+    def run(batches):
+        golay = SoftGolay(max(2, probes))
+        for batch in slices(batches, 1, 1 << 20):
+            sets = [shingle_set(t, shingle) for t in text_bytes(batch.column(1))]
+            for at in range(0, len(sets), 64):
+                part = sets[at : at + 64]
+                counts = np.stack([long_counts(x) for x in part])
+                words = np.packbits(counts > 0, axis=1, bitorder="little").view("<i8")
+                same = [xxhash.xxh3_128_digest(x.tobytes()) for x in part]
+                lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (words, golay.keys(counts, segments, probes))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(same, pa.binary()), *lists], names=names)
+
+    return rows.mapInArrow(run, f"doc_key string, id {dict(rows.dtypes)['id']}, same binary, words array<long>, keys array<long>")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of (node, text)."""
+
+    def run(batches):
+        for batch in slices(batches, 1):
+            sets = [shingle_set(t, shingle).view(np.int64) for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+def _joined(left: list, right: list | None, words: np.ndarray, other: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places whose sets are similar, none of which joins what others have joined already. right None: within left."""
+    everyone = left if right is None else left + right
+    root = list(range(len(everyone)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for a in range(len(left)):
+        first = a + 1 if right is None else 0
+        against = words[first:] if right is None else other
+        close = np.nonzero(np.bitwise_count(words[a] ^ against).sum(1, dtype=np.int64) <= NEAR_ALL)[0]
+        for b in (close + (first if right is None else len(left))).tolist():
+            x, y = find(a), find(b)
+            if x != y and similar(len(everyone[a] & everyone[b]), len(everyone[a]), len(everyone[b]), similarity):
+                root[y] = x
+                out.append((a, b))
+    return out
+
+
+def similar(common: int, a: int, b: int, similarity: float) -> bool:
+    return common > 0 and common >= similarity * (a + b - common) - 1e-9
+
+
+def crowd_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of (crowd, node, words, shingles): links that join every two members of a crowd whose sets are similar.
+
+    A crowd is cut into blocks; every pair of blocks is compared by a task, which returns no more links than it has members."""
+    sizes = members.groupBy("crowd").agg(F.greatest(F.ceil(F.count("*") / CROWD_BLOCK), F.ceil(F.sum(F.size("shingles")) / CROWD_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("crowd", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "words", "shingles")
+
+    def run(rows):
+        rows = rows.sort_values("node")
+        low = rows[rows.own == rows.low]
+        high = rows[(rows.own == rows.high) & (rows.low != rows.high)] if len(rows) and rows.low.iloc[0] != rows.high.iloc[0] else None
+        of = lambda part: [frozenset(x.tolist()) for x in part.shingles]
+        bits = lambda part: np.stack(part.words.to_list()).view(np.uint64) if len(part) else np.zeros((0, LONG_WORDS), np.uint64)
+        nodes = low.node.tolist() + ([] if high is None else high.node.tolist())
+        found = _joined(of(low), None if high is None else of(high), bits(low), None if high is None else bits(high), similarity)
+        return pd.DataFrame({"a": [nodes[x] for x, _ in found], "b": [nodes[y] for _, y in found]}, dtype="int64")
+
+    return sent.groupBy("crowd", "low", "high").applyInPandas(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, segments: int = 2, probes: int = 4, pair_limit: int = 48) -> DataFrame:
+    """(id, doc_key, group) of every row of docs: the row_key of its id and text, and a number that similar rows share.
+
+    Groups are what links of texts with ``similarity`` (common part of all shingles of either) or more join. A text's fingerprint of 368 bits is cut
+    into 16 Golay segments; each is decoded to its nearest codewords, judged by how many shingles stand behind each bit, and runs of
+    ``segments`` segments give ``probes`` keys each. Texts that share a key and are close in their bits are verified shingle by shingle.
+    Two texts at a similarity of 0.8 share one of 16 x 4 keys of two segments with probability 0.99, at 0.85 with over 0.999. Unrelated
+    texts share one with probability 1.5e-5, so for over some 10**8 texts take three segments and eight probes (0.94 and 0.99, 1e-8).
+    Keys of more than ``pair_limit`` texts are not paired: texts that such keys join form crowds, compared in blocks."""
+    key = row_key(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(key.alias("doc_key"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    drawn = keep(sketches(rows, shingle, segments, probes).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    place = F.col("row").cast("string")
+    # equal sets are one class, which its smallest row stands for
+    several = drawn.groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("n")).filter("n > 1")
+    several = keep(several.select(F.hex("same").alias("_key"), "node"), "sketch-classes")
+    copies = keep(take(drawn.select("row", "same"), F.hex("same"), several).filter("row <> node").select("row", "node"), "sketch-copies")
+    nodes = prune(drawn, place, copies.select(place.alias("_key")))
+
+    keyed = nodes.select(F.explode("keys").alias("key"), F.col("row").alias("node"), F.element_at("words", 1).alias("w"))
+    sizes = keep(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "_key"), "soft-key-sizes")
+    shared = keep(take(keyed, F.col("key"), sizes).drop("_key"), "soft-keys")
+    few = shared.filter(F.col("n") <= pair_limit)
+    left, right = few.select("key", F.col("node").alias("a"), F.col("w").alias("wa")), few.select("key", F.col("node").alias("b"), F.col("w").alias("wb"))
+    pairs = keep(left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= NEAR_64)).select("a", "b").distinct(), "soft-pairs")
+    crowded = shared.filter(F.col("n") > pair_limit).select("key", "node")
+    crowds = components(crowded.join(crowded.groupBy("key").agg(F.min("node").alias("least")), "key").filter("node <> least").select("node", "least").distinct(), "node", "least")
+    crowds = keep(crowds.select("node", F.col("root").alias("crowd")), "crowds")
+
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node")).distinct()
+    asked = take(nodes.select("row", "words", "doc_key"), place, keep(asked.withColumn("_key", F.col("node").cast("string")), "sketch-wanted"))
+    asked = keep(asked.select("node", "words", F.col("doc_key").alias("_key")), "sketch-asked")
+    texts = take(rows, F.col("doc_key"), asked.select("_key", "node")).dropDuplicates(["node"])
+    sets = keep(_sets(texts.select("node", "text"), shingle), "sketch-sets")
+    by = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    near = pairs.join(by("a"), "a").join(by("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    near = near.filter((F.col("common") > 0) & (F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9)).select("a", "b")
+    inside = crowd_links(crowds.join(asked.select("node", "words"), "node").join(sets, "node"), similarity)
+    joined = near.unionByName(inside).unionByName(copies.select(F.col("row").alias("a"), F.col("node").alias("b")))
+    roots = components(joined).filter("node <> root").select(F.col("node").alias("row"), "root")
+    return drawn.select("id", "doc_key", "row").join(keep(roots, "sketch-roots"), "row", "left").select("id", "doc_key", F.coalesce("root", "row").alias("group"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Of each group of similar texts the row with the smallest id; a null id stays only where its group has no other. Of rows that repeat id and text one stays."""
+    found = keep(similar_groups(docs, id_col, text_col, similarity, shingle), "sketch-groups")
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_key")).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    members = keep(found.join(best, "group").select(F.col("doc_key").alias("_key"), (F.col("doc_key") == F.col("best.doc_key")).alias("stays")), "sketch-members")
+    repeated = members.filter("stays").groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1")
+    return prune(docs, row_key(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))), members.filter("not stays"), repeated)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,9 @@
+import itertools
+import random
+import re
+
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,8 +13,6 @@ from tests.llm.cases import ROWS, documents
 
 
 def slow_fingerprint(text):
-    import re
-
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
     if not words:
@@ -74,10 +77,98 @@ def test_crowded_keys_lose_no_link(spark):
     check(spark, rows, pair_limit=48)
 
 
+def five_words(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def similar_pairs(texts, similarity=0.8):
+    sets = [five_words(t) for t in texts]
+    out = set()
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or len(a & b) >= similarity * len(a | b) - 1e-9:
+            out.add((i, j))
+    return out
+
+
+def similar_components(texts, similarity=0.8):
+    root = list(range(len(texts)))
+    for i, j in sorted(similar_pairs(texts, similarity)):
+        x, y = root[i], root[j]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def edited(rng, words, share):
+    return [rng.choice(["red", "green", "blue"]) + str(rng.randrange(99)) if rng.random() < share else w for w in words]
+
+
+def test_soft_decoding_equals_brute_force():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(-9, 10, (3, 64 * op.LONG_WORDS)).astype(float) + rng.random((3, 64 * op.LONG_WORDS)) / 8
+    golay = op.SoftGolay(5)
+    got = golay.keys(counts, 2, 5)
+    codewords = [int(c) for c in np.unique(np.arange(1 << 23)[op._syndromes(np.arange(1 << 23)) == 0])]
+    signs = np.array([[1 if c >> b & 1 else -1 for b in range(23)] for c in codewords])
+    assert len(codewords) == 4096 and min(c.bit_count() for c in codewords[1:]) == 7
+    for text in range(3):
+        fit = [signs @ counts[text, 23 * g : 23 * g + 23] for g in range(op.LONG_SEGMENTS)]
+        for first in range(op.LONG_SEGMENTS):
+            a, b = fit[first], fit[(first + 1) % op.LONG_SEGMENTS]
+            best = sorted(((a[i] + b[j], i, j) for i in np.argsort(-a)[:9] for j in np.argsort(-b)[:9]), reverse=True)[:5]
+            want = {first << 24 | codewords[i] >> 11 << 12 | codewords[j] >> 11 for _, i, j in best}
+            assert set(got[text, 5 * first : 5 * first + 5].tolist()) == want
+
+
+@pytest.mark.parametrize("pair_limit, block", [(48, 512), (2, 4)])
+def test_similar_groups_find_brute_force_links(spark, monkeypatch, pair_limit, block):
+    """Links of short and long texts around the threshold; with a low limit all of them go through crowds cut into blocks."""
+    monkeypatch.setattr(op, "CROWD_BLOCK", block)
+    rng = random.Random(6)
+    texts = [t for _, t, *_ in ROWS]
+    for k in range(40):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([6, 9, 15, 40, 200]))]
+        texts += [" ".join(edited(rng, base, share)) for share in (0, 0.01, 0.02, 0.04, 0.08)]
+    out = {r.id: r.group for r in op.similar_groups(documents(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)]), pair_limit=pair_limit).collect()}
+    root = similar_components(texts)
+    pairs = similar_pairs(texts)
+    assert len(pairs) > 100 and len(out) == len(texts)
+    assert all(root[i] == root[j] for i, j in itertools.combinations(range(len(texts)), 2) if out[i] == out[j])  # nothing is joined in vain
+    assert sum(out[i] == out[j] for i, j in pairs) >= 0.97 * len(pairs)  # measured: see README
+
+
+def test_one_large_group_gives_few_links(spark, monkeypatch):
+    """300 near copies of one text: blocks return a forest, not all pairs, and it joins what brute force joins."""
+    monkeypatch.setattr(op, "CROWD_BLOCK", 64)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(edited(rng, base, 0.02)) for _ in range(300)]
+    members = spark.createDataFrame([(0, k, np.packbits(op.long_counts(s) > 0, bitorder="little").view("<i8").tolist(), s.view(np.int64).tolist()) for k, t in enumerate(texts) for s in [op.shingle_set(t.encode(), 5)]], "crowd long, node long, words array<long>, shingles array<long>")
+    links = op.crowd_links(members, 0.8).collect()
+    root = list(range(300))
+    for r in links:
+        x, y = root[r.a], root[r.b]
+        root = [min(x, y) if z in (x, y) else z for z in root]
+    assert root == similar_components(texts) and len(links) <= 15 * 128 and len(similar_pairs(texts)) > 5000
+
+
+def test_long_texts_are_read_in_runs():
+    many = op.shingle_set(" ".join(f"w{k}" for k in range(3 * op.BLOCK)).encode(), 5)
+    whole = sum(2 * (((op._scramble(many, 0) >> np.uint64(b)) & np.uint64(1)).astype(int)) - 1 for b in [7])
+    assert op.long_counts(many)[7] == whole.sum()
+
+
 def test_empty_and_stage(spark):
     assert op.near_duplicates(documents(spark, [])).collect() == []
     docs = documents(spark)
     kept = op.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = {r.doc_id for r in kept.collect()}
-    assert 1 in ids and 2 not in ids and 6 in ids and 7 not in ids and 3 in ids and 4 not in ids
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    ids = [i for i, _ in got]
+    assert sorted(i for i in ids if i is not None) == [1, 3, 6, 8, 9, 12, 13] and ids.count(8) == 1  # null, empty and blank texts are alike
+    assert [t for i, t in got if i is None] == ["only here"]
+    assert op.keep_one(documents(spark, [])).collect() == []
+    clash = spark.createDataFrame([(1, "a b", 5, "x"), (2, "A  b", 6, "y"), (3, "c", 7, "z")], "doc_id long, text string, row long, _key string")
+    assert sorted(map(tuple, op.keep_one(clash).collect())) == [(1, "a b", 5, "x"), (3, "c", 7, "z")]
