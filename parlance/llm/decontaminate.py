@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import keep, prune, row_key, table, text_bytes
+from parlance.llm.common import keep, prune, row_key, scratch, table, text_bytes
 
 SPAN, GRAM = 10, 5
 #: Slots of each filter: 2**23 bits, so 1 MiB is sent to the tasks for each of the two.
@@ -177,8 +177,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of docs whose text is not contaminated, whatever their id."""
     sha = row_key(F.col(text_col))
-    bad = contamination(docs.select(sha.alias("_key"), F.col(text_col).cast("string").alias("text")), items, id_col="_key").filter("contaminated")
-    return prune(docs, sha, bad.select("_key"))
+    with scratch() as last:
+        found = contamination(docs.select(sha.alias("_key"), F.col(text_col).cast("string").alias("text")), items, id_col="_key")
+        bad = last(keep(found.filter("contaminated").select("_key"), "contaminated"))
+    return prune(docs, sha, bad)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import discard, keep, prune, row_key, slices, table, take, text_bytes, unsigned_hex
+from parlance.llm.common import discard, keep, prune, row_key, scratch, slices, table, take, text_bytes, unsigned_hex
 
 SEED = 42
 #: (first bit, bits) of the three segments.
@@ -170,9 +170,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 LONG_SEGMENTS, LONG_WORDS = 16, 6
 LONG_BITS = 23 * LONG_SEGMENTS
 #: Candidates may differ in so many of the first 64 and of all bits. Texts at 0.8 differ in 9.7 (sd 2.9) and 56 (sd 6.9) of them.
-NEAR_64, NEAR_ALL = 24, 100
+NEAR_64, NEAR_ALL = 24, 96
 #: Texts and shingles of a block of a crowd.
-CROWD_BLOCK, CROWD_SHINGLES = 512, 1 << 20
+CROWD_BLOCK, CROWD_SHINGLES = 256, 1 << 19
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -324,15 +324,20 @@ def crowd_links(members: DataFrame, similarity: float) -> DataFrame:
     return sent.groupBy("crowd", "low", "high").applyInPandas(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, segments: int = 2, probes: int = 4, pair_limit: int = 48) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, segments: int = 3, probes: int = 8, pair_limit: int = 16) -> DataFrame:
     """(id, doc_key, group) of every row of docs: the row_key of its id and text, and a number that similar rows share.
 
     Groups are what links of texts with ``similarity`` (common part of all shingles of either) or more join. A text's fingerprint of 368 bits is cut
     into 16 Golay segments; each is decoded to its nearest codewords, judged by how many shingles stand behind each bit, and runs of
     ``segments`` segments give ``probes`` keys each. Texts that share a key and are close in their bits are verified shingle by shingle.
-    Two texts at a similarity of 0.8 share one of 16 x 4 keys of two segments with probability 0.99, at 0.85 with over 0.999. Unrelated
-    texts share one with probability 1.5e-5, so for over some 10**8 texts take three segments and eight probes (0.94 and 0.99, 1e-8).
-    Keys of more than ``pair_limit`` texts are not paired: texts that such keys join form crowds, compared in blocks."""
+    Two texts at a similarity of 0.8 share one of 16 x 8 keys with probability 0.95, at 0.85 with 0.99, at 0.9 with 0.999; unrelated
+    texts with 1.5e-8. (Two segments and four probes: 0.99, 0.999, and 1.5e-5, which is too often for over some 10**6 texts.)
+    Keys of more than ``pair_limit`` texts are not paired: texts that such keys join form crowds, all of which is compared in blocks."""
+    with scratch() as last:
+        return last(keep(_similar_groups(docs, id_col, text_col, similarity, shingle, segments, probes, pair_limit), "similar-groups"))
+
+
+def _similar_groups(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int, segments: int, probes: int, pair_limit: int) -> DataFrame:
     key = row_key(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(key.alias("doc_key"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     drawn = keep(sketches(rows, shingle, segments, probes).withColumn("row", F.monotonically_increasing_id()), "sketches")
@@ -346,12 +351,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = nodes.select(F.explode("keys").alias("key"), F.col("row").alias("node"), F.element_at("words", 1).alias("w"))
     sizes = keep(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("key", "_key"), "soft-key-sizes")
     shared = keep(take(keyed, F.col("key"), sizes).drop("_key"), "soft-keys")
-    few = shared.filter(F.col("n") <= pair_limit)
-    left, right = few.select("key", F.col("node").alias("a"), F.col("w").alias("wa")), few.select("key", F.col("node").alias("b"), F.col("w").alias("wb"))
-    pairs = keep(left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= NEAR_64)).select("a", "b").distinct(), "soft-pairs")
     crowded = shared.filter(F.col("n") > pair_limit).select("key", "node")
     crowds = components(crowded.join(crowded.groupBy("key").agg(F.min("node").alias("least")), "key").filter("node <> least").select("node", "least").distinct(), "node", "least")
     crowds = keep(crowds.select("node", F.col("root").alias("crowd")), "crowds")
+    few = shared.filter(F.col("n") <= pair_limit).join(crowds, "node", "left")
+    side = lambda x: few.select("key", F.col("node").alias(x), F.col("w").alias(f"w{x}"), F.col("crowd").alias(f"c{x}"))
+    apart = F.coalesce(F.col("ca") != F.col("cb"), F.lit(True))  # members of one crowd meet there
+    close = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= NEAR_64
+    pairs = keep(side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & apart & close).select("a", "b").distinct(), "soft-pairs")
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node")).distinct()
     asked = take(nodes.select("row", "words", "doc_key"), place, keep(asked.withColumn("_key", F.col("node").cast("string")), "sketch-wanted"))
@@ -369,7 +376,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """Of each group of similar texts the row with the smallest id; a null id stays only where its group has no other. Of rows that repeat id and text one stays."""
-    found = keep(similar_groups(docs, id_col, text_col, similarity, shingle), "sketch-groups")
+    found = similar_groups(docs, id_col, text_col, similarity, shingle)
     best = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_key")).alias("best"), F.count("*").alias("n")).filter("n > 1")
     members = keep(found.join(best, "group").select(F.col("doc_key").alias("_key"), (F.col("doc_key") == F.col("best.doc_key")).alias("stays")), "sketch-members")
     repeated = members.filter("stays").groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1")
