@@ -66,6 +66,18 @@ def scratch():
             _SCRATCH[-1].extend(last)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Jobs inside hand rows to Python in Arrow batches of about ``size``, so that neither side holds many texts at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession

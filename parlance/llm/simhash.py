@@ -14,20 +14,19 @@ verified exactly through common neighbours (two fingerprints differ in at most t
 if their balls of radius one meet), which is linear in the key's size and loses no link.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like any other; null ids take
-part but a component is named by its smallest id that is not null; rows that repeat are one class; an empty
+part but a component is named by its smallest id that is not null; rows that repeat are one class; texts of any length are read whole; an empty
 table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import discard, keep, prune, row_key, scratch, slices, table, take, text_bytes, unsigned_hex
+from parlance.llm.common import discard, keep, prune, row_key, scratch, slices, small_batches, table, take, text_bytes, unsigned_hex
 
 SEED = 42
 #: (first bit, bits) of the three segments.
@@ -311,17 +310,20 @@ def crowd_links(members: DataFrame, similarity: float) -> DataFrame:
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.select("crowd", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "words", "shingles")
 
-    def run(rows):
-        rows = rows.sort_values("node")
-        low = rows[rows.own == rows.low]
-        high = rows[(rows.own == rows.high) & (rows.low != rows.high)] if len(rows) and rows.low.iloc[0] != rows.high.iloc[0] else None
-        of = lambda part: [frozenset(x.tolist()) for x in part.shingles]
-        bits = lambda part: np.stack(part.words.to_list()).view(np.uint64) if len(part) else np.zeros((0, LONG_WORDS), np.uint64)
-        nodes = low.node.tolist() + ([] if high is None else high.node.tolist())
-        found = _joined(of(low), None if high is None else of(high), bits(low), None if high is None else bits(high), similarity)
-        return pd.DataFrame({"a": [nodes[x] for x, _ in found], "b": [nodes[y] for _, y in found]}, dtype="int64")
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node").combine_chunks()
+        low, high, own, nodes = (rows.column(c).to_numpy() for c in ("low", "high", "own", "node"))
+        words = rows.column("words").combine_chunks().flatten().to_numpy().reshape(-1, LONG_WORDS).view(np.uint64)
+        sets = [frozenset(x.values.to_numpy().tolist()) for x in rows.column("shingles")]
+        left, right = np.flatnonzero(own == low), np.flatnonzero((own == high) & (low != high))
+        pick = lambda at: [sets[k] for k in at]
+        one = low[0] == high[0]
+        found = _joined(pick(left), None if one else pick(right), words[left], None if one else words[right], similarity)
+        place = nodes[left if one else np.concatenate([left, right])]
+        a, b = ([place[x[k]] for x in found] for k in range(2))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return sent.groupBy("crowd", "low", "high").applyInPandas(run, "a long, b long")
+    return sent.groupBy("crowd", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, segments: int = 3, probes: int = 8, pair_limit: int = 16) -> DataFrame:
@@ -333,7 +335,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Two texts at a similarity of 0.8 share one of 16 x 8 keys with probability 0.95, at 0.85 with 0.99, at 0.9 with 0.999; unrelated
     texts with 1.5e-8. (Two segments and four probes: 0.99, 0.999, and 1.5e-5, which is too often for over some 10**6 texts.)
     Keys of more than ``pair_limit`` texts are not paired: texts that such keys join form crowds, all of which is compared in blocks."""
-    with scratch() as last:
+    with small_batches(docs.sparkSession), scratch() as last:
         return last(keep(_similar_groups(docs, id_col, text_col, similarity, shingle, segments, probes, pair_limit), "similar-groups"))
 
 
