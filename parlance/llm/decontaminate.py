@@ -3,13 +3,13 @@
 Texts are cut into words (ASCII letters and digits, lower-cased, and everything beyond ASCII). Of every window of
 ten words the smallest hash of its 5-grams is a fingerprint. A window that a document shares with an item
 selects the same 5-gram in both, so every shared span of ten words or more shares a fingerprint. Documents first
-meet two filters of fixed size (one bit for each slot of the items' fingerprints and of their
-windows); a document's fingerprint that passes is extended to its whole ten-word windows, and those that pass are
+meet two filters (one bit for each slot of the items' fingerprints and of their
+windows; 16 bits a window, at most 2**27 for each filter); a document's fingerprint that passes is extended to its whole ten-word windows, and those that pass are
 joined with the items' windows word for word. Items of fewer than ten words are one window of their own length,
 looked up through the second filter.
 
 Defined cases: null text has no words; an item without words has no window; items that share an id count
-once, a null item id counts as an empty string; rows of documents are independent, repeated ids included; empty tables
+once, a null item id counts as an empty string; rows of documents are independent, repeated ids included; texts of any length are read whole; empty tables
 give no hits or no rows; further columns are ignored.
 """
 
@@ -21,12 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import keep, prune, row_key, scratch, table, text_bytes
+from parlance.llm.common import BITMAP_BITS, filter_bits, keep, key_filter, prune, row_key, scratch, slices, table, text_bytes
 
 SPAN, GRAM = 10, 5
-#: Slots of each filter: 2**23 bits, so 1 MiB is sent to the tasks for each of the two.
-SLOTS = 1 << 23
-BITMAP_BITS = 32768
 #: The items' windows are broadcast up to this many rows (about 100 bytes each); beyond, they are shuffled.
 BROADCAST_ROWS = 100_000
 #: Byte by byte: a-z, 0-9 and bytes beyond ASCII stay, A-Z become a-z, all else separates words.
@@ -74,12 +71,12 @@ def winnow(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(SLOTS)).astype(np.int64)
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h & np.uint64(bits - 1)).astype(np.int64)
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, len, win, print_slot, win_slot): every window of every item; print_slot is null for short items."""
+    """(item, len, win, print, hash): every window of every item; print, its fingerprint, is null for short items."""
 
     def run(batches):
         known = _WordHashes()
@@ -95,25 +92,24 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
                 item += [name] * count
                 length += [n] * count
                 win += [b" ".join(words[i : i + n]) for i in range(count)]
-                prints += _slots(winnow(h)).tolist() if n == SPAN else [None] * count
-                wins += _slots(gram_hashes(h, n)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(length, pa.int32()), pa.array(win, pa.binary()), pa.array(prints, pa.int64()), pa.array(wins, pa.int64())], names=["item", "len", "win", "print_slot", "win_slot"])
+                prints += winnow(h).view(np.int64).tolist() if n == SPAN else [None] * count
+                wins += gram_hashes(h, n).view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(length, pa.int32()), pa.array(win, pa.binary()), pa.array(prints, pa.int64()), pa.array(wins, pa.int64())], names=["item", "len", "win", "print", "hash"])
 
-    return items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string")).mapInArrow(run, "item string, len int, win binary, print_slot long, win_slot long")
+    return items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string")).mapInArrow(run, "item string, len int, win binary, print long, hash long")
 
 
-def _bits(slots: DataFrame, col: str) -> np.ndarray:
-    """The filter of all slots as SLOTS / 8 bytes."""
-    rows = slots.filter(F.col(col).isNotNull()).groupBy(F.floor(F.col(col) / BITMAP_BITS).alias("bucket")).agg(F.expr(f"bitmap_construct_agg({col} % {BITMAP_BITS})").alias("bits"))
-    out = np.zeros((SLOTS // BITMAP_BITS, BITMAP_BITS // 8), np.uint8)
-    for bucket, bits in rows.collect():  # at most SLOTS / BITMAP_BITS rows of 4 KiB
-        out[bucket] = np.frombuffer(bits, np.uint8)
+def _bits(windows: DataFrame, col: str, bits: int) -> np.ndarray:
+    """The filter of a column's hashes as bits / 8 bytes."""
+    out = np.zeros((bits // BITMAP_BITS, BITMAP_BITS // 8), np.uint8)
+    for bucket, held in key_filter(windows.filter(F.col(col).isNotNull()).select(F.col(col).bitwiseAND(F.lit(bits - 1)).alias("_slot"))).collect():  # rows of 4 KiB
+        out[bucket] = np.frombuffer(held, np.uint8)
     return out.ravel()
 
 
-def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = _slots(h)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+def _holds(held: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = _slots(h, 8 * len(held))
+    return (held[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 def candidates(docs: DataFrame, prints, wins, short: list[int], id_col: str, text_col: str) -> DataFrame:
@@ -123,7 +119,7 @@ def candidates(docs: DataFrame, prints, wins, short: list[int], id_col: str, tex
 
     def run(batches):
         print_bits, win_bits, known = prints.value, wins.value, _WordHashes()
-        for batch in batches:
+        for batch in slices(batches, 1):
             count, found = [], []
             for text in text_bytes(batch.column(1)):
                 words = words_of(text)
@@ -148,28 +144,33 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     context = docs.sparkSession.sparkContext
     windows = keep(item_windows(items, item_col, item_text), "item-windows")
     short = sorted(r.len for r in windows.filter(F.col("len") < SPAN).select("len").distinct().collect())  # at most nine
-    prints, wins = context.broadcast(_bits(windows, "print_slot")), context.broadcast(_bits(windows, "win_slot"))
+    bits = filter_bits(windows.count())
+    prints, wins = context.broadcast(_bits(windows, "print", bits)), context.broadcast(_bits(windows, "hash", bits))
     found = candidates(docs, prints, wins, short, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     found = keep(found, "decontamination")
-    owners = windows.select("win", "item").distinct()
-    spans = owners.select("win").distinct()
+    # windows with the same items are one set, and documents with the same sets one case: items are spelt out once for each case
+    name = lambda parts: F.sha2(F.array_join(parts, ",").cast("binary"), 256)
+    owners = windows.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("set", F.sha2(F.to_json("items").cast("binary"), 256))
+    owners = keep(owners, "item-sets")
+    spans = owners.select("win", "set")
     if windows.count() <= BROADCAST_ROWS:
-        owners, spans = F.broadcast(owners), F.broadcast(spans)
-    hits = found.select("row", F.explode("found").alias("f")).select("row", "f.start", (F.col("f.start") + F.col("f.len")).alias("end"), "f.win")
+        spans = F.broadcast(spans)
+    hits = found.select("row", F.explode("found").alias("f")).select("row", "f.start", (F.col("f.start") + F.col("f.len")).alias("end"), "f.win").join(spans, "win")
     before = F.max("end").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     covered = (
-        hits.join(spans, "win", "left_semi")
-        .withColumn("from", F.greatest("start", F.coalesce(before, F.lit(0))))
+        hits.withColumn("from", F.greatest("start", F.coalesce(before, F.lit(0))))
         .groupBy("row")
-        .agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.col("from"))).alias("n_hit"))
+        .agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.col("from"))).alias("n_hit"), F.array_sort(F.collect_set("set")).alias("sets"))
+        .withColumn("case", name(F.col("sets")))
     )
-    named = hits.select("row", "win").distinct().join(owners, "win").select("row", "item").distinct()
-    named = named.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    covered = keep(covered, "decontaminated-spans")
+    cases = covered.select("case", "sets").distinct().select("case", F.explode("sets").alias("set")).join(owners.select("set", "items").distinct(), "set")
+    cases = cases.select("case", F.explode("items").alias("item")).distinct().groupBy("case").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    covered = covered.join(cases, "case").select("row", "n_hit", "n_items", "items")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (
         found.select("row", "id", "n_words")
         .join(covered, "row", "left")
-        .join(named, "row", "left")
         .select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
     )
 
