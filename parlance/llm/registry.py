@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parlance.llm import byte_bpe, decontaminate, exact_dedup, extract, language, ppm, quality, shard, simhash, warc
+from parlance.llm import byte_bpe, decontaminate, exact_dedup, extract, fim, language, ppm, quality, shard, simhash, warc
 
-MODULES = [ppm, shard, warc, language, quality, extract, exact_dedup, simhash, byte_bpe, decontaminate]
+MODULES = [ppm, shard, warc, language, quality, extract, exact_dedup, simhash, byte_bpe, decontaminate, fim]
 
 
 def queries() -> dict:
