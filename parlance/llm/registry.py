@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parlance.llm import byte_bpe, decontaminate, divergence, exact_dedup, extract, fim, language, ppm, quality, shard, simhash, warc
+from parlance.llm import byte_bpe, decontaminate, divergence, exact_dedup, extract, fim, language, ppm, quality, shard, simhash, toxicity, warc
 
-MODULES = [ppm, shard, warc, language, quality, extract, exact_dedup, simhash, byte_bpe, decontaminate, divergence, fim]
+MODULES = [ppm, shard, warc, language, quality, extract, exact_dedup, simhash, byte_bpe, decontaminate, divergence, fim, toxicity]
 
 
 def queries() -> dict:
