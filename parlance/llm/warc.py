@@ -10,7 +10,9 @@ the successor. Offsets within a block become offsets in the file by a running su
 (each candidate's pointer doubles its reach in every round) marks what is reachable from each file's
 start; magic inside a payload is not, and its bytes go back to the record that contains them.
 
-Defined cases: null html is an empty payload; a null url is left out; line breaks in a url are percent-encoded; a
+Defined cases: what a payload holds never stops a job: magic with a header that is cut off, not a header or says a length that is malformed, beyond the
+file or of any number of digits is payload; payloads of any length are read whole (a task holds one record, twice its size if it contains the
+magic); null html is an empty payload; a null url is left out; line breaks in a url are percent-encoded; a
 record without page id is read back without one and is never referred to; pages that repeat an id are
 separate records; an empty table gives an empty result; further columns are ignored.
 """
@@ -28,6 +30,8 @@ from parlance.llm.exact_dedup import maybe_hits
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+#: Digits of a length that is believed: offsets that such lengths add up to fit a long. Longer ones stand in no archive, only in payloads.
+LENGTH_DIGITS = 15
 #: Pieces of records that contain the magic are fetched by a broadcast of their places up to this number, else by a shuffled join.
 BROADCAST_PIECES = 100_000
 
@@ -77,7 +81,8 @@ def _parse(piece: bytes) -> tuple[int, int, dict] | None:
             return None
         fields[name.strip().lower()] = value.strip().decode("utf-8", "replace")
     size = fields.get(b"content-length", "")
-    return (end + 4, int(size), fields) if size.isascii() and size.isdigit() and b"warc-type" in fields else None
+    counts = size.isascii() and size.isdigit() and len(size) <= LENGTH_DIGITS
+    return (end + 4, int(size), fields) if counts and b"warc-type" in fields else None
 
 
 _CANDIDATE = "file string, block long, seq long, rel long, size long, head long, content long, type string, record string, refers string, declared string, sha string"

@@ -50,6 +50,20 @@ def test_small_blocks(spark):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def says(length, more=""):
+    return f"WARC/1.1\r\nWARC-Type: response\r\n{more}Content-Length: {length}\r\n\r\nabc\r\n\r\n"
+
+
+LENGTHS = ["99999999999999999999", "9223372036854775807", "9223372036854775000", "9" * 5000, "999999999999999", "000000000000000003", "-3", "+3", "3.0", "0x3", " ", "", "\u0663", "1_0", "3\t", "NaN"]
+
+
+def test_lengths_of_any_form_in_payloads(spark):
+    rows = [(k, "u", f"page {k} " + says(x) * (1 + k % 2)) for k, x in enumerate(LENGTHS)] + [(100 + k, "u", says(x)) for k, x in enumerate(LENGTHS)]
+    rows += [(200, "u", says("3")[:-9]), (201, "u", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3"), (202, "u", says("3", "no colon\r\n")), (203, "u", says("3", "Content-Length: 9223372036854775807\r\n")), (204, "u", "WARC/1.1\r\n" * 40), (205, "u", "plain")]
+    assert read(spark, rows) == brute(rows)
+    assert read(spark, rows, 3) == brute(rows)
+
+
 def test_empty(spark):
     assert read(spark, []) == Counter()
 
