@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parlance.plans import align_queries, change_queries, segment_queries, stream_queries, text_queries
+from parlance.plans import align_queries, change_queries, segment_queries, source_queries, stream_queries, text_queries
 
 FLAGSHIP = "w4_top_candidates"
-MODULES = [segment_queries, text_queries, change_queries, align_queries, stream_queries]
+MODULES = [segment_queries, text_queries, change_queries, align_queries, stream_queries, source_queries]
 
 
 def queries() -> dict:

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators.rosters import parse_rosters
+from parlance.sources import store
+
+RID = "recording_id"
 
 #: Version of the alignment that wrote a cache; others are not read.
 ALIGN_VER = 1
@@ -27,13 +30,14 @@ def read_chunk_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_words(words: DataFrame, path: str, model: str = "", align_ver: int = ALIGN_VER) -> None:
-    """words (recording_id, text, start, end) as Parquet by alignment version."""
-    words.withColumns({"model": F.lit(model), "align_ver": F.lit(align_ver)}).write.partitionBy("align_ver").mode("overwrite").parquet(path)
+    """words (recording_id, text, start, end) take the place of what is stored of the same recordings in the same alignment version."""
+    store.upsert(words.withColumns({"model": F.lit(model), "align_ver": F.lit(align_ver)}), path, [RID, "align_ver"])
 
 
-def read_words(spark: SparkSession, path: str, align_ver: int = ALIGN_VER) -> DataFrame:
-    """Words of one alignment version; the partition filter leaves the others unread."""
-    return spark.read.parquet(path).filter(F.col("align_ver") == align_ver).drop("align_ver")
+def read_words(spark: SparkSession, path: str, align_ver: int = ALIGN_VER, recording_id: int | None = None) -> DataFrame:
+    """Words of one alignment version, of all recordings or of one."""
+    key = {} if recording_id is None else {RID: recording_id}
+    return store.read(spark, path, align_ver=align_ver, **key).drop("align_ver")
 
 
 def read_words_json(spark: SparkSession, path: str, align_ver: int = ALIGN_VER) -> DataFrame:
@@ -44,13 +48,21 @@ def read_words_json(spark: SparkSession, path: str, align_ver: int = ALIGN_VER)
 
 
 def write_proposals(proposals: DataFrame, path: str) -> None:
-    """Proposals by fingerprint; those of recordings without one are not kept."""
-    proposals.filter(F.coalesce("fingerprint", F.lit("")) != "").withColumn("align_ver", F.lit(ALIGN_VER)).write.partitionBy("fingerprint").mode("overwrite").parquet(path)
+    """Proposals take the place of what is stored under the same fingerprint, but for stored decisions: those (status accepted or rejected) stay
+    unless the same proposal (id) is given anew. Proposals of recordings without a fingerprint are not kept."""
+
+    def decided(before: DataFrame, new: DataFrame) -> DataFrame:
+        if "status" not in before.columns:
+            return before.limit(0)
+        return before.filter(F.col("status").isin("accepted", "rejected")).join(new.select("fingerprint", "id").distinct(), ["fingerprint", "id"], "left_anti")
+
+    rows = proposals.filter(F.coalesce("fingerprint", F.lit("")) != "").withColumn("align_ver", F.lit(ALIGN_VER))
+    store.upsert(rows, path, ["fingerprint", "align_ver"], decided)
 
 
 def read_proposals(spark: SparkSession, path: str, fingerprint: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(path).filter(F.col("align_ver") == ALIGN_VER).drop("align_ver")
-    return rows.filter(F.col("fingerprint") == fingerprint) if fingerprint else rows
+    key = {"fingerprint": fingerprint} if fingerprint else {}
+    return store.read(spark, path, align_ver=ALIGN_VER, **key).drop("align_ver")
 
 
 def read_rosters(spark: SparkSession, path: str) -> DataFrame:

@@ -25,10 +25,10 @@ def test_decided_proposals_do_not_come_back(spark, sf_dir, tmp_path):
     stored = read_proposals(spark, str(tmp_path / "a"))
     assert {(r.recording_id, r.id) for r in stored.collect()} == {k for k in found if prints[k[0]]}  # without a fingerprint nothing is stored
     decided = first.filter("idx % 2 = 0").withColumn("status", F.when(F.col("idx") % 4 == 0, "accepted").otherwise("rejected"))
-    again, _ = jobs.inspect_times(rows_of(spark, sf_dir), recordings, words, history=decided, path=str(tmp_path / "b"))
+    again, _ = jobs.inspect_times(rows_of(spark, sf_dir), recordings, words, history=decided, path=str(tmp_path / "a"))
     gone = {(r.recording_id, r.id) for r in decided.collect()}
     assert gone and {(r.recording_id, r.id) for r in again.collect()} == found - gone
-    assert {(r.recording_id, r.id): r.status == "pending" for r in read_proposals(spark, str(tmp_path / "b")).collect()} == {k: k not in gone for k in found if prints[k[0]]}
+    assert {(r.recording_id, r.id): r.status == "pending" for r in read_proposals(spark, str(tmp_path / "a")).collect()} == {k: k not in gone for k in found if prints[k[0]]}
 
 
 def test_batches_of_times_are_refused_after_a_split(spark, sf_dir):

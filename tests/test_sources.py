@@ -1,6 +1,8 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
 from parlance.sources import caches, projects
 
 OLD = {"audio_path": "a.wav", "duration": 60.5, "speakers": [{"id": "sp01", "name": "X"}], "segments": [{"index": 0, "start": 1.0, "end": 2.0, "text": "t", "cluster": "0:A", "chunk": 0, "speaker_id": "", "time_edited": True}, {"index": 1, "start": 3.0, "end": 4.0, "text": "u", "cluster": "0:B", "speaker_id": "sp01", "reviewed": True, "orig_start": 2.5}]}
@@ -16,13 +18,38 @@ def test_projects_defaults_broken_files_and_round_trip(spark, tmp_path):
     a, b = sorted(segments.collect(), key=lambda r: r.idx)
     assert a.speaker_id is None and a.time_reviewed is True and (a.orig_start, a.orig_end) == (1.0, 2.0)  # an older file's edited time counts as heard
     assert b.speaker_id == "sp01" and b.reviewed and b.time_reviewed is False and (b.orig_start, b.orig_end) == (2.5, 4.0) and b.chunk == 0
+    assert recordings.first().verbatim is False
+    assert [(r.file.rsplit("/", 1)[1], r.reason) for r in projects.load_projects(spark, str(src)).rejects.collect()] == [("bad.json", "broken JSON")]
     out = str(tmp_path / "out")
     projects.write_projects(recordings, speakers, segments, out)
-    lines = [json.loads(x) for p in (tmp_path / "out").glob("part-*") for x in p.read_text(encoding="utf-8").splitlines()]
-    assert len(lines) == 1 and lines[0]["schema_version"] == 5 and [s["index"] for s in lines[0]["segments"]] == [0, 1] and lines[0]["speakers"][0]["name"] == "X"
-    strip = lambda df: sorted(map(str, df.drop("recording_id").collect()))
-    back = projects.read_projects(spark, out)
-    assert [strip(x) for x in back] == [strip(x) for x in (recordings, speakers, segments)]
+    lines = [json.loads(x) for p in (tmp_path / "out").rglob("part-*") for x in p.read_text(encoding="utf-8").splitlines()]
+    assert len(lines) == 1 and lines[0]["schema"] == 5 and [s["index"] for s in lines[0]["segments"]] == [0, 1] and lines[0]["speakers"][0]["name"] == "X"
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert [plain(x) for x in projects.read_projects(spark, out)] == [plain(x) for x in (recordings, speakers, segments)]
+
+
+def test_many_recordings_in_one_file(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    line = lambda k, **more: json.dumps({"audio_path": f"{k}.wav", "segments": [{"index": 0, "text": f"t{k}"}], "speakers": [{"id": "sp01", "name": f"n{k}"}]} | more)
+    (src / "many.jsonl").write_text("\n".join([line(0), line(1, recording_id=7), line(2)[:40], "", line(3), '{"other": 1}', "{}", "no json"]), encoding="utf-8")
+    (src / "pretty.json").write_text(json.dumps({"audio_path": "p.wav", "verbatim": True, "speakers": [], "segments": [{"index": 4}]}, indent=2), encoding="utf-8")
+    (src / "compact.json").write_text(line(9), encoding="utf-8")
+    (src / "empty.json").write_text("")
+    found = projects.load_projects(spark, str(src))
+    recordings = {r.audio_path: r for r in found.recordings.collect()}
+    assert sorted(recordings) == ["0.wav", "1.wav", "3.wav", "9.wav", "p.wav"] and recordings["1.wav"].recording_id == 7 and len({r.recording_id for r in recordings.values()}) == 5
+    assert recordings["p.wav"].verbatim is True and {r.verbatim for k, r in recordings.items() if k != "p.wav"} == {False}
+    texts = {r.recording_id: (r.text, r.seg_start, r.orig_end) for r in found.segments.collect()}
+    assert texts[7] == ("t1", 0.0, 0.0) and texts[recordings["p.wav"].recording_id] == ("", 0.0, 0.0) and len(texts) == 5
+    assert sorted((r.reason, r.text) for r in found.rejects.collect()) == [("broken JSON", "no json"), ("broken JSON", line(2)[:40]), ("no project", '{"other": 1}'), ("no project", "{}")]
+    # some of them are written again: the others stay
+    out = str(tmp_path / "out")
+    projects.write_projects(*found[:3], out)
+    again = [x.filter("recording_id = 7") for x in projects.read_projects(spark, out)]
+    projects.write_projects(again[0].withColumn("doc_revision", F.lit(3)), again[1], again[2], out)
+    assert {r.recording_id: r.doc_revision for r in projects.read_projects(spark, out)[0].collect()} == {r.recording_id: 3 if r.recording_id == 7 else 0 for r in recordings.values()}
+    assert sorted(r.text for r in projects.read_projects(spark, out)[2].collect()) == ["", "t0", "t1", "t3", "t9"] and projects.load_projects(spark, out).rejects.count() == 0
 
 
 def test_chunk_files(spark, tmp_path):
