@@ -170,8 +170,12 @@ LONG_SEGMENTS, LONG_WORDS = 16, 6
 LONG_BITS = 23 * LONG_SEGMENTS
 #: Candidates may differ in so many of the first 64 and of all bits. Texts at 0.8 differ in 9.7 (sd 2.9) and 56 (sd 6.9) of them.
 NEAR_64, NEAR_ALL = 24, 96
+#: Bits in which a text and a leader at twice the threshold (a similarity of 0.6) may differ: 88 (sd 8.2) are expected.
+NEAR_TWICE = 136
 #: Texts and shingles of a block of a crowd.
 CROWD_BLOCK, CROWD_SHINGLES = 256, 1 << 19
+#: Crowds of more members than this are joined through leaders: how many in the first round, and how many rounds.
+CROWD_EXACT, LEADERS, ROUNDS = 1024, 32, 4
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -301,31 +305,154 @@ def similar(common: int, a: int, b: int, similarity: float) -> bool:
     return common > 0 and common >= similarity * (a + b - common) - 1e-9
 
 
-def crowd_links(members: DataFrame, similarity: float) -> DataFrame:
+def _blocks(members: DataFrame, by: str) -> DataFrame:
+    """members with own, the block of each in its group, and blocks, how many the group has."""
+    sizes = members.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / CROWD_BLOCK), F.ceil(F.sum(F.size("shingles")) / CROWD_SHINGLES)).cast("int").alias("blocks"))
+    return members.join(sizes, by).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, words) of rows that are sorted by node."""
+    return rows.column("node").to_numpy(), rows.column("words").combine_chunks().flatten().to_numpy().reshape(-1, LONG_WORDS).view(np.uint64)
+
+
+def _pairs(a, b) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def block_links(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of (crowd, node, words, shingles): links that join every two members of a crowd whose sets are similar.
 
     A crowd is cut into blocks; every pair of blocks is compared by a task, which returns no more links than it has members."""
-    sizes = members.groupBy("crowd").agg(F.greatest(F.ceil(F.count("*") / CROWD_BLOCK), F.ceil(F.sum(F.size("shingles")) / CROWD_SHINGLES)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = _blocks(members, "crowd").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.select("crowd", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "words", "shingles")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("node").combine_chunks()
-        low, high, own, nodes = (rows.column(c).to_numpy() for c in ("low", "high", "own", "node"))
-        words = rows.column("words").combine_chunks().flatten().to_numpy().reshape(-1, LONG_WORDS).view(np.uint64)
+        low, high, own = (rows.column(c).to_numpy() for c in ("low", "high", "own"))
+        nodes, words = _unpacked(rows)
         sets = [frozenset(x.values.to_numpy().tolist()) for x in rows.column("shingles")]
         left, right = np.flatnonzero(own == low), np.flatnonzero((own == high) & (low != high))
         pick = lambda at: [sets[k] for k in at]
         one = low[0] == high[0]
         found = _joined(pick(left), None if one else pick(right), words[left], None if one else words[right], similarity)
         place = nodes[left if one else np.concatenate([left, right])]
-        a, b = ([place[x[k]] for x in found] for k in range(2))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _pairs(*([place[x[k]] for x in found] for k in range(2)))
 
     return sent.groupBy("crowd", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def star_links(members: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between leaders (a) and members (b) of a crowd; every member that is similar to a leader has one. Leaders travel to each block of members."""
+    placed = _blocks(members, "crowd")
+    number = placed.select("crowd", "blocks").distinct()
+    led = members.join(leaders, ["crowd", "node"], "left_semi").join(number, "crowd").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["crowd", "own", "node", "words", "shingles"]
+    sent = led.select(*columns, F.lit(True).alias("leads")).unionByName(placed.select(*columns, F.lit(False).alias("leads")))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node").combine_chunks()
+        leads, (nodes, words) = rows.column("leads").to_numpy(zero_copy_only=False), _unpacked(rows)
+        sets = [frozenset(x.values.to_numpy().tolist()) for x in rows.column("shingles")]
+        left = np.flatnonzero(leads)
+        right = np.flatnonzero(~leads & ~np.isin(nodes, nodes[left]))
+        found = _joined([sets[k] for k in left], [sets[k] for k in right], words[left], words[right], similarity)
+        inner = _joined([sets[k] for k in left], None, words[left], None, similarity) if rows.column("own")[0].as_py() == 0 else []
+        place = nodes[np.concatenate([left, right])]
+        return _pairs(*([place[x[k]] for x in found + inner] for k in range(2)))
+
+    return sent.groupBy("crowd", "own").applyInArrow(run, "a long, b long")
+
+
+def bridges(members: DataFrame, leaders: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): pairs that stars cannot have joined and that may be similar: both members of different components, one of them under a leader.
+
+    Distance (the share of shingles that two sets do not have in common) obeys the triangle inequality: what is similar to a member under a leader is within
+    twice the threshold of that leader. So members near a leader of another component are compared, by their bits, with all that are under it."""
+    root = keep(components(links), "crowd-roots")
+    rooted = lambda df: df.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rooted(members.select("crowd", "node", "words"))
+    led = rooted(leaders.join(members.select("node", "words"), "node"))
+    # one component means that nothing is left to join
+    several = rows.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("crowd")
+    rows, led = rows.join(several, "crowd", "left_semi"), led.join(several, "crowd", "left_semi")
+    number = rows.groupBy("crowd").agg(F.ceil(F.count("*") / (8 * CROWD_BLOCK)).cast("int").alias("blocks"))
+    placed = rows.join(number, "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    columns = ["crowd", "own", "node", "words", "root"]
+    sent = led.join(number, "crowd").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(True).alias("leads"))
+    sent = sent.unionByName(placed.select(*columns, F.lit(False).alias("leads")))
+
+    def near(rows: pa.Table) -> pa.Table:
+        leads, root = rows.column("leads").to_numpy(zero_copy_only=False), rows.column("root").to_numpy()
+        nodes, words = _unpacked(rows)
+        a, b = [], []
+        others = np.flatnonzero(~leads)
+        for k in np.flatnonzero(leads):
+            found = others[(root[others] != root[k]) & (np.bitwise_count(words[others] ^ words[k]).sum(1, dtype=np.int64) <= NEAR_TWICE)]
+            a += [nodes[k]] * len(found)
+            b += nodes[found].tolist()
+        return _pairs(a, b)
+
+    close = keep(sent.groupBy("crowd", "own").applyInArrow(near, "a long, b long"), "crowd-near")
+    under = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader")).unionByName(leaders.select("node", F.col("node").alias("leader")))
+    side = lambda df, leader, node, name: df.select(F.col(leader).alias("leader"), F.col(node).alias("node")).join(rows.select("node", "words", "root"), "node").withColumn("side", F.lit(name))
+    sides = side(close, "a", "b", 0).unionByName(side(under.join(close.select(F.col("a").alias("leader")).distinct(), "leader", "left_semi"), "leader", "node", 1))
+    count = sides.groupBy("leader").agg(*(F.ceil(F.count_if(F.col("side") == k) / (8 * CROWD_BLOCK)).cast("int").alias(f"n{k}") for k in (0, 1))).filter("n0 > 0 and n1 > 0")
+    dealt = sides.join(count, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)))
+    dealt = dealt.select("leader", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("x"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("y"), "side", "node", "words", "root")
+
+    def candidates(rows: pa.Table) -> pa.Table:
+        side, root = rows.column("side").to_numpy(), rows.column("root").to_numpy()
+        nodes, words = _unpacked(rows)
+        a, b = [], []
+        others = np.flatnonzero(side == 1)
+        for k in np.flatnonzero(side == 0):
+            found = others[(root[others] != root[k]) & (np.bitwise_count(words[others] ^ words[k]).sum(1, dtype=np.int64) <= NEAR_ALL)]
+            a += np.minimum(nodes[found], nodes[k]).tolist()
+            b += np.maximum(nodes[found], nodes[k]).tolist()
+        return _pairs(a, b)
+
+    return dealt.groupBy("leader", "x", "y").applyInArrow(candidates, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, shingles) are similar."""
+    by = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    met = pairs.join(by("a"), "a").join(by("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return met.filter((F.col("common") > 0) & (F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9)).select("a", "b")
+
+
+def crowd_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of (crowd, node, words, shingles): links that join every two members of a crowd whose sets are similar.
+
+    Crowds of up to CROWD_EXACT members are compared in blocks. In a larger one some LEADERS members, drawn by hash, are compared with all others, which joins
+    near copies of one text in work that follows their number; what may be similar across the components that this leaves is compared on its own (``bridges``).
+    Members without any leader go into further rounds with four times as many leaders each, after ROUNDS of them into blocks."""
+    out, rest, leads = [], members, LEADERS
+    for step in range(ROUNDS + 1):
+        sizes = rest.groupBy("crowd").agg(F.count("*").alias("n"))
+        large = F.col("n") > (CROWD_EXACT if step < ROUNDS else 1 << 62)
+        out.append(keep(block_links(rest.join(sizes.filter(~large).select("crowd"), "crowd", "left_semi"), similarity), "block-links"))
+        rest = keep(rest.join(sizes.filter(large), "crowd"), "large-crowds")
+        if rest.isEmpty():
+            break
+        # a share of leads / n by hash; the member with the smallest hash leads in any case
+        drawn = F.xxhash64("node", F.lit(step))
+        lowest = rest.groupBy("crowd").agg(F.min_by("node", drawn).alias("node"))
+        leaders = rest.filter(F.pmod(drawn, F.lit(1 << 30)) < F.lit(leads * (1 << 30)) / F.col("n")).select("crowd", "node").unionByName(lowest).distinct()
+        leaders = keep(leaders, "leaders")
+        links = keep(star_links(rest.drop("n"), leaders, similarity), "star-links")
+        out += [links, keep(verified(keep(bridges(rest, leaders, links), "bridges"), rest.select("node", "shingles"), similarity), "bridge-links")]
+        led = leaders.select("node").unionByName(links.select(F.col("b").alias("node"))).distinct()
+        rest = keep(rest.drop("n").join(led, "node", "left_anti"), "without-leader")
+        leads *= 4
+    found = out[0]
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, segments: int = 3, probes: int = 8, pair_limit: int = 16) -> DataFrame:
     """(id, doc_key, group) of every row of docs: the row_key of its id and text, and a number that similar rows share.
 
@@ -334,7 +461,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``segments`` segments give ``probes`` keys each. Texts that share a key and are close in their bits are verified shingle by shingle.
     Two texts at a similarity of 0.8 share one of 16 x 8 keys with probability 0.95, at 0.85 with 0.99, at 0.9 with 0.999; unrelated
     texts with 1.5e-8. (Two segments and four probes: 0.99, 0.999, and 1.5e-5, which is too often for over some 10**6 texts.)
-    Keys of more than ``pair_limit`` texts are not paired: texts that such keys join form crowds, all of which is compared in blocks."""
+    Keys of more than ``pair_limit`` texts are not paired: texts that such keys join form crowds, all of which is compared (``crowd_links``)."""
     with small_batches(docs.sparkSession), scratch() as last:
         return last(keep(_similar_groups(docs, id_col, text_col, similarity, shingle, segments, probes, pair_limit), "similar-groups"))
 
@@ -367,9 +494,7 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, similarity: flo
     asked = keep(asked.select("node", "words", F.col("doc_key").alias("_key")), "sketch-asked")
     texts = take(rows, F.col("doc_key"), asked.select("_key", "node")).dropDuplicates(["node"])
     sets = keep(_sets(texts.select("node", "text"), shingle), "sketch-sets")
-    by = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    near = pairs.join(by("a"), "a").join(by("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    near = near.filter((F.col("common") > 0) & (F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9)).select("a", "b")
+    near = verified(pairs, sets, similarity)
     inside = crowd_links(crowds.join(asked.select("node", "words"), "node").join(sets, "node"), similarity)
     joined = near.unionByName(inside).unionByName(copies.select(F.col("row").alias("a"), F.col("node").alias("b")))
     roots = components(joined).filter("node <> root").select(F.col("node").alias("row"), "root")

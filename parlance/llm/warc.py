@@ -141,16 +141,16 @@ def reachable(nodes: DataFrame) -> DataFrame:
 
     After k rounds a node points 2**k records on and the first 2**k records of each chain are reached. Only pointers that
     still lead to a node are carried on, so a round's table shrinks with what is left of the chains."""
-    here = nodes.select("file", F.col("off").alias("jump"))
+    here = nodes.select("file", F.col("off").alias("jump")).hint("shuffle_hash")  # nothing of a round is broadcast: its tables grow with the archives
     live = keep(nodes.select("file", "off", F.col("next").alias("jump")).join(here, ["file", "jump"], "left_semi"), "chain")
     reached = [keep(nodes.filter("off = 0").select("file", "off"), "reached")]
     while not live.isEmpty():
         so_far = reached[0]
         for part in reached[1:]:
             so_far = so_far.unionByName(part)
-        reached.append(keep(live.join(so_far, ["file", "off"], "left_semi").select("file", F.col("jump").alias("off")), "reached"))
+        reached.append(keep(live.join(so_far.hint("shuffle_hash"), ["file", "off"], "left_semi").select("file", F.col("jump").alias("off")), "reached"))
         further = live.select("file", F.col("off").alias("jump"), F.col("jump").alias("jump2"))
-        after = keep(live.join(further, ["file", "jump"]).select("file", "off", F.col("jump2").alias("jump")), "chain")
+        after = keep(live.join(further.hint("shuffle_hash"), ["file", "jump"]).select("file", "off", F.col("jump2").alias("jump")), "chain")
         discard(live)
         live = after
     out = reached[0]
@@ -163,7 +163,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: record, type, refers, declared (digest), bytes, digest; both of the payload in the archive."""
     nodes = keep(candidates(spark, path), "warc-nodes")
     chain = reachable(nodes.filter("off >= 0 and content is not null")).withColumn("chained", F.lit(True))
-    marked = nodes.join(chain, ["file", "off"], "left")
+    marked = nodes.join(chain.hint("shuffle_hash"), ["file", "off"], "left")
     owner = F.last(F.when(F.col("chained"), F.col("off")), ignorenulls=True).over(Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0))
     records = keep(marked.withColumn("owner", owner), "warc-records")
     heads = records.filter("chained")

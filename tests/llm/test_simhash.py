@@ -139,19 +139,48 @@ def test_similar_groups_find_brute_force_links(spark, monkeypatch, pair_limit, b
     assert sum(out[i] == out[j] for i, j in pairs) >= 0.97 * len(pairs)  # measured: see README
 
 
+def crowd_of(spark, texts, crowd=lambda k: 0):
+    rows = [(crowd(k), k, np.packbits(op.long_counts(s) > 0, bitorder="little").view("<i8").tolist(), s.view(np.int64).tolist()) for k, t in enumerate(texts) for s in [op.shingle_set(t.encode(), 5)]]
+    return spark.createDataFrame(rows, "crowd long, node long, words array<long>, shingles array<long>")
+
+
+def joined_by(links, n):
+    root = list(range(n))
+    for r in links:
+        x, y = root[r.a], root[r.b]
+        root = [min(x, y) if z in (x, y) else z for z in root]
+    return root
+
+
 def test_one_large_group_gives_few_links(spark, monkeypatch):
     """300 near copies of one text: blocks return a forest, not all pairs, and it joins what brute force joins."""
     monkeypatch.setattr(op, "CROWD_BLOCK", 64)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(120)]
     texts = [" ".join(edited(rng, base, 0.02)) for _ in range(300)]
-    members = spark.createDataFrame([(0, k, np.packbits(op.long_counts(s) > 0, bitorder="little").view("<i8").tolist(), s.view(np.int64).tolist()) for k, t in enumerate(texts) for s in [op.shingle_set(t.encode(), 5)]], "crowd long, node long, words array<long>, shingles array<long>")
-    links = op.crowd_links(members, 0.8).collect()
-    root = list(range(300))
-    for r in links:
-        x, y = root[r.a], root[r.b]
-        root = [min(x, y) if z in (x, y) else z for z in root]
-    assert root == similar_components(texts) and len(links) <= 15 * 128 and len(similar_pairs(texts)) > 5000
+    links = op.crowd_links(crowd_of(spark, texts), 0.8).collect()
+    assert joined_by(links, 300) == similar_components(texts) and len(links) <= 15 * 128 and len(similar_pairs(texts)) > 5000
+
+
+@pytest.mark.parametrize("leaders, rounds", [(2, 4), (8, 1)])
+def test_leaders_lose_no_link(spark, monkeypatch, leaders, rounds):
+    """Chains, families that only their edges join, families apart, and single texts: leaders and bridges join what brute force joins."""
+    for name, value in {"CROWD_BLOCK": 16, "CROWD_EXACT": 12, "LEADERS": leaders, "ROUNDS": rounds}.items():
+        monkeypatch.setattr(op, name, value)
+    rng = random.Random(4)
+    texts, base = [], [f"w{k}" for k in range(200)]
+    for k in range(60):  # a chain: neighbours are similar, its ends are not
+        base = base[:3 * k] + [f"x{k}-{j}" for j in range(3)] + base[3 * k + 3 :]
+        texts.append(" ".join(base))
+    for family in range(4):
+        base = [f"v{rng.randrange(900)}" for _ in range(150)]
+        texts += [" ".join(edited(rng, base, share)) for share in (0.005, 0.01, 0.02, 0.03, 0.04, 0.05) for _ in range(5)]
+    texts += [" ".join(f"u{rng.randrange(900)}" for _ in range(80)) for _ in range(20)]
+    crowd = lambda k: int(k >= 120)
+    want = similar_components(texts)
+    got = joined_by(op.crowd_links(crowd_of(spark, texts, crowd), 0.8).collect(), len(texts))
+    inside = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if crowd(i) == crowd(j)]
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i, j in inside) and len(set(want)) > 20
 
 
 def test_long_texts_are_read_in_runs():
