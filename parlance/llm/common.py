@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -40,8 +41,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/parlance/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables kept by the innermost ``scratch`` that is open.
-_SCRATCH: list[list[DataFrame]] = []
+class _Scratch(threading.local):
+    """Tables kept by each ``scratch`` that is open in this thread, the innermost last."""
+
+    def __init__(self):
+        self.open: list[list[DataFrame]] = []
+
+
+_SCRATCH = _Scratch()
 
 
 @contextmanager
@@ -54,21 +61,23 @@ def scratch():
         last.append(df)
         return df
 
-    _SCRATCH.append(made)
+    _SCRATCH.open.append(made)
     try:
         yield stays
     finally:
-        _SCRATCH.pop()
+        _SCRATCH.open.pop()
         for df in made:
             if not any(df is x for x in last):
                 discard(df)
-        if _SCRATCH:
-            _SCRATCH[-1].extend(last)
+        if _SCRATCH.open:
+            _SCRATCH.open[-1].extend(last)
 
 
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "4m"):
-    """Jobs inside hand rows to Python in Arrow batches of about ``size``, so that neither side holds many texts at once."""
+    """Jobs inside hand rows to Python in Arrow batches of about ``size``, so that neither side holds many texts at once.
+
+    The setting is the session's: jobs of other threads in it get smaller batches too, with the same results."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, size)
@@ -88,8 +97,8 @@ def keep(df: DataFrame, name: str, partition_by: list[str] | None = None, **opti
     writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._kept_path = path
-    if _SCRATCH:
-        _SCRATCH[-1].append(back)
+    if _SCRATCH.open:
+        _SCRATCH.open[-1].append(back)
     return back
 
 

@@ -165,13 +165,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
     covered = keep(covered, "decontaminated-spans")
     cases = covered.select("case", "sets").distinct().select("case", F.explode("sets").alias("set")).join(owners.select("set", "items").distinct(), "set")
-    cases = cases.select("case", F.explode("items").alias("item")).distinct().groupBy("case").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    covered = covered.join(cases, "case").select("row", "n_hit", "n_items", "items")
+    cases = cases.select("case", F.explode("items").alias("item")).distinct().groupBy("case").agg(F.count("*").alias("n_items"), name(F.array_sort(F.collect_list("item"))).alias("digest"))  # rows carry the digest, not the ids
+    covered = covered.join(cases, "case").select("row", "n_hit", "n_items", "digest")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return (
         found.select("row", "id", "n_words")
         .join(covered, "row", "left")
-        .select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+        .select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("digest", F.sha2(F.lit(b""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
     )
 
 

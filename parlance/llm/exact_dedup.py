@@ -1,8 +1,8 @@
 """Exact dedup with a log-structured merge index, in DataFrame operations only.
 
 Each task's documents are a memtable, which is flushed as one *run*: its (digest, id) entries sorted by digest, written as
-Parquet. A run's filter are the slots of its digests; counted over all runs they give a bitmap of the slots that are used
-more than once. Before runs are merged each entry is looked up in it: an entry alone in its slot has no equal in any run, is
+Parquet. Runs have one filter between them: the slots of all digests are counted (a shuffle of pre-aggregated numbers, not of entries), which gives a
+bitmap of the slots that are used more than once. Before runs are merged each entry is looked up in it: an entry alone in its slot has no equal in any run, is
 final and is not shuffled. *Compaction* merges the rest into one level that holds, per digest, the smallest and largest entry and the
 number of entries. Entries whose digest occurs more than once are *hits*; a filter over the hits' digests picks the
 rows whose texts take part in the byte verification, which groups by the whole text. A digest that turns out to cover several

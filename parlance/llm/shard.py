@@ -10,7 +10,7 @@ Slots are gapless within a shard without sorting a shard in one task: a shard is
 bucket sizes give each bucket its first slot, and rows are numbered within their bucket.
 
 Defined cases: null text has no bytes and crc 0; rows without an id share one key, so one shard; rows that repeat get a slot each;
-an empty table gives an empty result; further columns are ignored.
+texts of any length count whole, as only their bytes and crc are read; an empty table gives an empty result; further columns are ignored, names that clash included.
 """
 
 from __future__ import annotations

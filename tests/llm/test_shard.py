@@ -60,12 +60,14 @@ def test_balance_and_growth(spark):
 
 
 def test_weights_confine_movement(spark):
-    """A heavier shard draws rows only into its own region, and there only into its own rack."""
+    """A heavier shard draws rows from elsewhere into its region, within the region into its rack, and within the rack to itself."""
     from pyspark.sql import functions as F
 
     old = op.cluster(40)
     new = [op.Shard(s.number, s.region, s.rack, 3.0) if s.number == 9 else s for s in old]
     df = spark.range(5000).withColumn("k", F.col("id").cast("string"))
     both = op.place(op.place(df, F.col("k"), old, "a"), F.col("k"), new, "b").filter("a <> b").collect()
-    home = {s.number: s.region for s in old}
-    assert both and all(home[r.b] == home[9] for r in both)
+    region, rack = ({s.number: x for s, x in zip(old, xs)} for xs in ([s.region for s in old], [s.rack for s in old]))
+    assert both and all(region[r.b] == region[9] for r in both)
+    inside = [r for r in both if region[r.a] == region[9]]
+    assert inside and all(rack[r.b] == rack[9] for r in inside if rack[r.a] != rack[r.b]) and all(r.b == 9 for r in inside if rack[r.a] == rack[9])
