@@ -277,10 +277,13 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
-def _joined(left: list, right: list | None, words: np.ndarray, other: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of places whose sets are similar, none of which joins what others have joined already. right None: within left."""
+def _joined(left: list, right: list | None, words: np.ndarray, other: np.ndarray | None, similarity: float, known: list[list[int]] | None = None) -> list[tuple[int, int]]:
+    """Pairs of places whose sets are similar, none of which joins what others (or ``known`` lists of places) have joined already. right None: within left."""
     everyone = left if right is None else left + right
     root = list(range(len(everyone)))
+    for together in known or ():
+        for k in together:
+            root[k] = together[0]
 
     def find(x):
         while root[x] != x:
@@ -364,11 +367,11 @@ def star_links(members: DataFrame, leaders: DataFrame, similarity: float) -> Dat
     return sent.groupBy("crowd", "own").applyInArrow(run, "a long, b long")
 
 
-def bridges(members: DataFrame, leaders: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b): pairs that stars cannot have joined and that may be similar: both members of different components, one of them under a leader.
+def bridge_links(members: DataFrame, leaders: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between members that stars have left in different components, one of them under a leader.
 
     Distance (the share of shingles that two sets do not have in common) obeys the triangle inequality: what is similar to a member under a leader is within
-    twice the threshold of that leader. So members near a leader of another component are compared, by their bits, with all that are under it."""
+    twice the threshold of that leader. So members near a leader of another component are compared with all that are under it."""
     root = keep(components(links), "crowd-roots")
     rooted = lambda df: df.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = rooted(members.select("crowd", "node", "words"))
@@ -395,25 +398,29 @@ def bridges(members: DataFrame, leaders: DataFrame, links: DataFrame) -> DataFra
 
     close = keep(sent.groupBy("crowd", "own").applyInArrow(near, "a long, b long"), "crowd-near")
     under = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader")).unionByName(leaders.select("node", F.col("node").alias("leader")))
-    side = lambda df, leader, node, name: df.select(F.col(leader).alias("leader"), F.col(node).alias("node")).join(rows.select("node", "words", "root"), "node").withColumn("side", F.lit(name))
+    whole = rows.select("node", "words", "root").join(members.select("node", "shingles"), "node")
+    side = lambda df, leader, node, name: df.select(F.col(leader).alias("leader"), F.col(node).alias("node")).join(whole, "node").withColumn("side", F.lit(name))
     sides = side(close, "a", "b", 0).unionByName(side(under.join(close.select(F.col("a").alias("leader")).distinct(), "leader", "left_semi"), "leader", "node", 1))
-    count = sides.groupBy("leader").agg(*(F.ceil(F.count_if(F.col("side") == k) / (8 * CROWD_BLOCK)).cast("int").alias(f"n{k}") for k in (0, 1))).filter("n0 > 0 and n1 > 0")
+    held = lambda k: F.greatest(F.ceil(F.count_if(F.col("side") == k) / CROWD_BLOCK), F.ceil(F.sum(F.when(F.col("side") == k, F.size("shingles"))) / CROWD_SHINGLES)).cast("int")
+    count = sides.groupBy("leader").agg(*(held(k).alias(f"n{k}") for k in (0, 1))).filter("n0 > 0 and n1 > 0")
     dealt = sides.join(count, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)))
-    dealt = dealt.select("leader", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("x"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("y"), "side", "node", "words", "root")
+    dealt = dealt.select("leader", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("x"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("y"), "side", "node", "words", "root", "shingles")
 
-    def candidates(rows: pa.Table) -> pa.Table:
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node").combine_chunks()
         side, root = rows.column("side").to_numpy(), rows.column("root").to_numpy()
         nodes, words = _unpacked(rows)
-        a, b = [], []
-        others = np.flatnonzero(side == 1)
-        for k in np.flatnonzero(side == 0):
-            found = others[(root[others] != root[k]) & (np.bitwise_count(words[others] ^ words[k]).sum(1, dtype=np.int64) <= NEAR_ALL)]
-            a += np.minimum(nodes[found], nodes[k]).tolist()
-            b += np.maximum(nodes[found], nodes[k]).tolist()
-        return _pairs(a, b)
+        sets = [frozenset(x.values.to_numpy().tolist()) for x in rows.column("shingles")]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place = np.concatenate([left, right])
+        known = {}  # members of one component are joined already
+        for k, r in enumerate(root[place].tolist()):
+            known.setdefault(r, []).append(k)
+        found = _joined([sets[k] for k in left], [sets[k] for k in right], words[left], words[right], similarity, list(known.values()))
+        return _pairs(*([nodes[place[x[k]]] for x in found] for k in range(2)))
 
-    return dealt.groupBy("leader", "x", "y").applyInArrow(candidates, "a long, b long").distinct()
+    return dealt.groupBy("leader", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -427,8 +434,8 @@ def crowd_links(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of (crowd, node, words, shingles): links that join every two members of a crowd whose sets are similar.
 
     Crowds of up to CROWD_EXACT members are compared in blocks. In a larger one some LEADERS members, drawn by hash, are compared with all others, which joins
-    near copies of one text in work that follows their number; what may be similar across the components that this leaves is compared on its own (``bridges``).
-    Members without any leader go into further rounds with four times as many leaders each, after ROUNDS of them into blocks."""
+    near copies of one text in work that follows their number; what may be similar across the components that this leaves is compared on its own (``bridge_links``).
+    Members without any leader go into further rounds with four times as many leaders each; after ROUNDS of them, or where three quarters found none, into blocks."""
     out, rest, leads = [], members, LEADERS
     for step in range(ROUNDS + 1):
         sizes = rest.groupBy("crowd").agg(F.count("*").alias("n"))
@@ -443,9 +450,13 @@ def crowd_links(members: DataFrame, similarity: float) -> DataFrame:
         leaders = rest.filter(F.pmod(drawn, F.lit(1 << 30)) < F.lit(leads * (1 << 30)) / F.col("n")).select("crowd", "node").unionByName(lowest).distinct()
         leaders = keep(leaders, "leaders")
         links = keep(star_links(rest.drop("n"), leaders, similarity), "star-links")
-        out += [links, keep(verified(keep(bridges(rest, leaders, links), "bridges"), rest.select("node", "shingles"), similarity), "bridge-links")]
+        out += [links, keep(bridge_links(rest.drop("n"), leaders, links, similarity), "bridge-links")]
         led = leaders.select("node").unionByName(links.select(F.col("b").alias("node"))).distinct()
-        rest = keep(rest.drop("n").join(led, "node", "left_anti"), "without-leader")
+        left = keep(rest.join(led, "node", "left_anti"), "without-leader")
+        # a crowd in which leaders find few is one of texts that are alike but mostly below the threshold: it goes into blocks
+        few = left.groupBy("crowd").agg((4 * F.count("*") > 3 * F.first("n")).alias("few")).filter("few")
+        out.append(keep(block_links(left.join(few, "crowd", "left_semi").drop("n"), similarity), "block-links"))
+        rest = left.drop("n").join(few, "crowd", "left_anti")
         leads *= 4
     found = out[0]
     for part in out[1:]:
