@@ -69,8 +69,10 @@ def slow_sweep(spans, chars):
     return out
 
 
-def test_measure_segments_as_a_plain_sweep(spark):
-    rng = random.Random(11)
+@pytest.mark.parametrize("block, seed", [(op.BLOCK, 11), (1, 12), (3, 13)])
+def test_measure_segments_as_a_plain_sweep(spark, monkeypatch, block, seed):
+    monkeypatch.setattr(op, "BLOCK", block)
+    rng = random.Random(seed)
     segments, words, want = [], [], {}
     for rid in range(4):
         t, spans, mine = 0.0, [], []
@@ -95,6 +97,26 @@ def test_measure_segments_as_a_plain_sweep(spark):
     assert found.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in want for x, y in zip(found[k], want[k]))
 
 
+def test_each_segment_on_its_own(spark):
+    rng = random.Random(5)
+    words = [(r, c, k * 0.5, k * 0.5 + rng.choice([0.5, 0.5, 45.0])) for r in range(2) for k, c in enumerate(rng.choice("あいうe え、") for _ in range(300))]
+    spans = [(r, k, "".join(w[1] for w in words[300 * r + 10 * k : 300 * r + 10 * k + rng.randrange(12)]), 5.0 * k + rng.choice([0, 20, -40]), 5.0 * k + 5) for r in range(2) for k in range(30)]
+    got = {(r.recording_id, r.idx): r for r in op.measure_windows(spark.createDataFrame(spans, "recording_id long, idx long, text string, now_start double, now_end double"), spark.createDataFrame(words, "recording_id long, text string, start double, end double"), 30.0).collect()}
+    found = 0
+    for rid in range(2):
+        chars, last = [], 0.0
+        for _, c, a, b in (w for w in words if w[0] == rid):
+            last = max(last, b)
+            chars += [(x, a, last) for x in op.normalize_text(c)[0]]
+        for r, k, text, a, b in (x for x in spans if x[0] == rid):
+            m = slow_measure(text, chars, a - 30, b + 30)
+            assert (m is None) == ((r, k) not in got)
+            if m:
+                found += 1
+                assert (got[r, k].m_start, got[r, k].m_end, got[r, k].matched) == pytest.approx((m[0], m[1], m[3]))
+    assert found > 15
+
+
 def test_normalize_literals():
     assert op.normalize_text("ＡＢ、 ㍻1") == ("AB平成1", [0, 1, 4, 4, 5])
 
