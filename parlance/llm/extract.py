@@ -1,17 +1,18 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. What elements mark as boilerplate (navigation, footers, asides, forms, hidden parts,
-site headers, and wrappers whose class, id or role names one of these) is left out while reading.
+A page is cut into blocks at block-level tags. What elements say is boilerplate (navigation, footers, asides, forms, site headers) is left out while
+reading; of a block it is noted whether a wrapper around it has the name of boilerplate, whether it is in an article (or main) element or one that is named so, how
+much of it is linked, and which container it lies in.
 
-First pass: each other block is good, bad or ambiguous by its text alone. Link density over LINK_DENSITY is bad; long
-blocks are good with stop words and bad without; middling ones need more stop words, else they are ambiguous, and so are short ones.
-On a page whose words are hardly ever stop words (another language) length and link density decide alone.
-Second pass: an ambiguous block takes the label of the nearest decided block, at equal distance the later one for headings and the
-earlier one for others; without any decided block it is good.
+First pass: each block is good, bad or ambiguous. A boilerplate name is bad, unless all prose of the page is under such names, which then mean nothing. Link density over
+LINK_DENSITY is bad; long blocks are good with stop words and bad without; middling ones need more stop words, else they are ambiguous, and so
+are short ones. On a page whose words are hardly ever stop words (another language) length and link density decide alone. What is bad by its text alone but follows
+good text in the same container (a list of sources, code) becomes ambiguous.
+Second pass: an ambiguous block takes the label of the nearest decided block of its container, or of the page if none there is decided, at equal distance the later one for headings and the
+earlier one for others; without any good block on the page it is good.
 
-An article (or main) element is evidence: if it has at least half of the good text of the page, what lies outside it is bad, and
-blocks inside it that are bad by their text (lists of sources, code, names) become ambiguous, as nothing in it but marked
-boilerplate may go. If it has less (a page of teasers), blocks are judged as if it were not there.
+The article is where the good text is: if articles have at least half of it, what lies outside is bad, but for headings right before one, and
+inside only a boilerplate name is bad, all else inherits (nothing of an article may go). If they have less (a page of teasers), they do not count.
 
 Defined cases: null html has no text; a page without any block gives an empty string; unclosed and mismatched tags are
 tolerated, and a page is read in time linear in its length however broken it is; texts of any length are read whole; rows are independent,
@@ -22,7 +23,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -45,6 +47,10 @@ RAW = {"script", "style", "template", "iframe", "title", "noembed", "noframes"}
 CONTROLS = {"form", "select", "button", "textarea", "fieldset", "datalist", "dialog", "label", "option"}
 BOILER = {"nav", "footer", "aside", "menu", "head"} | CONTROLS
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+#: Containers; what else holds blocks (lists, tables, quotes) is part of the container around it.
+BOXES = {"div", "section", "article", "main", "body", "details", "center", "dialog"}
+#: Elements of running text: inside an article their names are the author's own.
+TEXT = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "caption", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open paragraph, and the open element that a start tag ends, as browsers do; lists and tables bound the search.
@@ -74,6 +80,8 @@ class Block:
     linked: int  # code points inside links
     article: bool
     heading: bool
+    named: bool = False  # a wrapper around it has the name of boilerplate
+    box: int = 0  # the innermost container
     label: bool | None = None
 
 
@@ -86,6 +94,8 @@ class _Open:
     article: bool
     heading: bool
     linked: bool  # a link around it
+    named: bool
+    box: int
     ends: dict  # place in the stack of the elements that a start tag may end
     links: int = 0  # links opened directly inside
     mute: str = ""  # an inline element that is boilerplate, and how often it is open
@@ -107,7 +117,7 @@ def _named(attributes: str, article: bool) -> tuple[bool, bool]:
     boiler = content = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if not article and (name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return True, False
         if name in ("class", "id", "role"):
             for word in value.split():
@@ -119,9 +129,9 @@ def _named(attributes: str, article: bool) -> tuple[bool, bool]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks with text outside boilerplate in page order; white space inside a block is one space."""
+    """Blocks with text outside boilerplate elements in page order; white space inside a block is one space."""
     out: list[Block] = []
-    stack = [_Open("", False, False, False, False, {})]
+    stack, boxes = [_Open("", False, False, False, False, False, 0, {})], 1
     opened: Counter = Counter()
     parts: list[str] = []
     linked, breaks, at, low, token, last = 0, 0, 0, None, _TOKEN, page.rfind(">")
@@ -131,7 +141,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked, breaks
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            out.append(Block(text, linked, stack[-1].article, stack[-1].heading))
+            top = stack[-1]
+            out.append(Block(text, linked, top.article, top.heading, top.named, top.box))
         parts.clear()
         linked = breaks = 0
 
@@ -199,13 +210,15 @@ def blocks_of(page: str) -> list[Block]:
             continue
         named, content = (False, False) if tag in ("html", "body") else _named(m[3], top.article)
         whole = tag in ("article", "main")
-        boiler = tag in BOILER or tag == "header" and not top.article or named and not whole
+        named = named and not whole and not (top.article and tag in TEXT)
+        boiler = tag in BOILER or tag == "header" and not top.article or named and tag not in BLOCK
         if tag in BLOCK:
             ends = {} if tag in BOUNDS else top.ends
             if tag in ENDS:
                 ends = ends | {ENDS[tag]: len(stack)}
             article = top.article or whole or content and tag in ("div", "section", "td")
-            stack.append(_Open(tag, top.boiler or bool(top.mute) or boiler, article, top.heading or tag in HEADINGS, top.linked or top.links > 0, ends))
+            stack.append(_Open(tag, top.boiler or bool(top.mute) or boiler, article, top.heading or tag in HEADINGS, top.linked or top.links > 0, top.named or named, boxes if tag in BOXES else top.box, ends))
+            boxes += tag in BOXES
             opened[tag] += 1
         elif tag == "a":
             top.links += 1
@@ -217,7 +230,7 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def judge(blocks: list[Block]) -> list[bool | None]:
-    """First pass: good (True), bad (False) or ambiguous (None) by each block's text alone."""
+    """First pass: good (True), bad (False) or ambiguous (None), by each block's text, links and wrappers."""
     words = [_WORD.findall(b.text.lower()) for b in blocks]
     stops = [sum(w in STOP_WORDS for w in ws) for ws in words]
     spoken = sum(stops) >= STOP_DENSITY / 4 * sum(map(len, words))
@@ -230,18 +243,31 @@ def judge(blocks: list[Block]) -> list[bool | None]:
             out.append(density >= STOP_DENSITY / 2)
         else:
             out.append(True if len(b.text) >= SHORT and density >= STOP_DENSITY else None)
+    believed = any(x and not b.named for b, x in zip(blocks, out)) or not any(out)
+    prose: set[int] = set()
+    for k, b in enumerate(blocks):
+        if believed and b.named:
+            out[k] = False
+        elif out[k]:
+            prose.add(b.box)
+        elif out[k] is False and b.box in prose:
+            out[k] = None
     return out
 
 
-def inherit(labels: list[bool | None], headings: list[bool]) -> list[bool]:
-    """Second pass: ambiguous blocks take the label of the nearest decided one."""
-    decided = [k for k, x in enumerate(labels) if x is not None]
-    out, after = [], 0
+def inherit(labels: list[bool | None], headings: list[bool], boxes: list[int]) -> list[bool]:
+    """Second pass: ambiguous blocks take the label of the nearest decided one, of those in the same container if there are any."""
+    decided: dict[int | None, list[int]] = defaultdict(list)
+    for k, x in enumerate(labels):
+        if x is not None:
+            decided[None].append(k)
+            decided[boxes[k]].append(k)
+    out = []
     for k, x in enumerate(labels):
-        while after < len(decided) and decided[after] < k:
-            after += 1
-        near = decided[max(0, after - 1) : after + 1]
         if x is None:
+            around = decided.get(boxes[k]) or decided[None]
+            after = bisect_left(around, k)
+            near = around[max(0, after - 1) : after + 1]
             x = labels[min(near, key=lambda d: (abs(d - k), -d if headings[k] else d))] if near else True
         out.append(x)
     return out
@@ -251,16 +277,20 @@ def classify(blocks: list[Block]) -> None:
     """Both passes; sets every block's label."""
     labels = judge(blocks)
     good = [sum(len(b.text) for b, x in zip(blocks, labels) if x and b.article is inside) for inside in (False, True)]
-    if any(b.article for b in blocks) and good[1] >= good[0]:
-        inside = [k for k, b in enumerate(blocks) if b.article]
-        found = inherit([labels[k] or None for k in inside], [blocks[k].heading for k in inside])
-        labels = [False] * len(blocks)
-        for k, x in zip(inside, found):
-            labels[k] = x
-    else:
-        labels = inherit(labels, [b.heading for b in blocks])
-    for b, x in zip(blocks, labels):
-        b.label = x
+    believed = any(x and not b.named for b, x in zip(blocks, labels)) or not any(labels)
+    left_out = [believed and b.named for b in blocks]
+    asked = [k for k, x in enumerate(left_out) if not x]
+    stands = any(blocks[k].article for k in asked) and good[1] >= good[0]
+    if stands:
+        asked = [k for k in asked if blocks[k].article]
+        labels = [x or None for x in labels]
+    elif not any(labels):
+        labels = [x if blocks[k].linked > LINK_DENSITY * len(blocks[k].text) else True for k, x in enumerate(labels)]
+    found = dict(zip(asked, inherit([labels[k] for k in asked], [blocks[k].heading for k in asked], [blocks[k].box for k in asked])))
+    for k in range(len(blocks) - 1, -1, -1):
+        b = blocks[k]
+        title = stands and b.heading and not b.article and not left_out[k] and k + 1 < len(blocks) and blocks[k + 1].label and (blocks[k + 1].article or blocks[k + 1].heading)
+        b.label = found.get(k, bool(title))
 
 
 def extract_text(page: str | None) -> str:

@@ -71,45 +71,72 @@ def slow_labels(blocks):
             return stop >= 0.09
         return True if len(b.text) >= 70 and stop >= 0.18 else None
 
-    first = [alone(b, ws) for b, ws in zip(blocks, words)]
-    good = lambda inside: sum(len(b.text) for b, x in zip(blocks, first) if x and b.article == inside)
-    stands = any(b.article for b in blocks) and good(True) >= good(False)
-    out = []
+    text = [alone(b, ws) for b, ws in zip(blocks, words)]
+    prose = [k for k, x in enumerate(text) if x]
+    gone = {k for k, b in enumerate(blocks) if b.named and (not prose or any(not blocks[j].named for j in prose))}
+    prose = [k for k in prose if k not in gone]
+    first = {}
     for k, b in enumerate(blocks):
-        if stands and not b.article:
-            out.append(False)
-            continue
-        region = [j for j, x in enumerate(blocks) if x.article or not stands]
-        mine = {j: (None if stands and first[j] is False else first[j]) for j in region}
-        if mine[k] is not None:
-            out.append(mine[k])
-            continue
-        place = region.index(k)
-        best = None
-        for j in region:
-            if mine[j] is not None:
-                far = abs(region.index(j) - place)
-                if best is None or far < best[0] or far == best[0] and b.heading:
-                    best = (far, mine[j])
-        out.append(best[1] if best else True)
+        if k not in gone:
+            first[k] = None if text[k] is False and any(j < k and blocks[j].box == b.box for j in prose) else text[k]
+    weight = lambda inside: sum(len(blocks[k].text) for k in prose if blocks[k].article == inside)
+    stands = any(blocks[k].article for k in first) and weight(True) >= weight(False)
+    region = [k for k in first if blocks[k].article or not stands]
+    if stands:
+        first = {k: x or None for k, x in first.items()}
+    elif not prose:
+        first = {k: False if blocks[k].linked / len(blocks[k].text) > 0.4 else True for k in first}
+    out = [False] * len(blocks)
+    for place, k in enumerate(region):
+        out[k] = first[k]
+        if out[k] is None:
+            near = [(blocks[j].box != blocks[k].box, abs(region.index(j) - place), -j if blocks[k].heading else j, first[j]) for j in region if first[j] is not None]
+            out[k] = min(near)[3] if near else True
+    for k in reversed(range(len(blocks) - 1)):
+        b, after = blocks[k], blocks[k + 1]
+        if stands and b.heading and not b.article and k not in gone and out[k + 1] and (after.article or after.heading):
+            out[k] = True
     return out
 
 
 def test_both_passes_equal_brute_force():
     rng = random.Random(4)
     labels = set()
-    for _ in range(400):
+    for _ in range(600):
         blocks = []
         for _ in range(rng.randrange(9)):
             n = rng.choice([2, 12, 20, 60])
             text = " ".join(rng.choice(["the", "of", "stone", "river", "x9"] if rng.random() < 0.7 else ["qq", "zz"]) for _ in range(n))
-            blocks.append(op.Block(text, rng.choice([0, 0, 0, len(text) // 4, len(text)]), rng.random() < 0.4, rng.random() < 0.3))
+            blocks.append(op.Block(text, rng.choice([0, 0, 0, len(text) // 4, len(text)]), rng.random() < 0.4, rng.random() < 0.3, rng.random() < 0.2, rng.randrange(3)))
         op.classify(blocks)
         assert [b.label for b in blocks] == slow_labels(blocks)
         labels |= {b.label for b in blocks}
     assert labels == {True, False}
 
 
+BODY = "this is the text of the page and it is long enough for the rule " * 4
+
+
+def test_an_article_keeps_what_its_author_hid_or_named():
+    page = f"""<h1>The title</h1><article><p>{BODY}</p><p>It is <span aria-hidden="true">5 km</span> <span style="display:none">or so</span> away</p><div hidden><p>Later.</p></div><p class="legal">By law.</p><p class="search">We looked for it.</p>
+    <div class="legal-notice">All rights</div><h2 class="related">Related work</h2></article><h3>More</h3><ul><li><a>x</a></li></ul>"""
+    assert op.extract_text(page).split("\n") == ["The title", BODY.strip(), "It is 5 km or so away", "Later.", "By law.", "We looked for it.", "Related work"]
+
+
+def test_without_article_the_container_of_the_prose_counts():
+    page = f"<body><ul><li><a>Home</a></li></ul><p>{BODY}</p><p>{BODY}</p><ul><li><a>First source</a></li><li><a>Second</a></li></ul><p>Ok.</p><pre>{'x1 y2 ' * 60}</pre><div><a>next</a> <a>page</a></div></body>"
+    assert op.extract_text(page).split("\n") == [BODY.strip()] * 2 + ["First source", "Second", "Ok.", ("x1 y2 " * 60).strip()]
+    assert op.extract_text("<p>A short one.</p><p><a>link</a></p><p>And another.</p>") == "A short one.\nAnd another."
+
+
+def test_misleading_marks():
+    """A small article beside the prose does not count, nor do names that all prose is under; where other prose is, they do."""
+    assert op.extract_text(f"<div><h2>Real title</h2><p>{BODY}</p><p>Tail.</p></div><article><h3>Read next</h3><p><a>one</a></p></article>").split("\n") == ["Real title", BODY.strip(), "Tail."]
+    page = f'<div class="sidebar"><p>{BODY}</p><p>Tail.</p></div>'
+    assert op.extract_text(page) == BODY.strip() + "\nTail." and op.extract_text(page + f"<div><p>{BODY}second</p></div>") == BODY + "second"
+    assert op.extract_text(f"<article><p>{BODY}</p></article><div><p>{BODY[:120]}</p></div>") == BODY.strip()  # prose outside the article
+
+
 @pytest.mark.parametrize("part, tail", [('<b a="', ""), ('<b a="', ">x"), ("<b a='\"", ">"), ("<b ", ""), ("<i>", "</b>" * 9000), ("<div>", "</i>" * 9000), ("<li>", "<div>" * 9000 + "<li>" * 9000), ("<template>", ""), ("<!", ""), ("</", ""), ("<a>", "</p>" * 9000), ("<p><b>", ""), ("&am", "")])
 def test_broken_pages_take_linear_time(part, tail):
     began = time.process_time()
