@@ -7,12 +7,13 @@ suffixes of each language are spread, and how often a host has each language, sm
 and that towards the whole table. A row's own vote is taken out of all of these counts but the whole table's. A background class of evenly spread
 trigrams stands for texts in none of the languages.
 
-Every labelled language is learned, however few its rows: the model has 2**15 columns for each, so its size (256 KB a language)
-follows the number of languages, not that of rows. Hosts and suffixes are joined, not broadcast; a suffix without votes is a class of its own.
+Every labelled language is learned, however few its rows: the model has 2**15 columns for each (256 KB). At most LABELS languages are held and broadcast at
+once (32 MB); with more labels, as in a column full of mistakes, texts are read once for each block of languages, which adds its likelihoods to
+the row, so a row then carries a number for each label. Hosts and suffixes are joined, not broadcast; a suffix without votes is a class of its own.
 
 Rejected are texts without a letter, texts for which the background wins, and those whose best posterior is under ``min_posterior``.
 
-Defined cases: null text is empty and rejected; null host, suffix or declaration is no evidence; a declaration outside the
+Defined cases: texts and pages of any length are read whole; null text is empty and rejected; null host, suffix or declaration is no evidence; a declaration outside the
 languages is a class of its own; without labelled rows every row is "und" and rejected; rows that repeat are treated alike;
 an empty table gives an empty result; further columns are ignored.
 """
@@ -25,12 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import extract
-from parlance.llm.common import crc_remainder, keep, prune, row_key, scratch, table, text_bytes
+from parlance.llm.common import crc_remainder, keep, prune, row_key, scratch, slices, table, text_bytes
 
 COLUMNS = 1 << 15
 CHUNK = 1 << 20
 #: Languages whose counts a task holds before it hands them on.
 HELD = 256
+#: Languages of a block.
+LABELS = 128
+#: Rows with their likelihoods that a task unpacks at once.
+UNPACKED = 512
 UNKNOWN = "und"
 #: Trigrams overlap: each byte is seen by three of them.
 TEMPER = 1 / 3
@@ -52,13 +57,13 @@ def trigram_counts(text: bytes) -> np.ndarray:
 
 
 class TextModel:
-    """Log frequencies by language; the last row is the background."""
+    """Log frequencies by language of a block, and of the background if it is the last one."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, rows: np.ndarray):
+    def __init__(self, languages: list[str], counts: np.ndarray, last: bool = True):
         self.languages = languages
-        spread = (counts + 0.05) / (counts + 0.05).sum(1, keepdims=True)
-        self.logs = np.log(np.concatenate([spread, np.full((1, COLUMNS), 1 / COLUMNS)])).T.copy()
-        self.prior = np.log((rows + 1) / (rows + 1).sum()) if len(languages) else np.zeros(0)
+        spread = counts + 0.05
+        spread /= spread.sum(1, keepdims=True)
+        self.logs = np.log(np.concatenate([spread, np.full((int(last), COLUMNS), 1 / COLUMNS)])).T.copy()
 
     def likelihoods(self, text: bytes) -> np.ndarray:
         counts = trigram_counts(text)
@@ -66,11 +71,30 @@ class TextModel:
         return TEMPER * (counts[at] @ self.logs[at])
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:
+class Languages:
+    """What the labelled rows say: languages, how many rows each has, and a table (lang, col, n) of their trigrams."""
+
+    def __init__(self, rows: dict[str, int], sums: DataFrame | None):
+        self.languages, self.sums = list(rows), sums
+        n = np.array(list(rows.values()), float)
+        self.prior = np.log((n + 1) / (n + 1).sum()) if rows else np.zeros(0)
+        self.blocks = max(1, -(-len(rows) // LABELS))
+
+    def block(self, k: int) -> TextModel:
+        """The model of the k-th LABELS languages; its table has at most LABELS x COLUMNS rows."""
+        mine = self.languages[k * LABELS : (k + 1) * LABELS]
+        counts = np.zeros((len(mine), COLUMNS))
+        if mine:
+            sums = self.sums.filter(F.col("lang").between(mine[0], mine[-1])).toArrow()
+            place = {lang: j for j, lang in enumerate(mine)}
+            counts[[place[x] for x in sums.column(0).to_pylist()], sums.column(1).to_numpy()] = sums.column(2).to_numpy()
+        return TextModel(mine, counts, k == self.blocks - 1)
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Frequencies from all labelled rows, added up per task before they are shuffled."""
     labelled = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}  # one a language
-    languages = list(rows)
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -90,12 +114,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Te
                 sums[lang] += trigram_counts(text)
         yield from out()
 
-    counts = np.zeros((len(languages), COLUMNS))
-    if languages:
-        sums = labelled.mapInArrow(run, "lang string, col long, n long").groupBy("lang", "col").agg(F.sum("n").alias("n")).toArrow()  # languages x COLUMNS rows at most
-        place = {lang: k for k, lang in enumerate(languages)}
-        counts[[place[x] for x in sums.column(0).to_pylist()], sums.column(1).to_numpy()] = sums.column(2).to_numpy()
-    return TextModel(languages, counts, np.array([rows[x] for x in languages], float))
+    if not rows:
+        return Languages(rows, None)
+    sums = labelled.mapInArrow(run, "lang string, col long, n long").groupBy("lang", "col").agg(F.sum("n").alias("n"))
+    return Languages(rows, keep(sums, "language-counts") if len(rows) > LABELS else sums)
 
 
 def _spread(log: np.ndarray) -> np.ndarray:
@@ -103,29 +125,41 @@ def _spread(log: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def _text_rows(docs: DataFrame, model, html: bool) -> DataFrame:
+def _text_rows(docs: DataFrame, model: Languages, html: bool) -> DataFrame:
     """(…, lls, vote): log likelihoods by language with the background last, and the vote of a confident text."""
     carried = [c for c in docs.columns if c != "text"]
-    kinds = dict(docs.dtypes)
-
-    def run(batches):
-        m = model.value
-        for batch in batches:
-            lls, votes = [], []
-            for value in batch.column(batch.num_columns - 1).to_pylist():
-                text = (extract.extract_text(value) if html else value or "").encode()
-                ok = bool(_LETTER[np.frombuffer(text, np.uint8)].any())
-                ll = m.likelihoods(text) if ok else None
-                lls.append(ll)
-                vote = None
-                if ok and m.languages:
-                    p = _spread(ll + np.append(m.prior, np.log(1e-3)))
-                    vote = int(p.argmax()) if p.max() >= 0.9 and p.argmax() < len(m.languages) else None
-                votes.append(vote)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lls, pa.list_(pa.float64())), pa.array(votes, pa.int32())], names=[*carried, "lls", "vote"])
-
-    layout = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "lls array<double>, vote int"])
-    return docs.select(*carried, "text").mapInArrow(run, layout)
+    kinds, prior = dict(docs.dtypes), model.prior
+
+    def one_block(df: DataFrame, k: int) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(model.block(k))
+        last = k == model.blocks - 1
+
+        def run(batches):
+            m = shared.value
+            for batch in slices(batches, len(carried), 1 << 20) if model_blocks > 1 else batches:
+                lls, votes, texts = [], [], []
+                before = batch.column(len(carried) + 1).to_pylist() if k else [None] * batch.num_rows
+                for value, known in zip(batch.column(len(carried)).to_pylist(), before):
+                    text = extract.extract_text(value) if html and not k else value or ""
+                    data = text.encode()
+                    ll = m.likelihoods(data) if _LETTER[np.frombuffer(data, np.uint8)].any() else None
+                    if ll is not None and known is not None:
+                        ll = np.concatenate([known, ll])
+                    vote = None
+                    if last and ll is not None and len(prior):
+                        p = _spread(ll + np.append(prior, np.log(1e-3)))
+                        vote = int(p.argmax()) if p.max() >= 0.9 and p.argmax() < len(prior) else None
+                    lls.append(ll), votes.append(vote), texts.append(text)
+                out = [pa.array(lls, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *([*out, pa.array(votes, pa.int32())] if last else [pa.array(texts, pa.string()), *out])], names=[*carried, *(["lls", "vote"] if last else ["text", "lls"])])
+
+        layout = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "lls array<double>, vote int" if last else "text string, lls array<double>"])
+        return df.mapInArrow(run, layout)
+
+    model_blocks, df = model.blocks, docs.select(*carried, "text")
+    for k in range(model_blocks - 1):
+        df = keep(one_block(df, k), "language-block")
+    return one_block(df, model_blocks - 1)
 
 
 def _votes(df: DataFrame, by: list[str], out: str) -> DataFrame:
@@ -133,10 +167,8 @@ def _votes(df: DataFrame, by: list[str], out: str) -> DataFrame:
     return df.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias(out))
 
 
-def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, host: Column, declared: Column, html: bool = False, min_posterior: float = 0.4) -> DataFrame:
+def identify(docs: DataFrame, model: Languages, ids: list[str], text: Column, host: Column, declared: Column, html: bool = False, min_posterior: float = 0.4) -> DataFrame:
     """ids, text_language, language, posterior, rejected for every row of docs."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
     languages = model.languages
     host = F.lower(host.cast("string"))
     parts = F.split(host, r"\.")
@@ -144,7 +176,7 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
         *ids, host.alias("host"), F.when(F.size(parts) > 1, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).alias("domain"), F.when(F.size(parts) > 1, F.element_at(parts, -1)).alias("suffix"),
         F.lower(F.regexp_extract(declared.cast("string"), "^\\s*([A-Za-z]{2,8})", 1)).alias("declared"), text.cast("string").alias("text"),
     )
-    rows = keep(_text_rows(rows, shared, html), "language-texts")
+    rows = keep(_text_rows(rows, model, html), "language-texts")
     voted = rows.filter("vote is not null")
     hosts = voted.groupBy("host", "domain", "vote").agg(F.count("*").alias("n"))
     hosts = keep(hosts, "language-hosts")
@@ -162,8 +194,12 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
     for r in suffixes.groupBy("vote").agg(F.sum("n").alias("n")).collect():
         spread[r.vote] += r.n
 
-    declared_counts = {v: np.array([declarations.get((v, k), 0) for k in range(len(languages))], float) for v in [*languages, "other"]}
-    declared_sums = sum(declared_counts.values()) + 0.5 * len(declared_counts)
+    of_declared: dict[str, dict[int, int]] = {}
+    declared_sums = np.full(len(languages), 0.5 * (len(languages) + 1))
+    for (value, k), n in declarations.items():
+        of_declared.setdefault(value, {})[k] = n
+        declared_sums[k] += n
+    known_languages = set(languages)
 
     def likelihood(counts: np.ndarray, sums: np.ndarray, own) -> np.ndarray:
         """log P(value | language) with half a count added and without the row's own vote; the background has the mean of all languages."""
@@ -187,7 +223,7 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
 
     def run(batches):
         every = [*languages, UNKNOWN]
-        for batch in batches:
+        for batch in (whole.slice(k, UNPACKED) for whole in batches for k in range(0, whole.num_rows, UNPACKED)):
             first, best, post, bad = [], [], [], []
             n = len(ids)
             for ll, own, decl, suffix, hv, dv, sv in zip(*(batch.column(n + k).to_pylist() for k in range(7))):
@@ -199,7 +235,10 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
                 prior = smoothed(hv, own, smoothed(dv, own, overall, DOMAIN_WEIGHT), HOST_WEIGHT)
                 log = ll + np.append(np.log(prior), np.log(1e-3))
                 if decl:
-                    log = log + likelihood(declared_counts[decl if decl in declared_counts else "other"], declared_sums, own)
+                    counts = np.zeros(len(languages))
+                    for j, m in of_declared.get(decl if decl in known_languages else "other", {}).items():
+                        counts[j] = m
+                    log = log + likelihood(counts, declared_sums, own)
                 if suffix:
                     counts = np.zeros(len(languages))
                     for j, m in sv or ():
@@ -214,12 +253,12 @@ def identify(docs: DataFrame, model: TextModel, ids: list[str], text: Column, ho
     return joined.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in ids), "text_language string, language string, posterior double, rejected boolean"]))
 
 
-def of_documents(docs: DataFrame, model: TextModel, min_posterior: float = 0.4, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def of_documents(docs: DataFrame, model: Languages, min_posterior: float = 0.4, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Documents carry no markup or address; their source is the host."""
     return identify(docs, model, list(ids), F.col("text"), F.col("source"), F.lit(None), min_posterior=min_posterior)
 
 
-def of_pages(pages: DataFrame, model: TextModel, min_posterior: float = 0.4) -> DataFrame:
+def of_pages(pages: DataFrame, model: Languages, min_posterior: float = 0.4) -> DataFrame:
     host = F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)
     tag = F.regexp_extract(F.regexp_replace("html", COMMENT, " "), "(?i)<html(?=[\\s/>])[^>]*", 0)  # the first one, wherever it starts
     declared = F.regexp_extract(tag, "(?i)\\slang\\s*=\\s*[\"']?([A-Za-z-]+)", 1)

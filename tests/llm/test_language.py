@@ -20,10 +20,11 @@ TEACH = [(k, t, lang, f"s{k % 3}", 1) for k in range(30) for t, lang in [("the c
 
 def brute(rows, model, hosts, decls):
     """The fusion written out for each row, without joins: every level and table counts the other rows' votes."""
-    langs, votes = model.languages, []
+    langs, votes, models = model.languages, [], [model.block(k) for k in range(model.blocks)]
+    likelihoods = lambda text: np.concatenate([m.likelihoods(text) for m in models])
     every = range(len(langs))
     for text in rows:
-        ll = model.likelihoods(text.encode())
+        ll = likelihoods(text.encode())
         p = op._spread(ll + np.append(model.prior, np.log(1e-3)))
         votes.append(int(p.argmax()) if p.max() >= 0.9 and p.argmax() < len(langs) else None)
     total = np.array([sum(v == k for v in votes) for k in every], float)
@@ -38,7 +39,7 @@ def brute(rows, model, hosts, decls):
         others = [j for j in range(len(rows)) if j != i and votes[j] is not None]
         count = lambda values, value: np.array([sum(values[j] == value and votes[j] == k for j in others) for k in every], float)
         given = lambda values: np.array([sum(bool(values[j]) and votes[j] == k for j in others) for k in every], float)
-        log = model.likelihoods(text.encode())
+        log = likelihoods(text.encode())
         domain = count(domains, domains[i]) if domains[i] else np.zeros(len(langs))
         above = (domain + op.DOMAIN_WEIGHT * overall) / (domain.sum() + op.DOMAIN_WEIGHT)
         host = count(hosts, hosts[i])
@@ -51,9 +52,12 @@ def brute(rows, model, hosts, decls):
     return out
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("labels", [op.LABELS, 1])
+def test_equals_brute_force(spark, monkeypatch, labels):
+    """Also where each language is a block of its own."""
+    monkeypatch.setattr(op, "LABELS", labels)
     model = op.train(documents(spark, TEACH))
-    assert model.languages == ["en", "fr"]
+    assert model.languages == ["en", "fr"] and model.blocks == (2 if labels == 1 else 1)
     texts = ["the dog", "le chien", "la maison de", "of the", "chat", "x", "qq", "the cat and", "le", "a"] * 2
     hosts = ["h1", "h2", "h2", "a.h1.com", "b.h2.fr", "b.h2.fr", "a.h1.com", "c.h1.com", "h3.com", "h3.fr", "c.h1.com", "h3.fr", "b.h2.fr", "x.h3.com", "h2", "d.h2.fr", "h9.zz", "a.h1.com", "h1", "h3.com"]
     decls = ["en", "fr", "fr", "en", "en", "fr", "", "en", "other", "en"] * 2
@@ -63,6 +67,15 @@ def test_equals_brute_force(spark):
         assert got[k].language == [*model.languages, "und"][int(p.argmax())] and got[k].posterior == pytest.approx(p.max(), abs=1e-9)
 
 
+def test_a_column_of_mistaken_labels(spark):
+    """Some 600 labels, all but two of one row each: five blocks of languages, the true ones are still found."""
+    teach = TEACH * 20 + [(10**6 + k, f"zq{k} vw{k} kx{k} " * 3, f"label {k}", "s", 1) for k in range(600)]
+    model = op.train(documents(spark, teach))
+    assert len(model.languages) == 602 and model.blocks == 5 and all(len(model.block(k).languages) <= op.LABELS for k in range(5))
+    out = op.identify(documents(spark, TEACH[:6] + [(9, None, None, "s", 1), (10, "zq7 vw7 kx7", None, "s", 1)]), model, ["doc_id"], F.col("text"), F.col("source"), F.lit(None)).collect()
+    assert sorted((r.doc_id, r.language) for r in out) == sorted([(i, lang) for i, _, lang, *_ in TEACH[:6]] + [(9, "und"), (10, "label 7")])
+
+
 def test_odd_rows(spark):
     docs = documents(spark, ROWS)
     out = op.of_documents(docs, op.train(documents(spark, TEACH))).collect()
@@ -103,5 +116,5 @@ def test_rare_languages_and_suffixes_are_kept(spark):
     for k, suffix in [(1502, "de"), (1503, "qq")]:
         x = np.log((votes[suffix] + 0.5) / (sum(votes.values()) + 1.5))
         domain = (op.DOMAIN_WEIGHT * overall) / op.DOMAIN_WEIGHT
-        p = op._spread(model.likelihoods(b"the dog le chien") + np.append(np.log(domain), np.log(1e-3)) + np.append(x, x.mean()))
+        p = op._spread(model.block(0).likelihoods(b"the dog le chien") + np.append(np.log(domain), np.log(1e-3)) + np.append(x, x.mean()))
         assert got[k].posterior == pytest.approx(p.max(), abs=1e-9)
