@@ -1,8 +1,9 @@
 """Ranking of likely speakers for each segment.
 
 All evidence is relational: votes of the cluster, of its letter in other chunks, transitions from and to the
-neighbours, the person across a chunk border, overall frequency and roster order. Segments meet the roster of
-their recording once; each kind of evidence is one left join on the recording and a vote's key."""
+neighbours, the person across a chunk border, overall frequency and roster order. Votes are folded into maps from candidate to count, one for each
+voice, neighbour and recording, and joined to segments, not to their candidates; only then is each segment opened to the roster, and its candidates are
+scored by looking them up."""
 
 from __future__ import annotations
 
@@ -22,8 +23,10 @@ RID = "recording_id"
 TIMES, ACROSS, AFTER, BEFORE = "回", "境界の続き", "の次: ", "の前: "
 
 
-def _total(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.sum(name).alias(f"{name}_total"))
+def _folded(df: DataFrame, by: list[str], *names: str) -> DataFrame:
+    """One row for each key, with a map from candidate to count for every named column (none for nulls) and the total of each."""
+    entry = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c) > 0, F.struct("candidate", c))))
+    return df.groupBy(*by).agg(*(x for c in names for x in (entry(c).alias(c), F.sum(c).alias(f"{c}_total"))))
 
 
 def _share(weight: float, count: Column, total: Column, full: int | None = None) -> Column:
@@ -37,23 +40,22 @@ def rank_candidates(segments: DataFrame, speakers: DataFrame, include_special: b
     base = stats.boundary_partner(stats.next_assigned(stats.prev_assigned(segments)))
     own = (F.col("speaker_id").isNotNull() & ~is_special(F.col("speaker_id")) & ~is_pseudo(F.col("cluster"))).cast("int")
     base = base.select(RID, "idx", "cluster", F.when(~is_pseudo(F.col("cluster")), F.col("cluster")).alias("voice"), label_of(F.col("cluster")).alias("label"), F.col("speaker_id").alias("current"), F.coalesce(own, F.lit(0)).alias("own"), "prev_speaker", "next_speaker", "boundary_speaker")
-    size = Window.partitionBy(RID)
-    roster = speakers.select(RID, F.col("speaker_id").alias("candidate"), "ord", F.count("*").over(size).alias("n"), (F.row_number().over(size.orderBy("ord")) - 1).alias("place"))
-
     votes = stats.cluster_votes(segments).filter(~is_special(F.col("speaker_id"))).select(RID, F.col("cluster").alias("voice"), F.col("speaker_id").alias("candidate"), F.col("n").alias("cv"))
     letters = stats.letter_votes(segments).select(RID, "label", F.col("speaker_id").alias("candidate"), F.col("n").alias("all_lv"))
     voices = stats.clusters(segments).filter(~is_pseudo(F.col("cluster"))).select(RID, F.col("cluster").alias("voice"), label_of(F.col("cluster")).alias("label"))
     elsewhere = voices.join(letters, [RID, "label"]).join(votes, [RID, "voice", "candidate"], "left").select(RID, "voice", "candidate", (F.col("all_lv") - F.coalesce("cv", F.lit(0))).alias("lv")).filter("lv > 0")
+    by_voice = votes.withColumn("lv", F.lit(None).cast("long")).unionByName(elsewhere.withColumn("cv", F.lit(None).cast("long")))
     moves = stats.transitions(segments)
     onward = moves.select(RID, F.col("a").alias("prev_speaker"), F.col("b").alias("candidate"), F.col("n").alias("fw"))
     back = moves.select(RID, F.col("b").alias("next_speaker"), F.col("a").alias("candidate"), F.col("n").alias("bw"))
     often = stats.speaker_frequency(segments).select(RID, F.col("speaker_id").alias("candidate"), F.col("n").alias("fr"))
 
-    rows = base.join(roster, RID)
-    for table, key in ((votes, "voice"), (elsewhere, "voice"), (onward, "prev_speaker"), (back, "next_speaker")):
-        value = table.columns[-1]
-        rows = rows.join(_total(table, [RID, key], value), [RID, key], "left").join(table, [RID, key, "candidate"], "left")
-    rows = rows.join(_total(often, [RID], "fr"), RID, "left").join(often, [RID, "candidate"], "left")
+    seats = F.array_sort(F.collect_list(F.struct("ord", F.col("speaker_id").alias("candidate"))))
+    roster = speakers.groupBy(RID).agg(F.count("*").alias("n"), F.transform(seats, lambda x, k: F.struct(x["candidate"].alias("candidate"), x["ord"].alias("ord"), k.alias("place"))).alias("seats"))
+    whole = roster.join(_folded(often, [RID], "fr"), RID, "left")
+    rows = base.join(_folded(by_voice, [RID, "voice"], "cv", "lv"), [RID, "voice"], "left").join(_folded(onward, [RID, "prev_speaker"], "fw"), [RID, "prev_speaker"], "left").join(_folded(back, [RID, "next_speaker"], "bw"), [RID, "next_speaker"], "left")
+    rows = rows.join(whole, RID).withColumn("seat", F.explode("seats")).drop("seats").select("*", "seat.candidate", "seat.ord", "seat.place").drop("seat")
+    rows = rows.withColumns({c: F.try_element_at(c, "candidate") for c in ("cv", "lv", "fw", "bw", "fr")})
 
     me = F.col("candidate").eqNullSafe(F.col("current")).cast("int") * F.col("own")
     count = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("cv", "lv", "fw", "bw", "fr")}

@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.columns import audio_start, clamp_span
+from parlance.functions.columns import audio_start, clamp_span, format_hms
 from parlance.schemas import MIN_EDIT_SECONDS, SEGMENT_COLUMNS
+from parlance.sources.shared import kept
 
 RID = "recording_id"
+#: Rounds in which families are matched at once.
+ROUNDS = 3
 MATCH_SECONDS, TARGET_SECONDS, CONFLICT_SHARE, BIN_SECONDS = 2.0, 5.0, 0.5, 60.0
 
 
@@ -123,19 +126,37 @@ def _greedy(rows: pd.DataFrame, tol: float) -> pd.DataFrame:
 
 
 def match_families(old: DataFrame, new: DataFrame, tol: float = MATCH_SECONDS) -> DataFrame:
-    """(recording_id, pos, family): which family of old rows (one original start) each new segment continues."""
-    kept = old.filter("speaker_id is not null or text_edited or time_edited")
-    families = kept.groupBy(RID, F.round("orig_start", 3).alias("family")).agg(F.min_by("orig_start", F.struct("seg_start", "idx")).alias("f_start"))
+    """(recording_id, pos, family): which family of old rows (one original start) each new segment continues: in order, the nearest that is still free.
+
+    Who comes first among all that are near a family has it for certain if it is its own nearest; such choices are made by windows, all at once, and what is near
+    neither them nor what they took stays open. Only what is still open after ``ROUNDS`` is folded one by one."""
+    changed = old.filter("speaker_id is not null or text_edited or time_edited")
+    families = changed.groupBy(RID, F.round("orig_start", 3).alias("family")).agg(F.min_by("orig_start", F.struct("seg_start", "idx")).alias("f_start"))
     left = families.withColumn("bin", F.floor(F.col("f_start") / tol))
     right = new.select(RID, F.col("idx").alias("pos"), F.col("seg_start").alias("n_start"), F.explode(F.array(*[F.floor(F.col("seg_start") / tol) + d for d in (-1, 0, 1)])).alias("bin"))
     near = left.join(right, [RID, "bin"]).withColumn("gap", F.abs(F.col("f_start") - F.col("n_start"))).filter(F.col("gap") < tol + 1e-9).select(RID, "pos", "family", "gap")
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = _greedy(rows, tol)
-        out.insert(0, RID, key[0])
-        return out
-
-    return near.groupBy(RID).applyInPandas(fold, f"{RID} long, pos long, family double")
+    near, fixed = kept(near, "near-families"), []
+    for _ in range(ROUNDS):
+        first = F.min("pos").over(Window.partitionBy(RID, "family"))
+        place = F.row_number().over(Window.partitionBy(RID, "pos").orderBy("gap", "family"))
+        sure = kept(near.withColumns({"first": first, "place": place}).filter("place = 1 and pos = first").select(RID, "pos", "family"), "sure-families")
+        fixed.append(sure)
+        near = kept(near.join(sure.select(RID, "pos"), [RID, "pos"], "left_anti").join(sure.select(RID, "family"), [RID, "family"], "left_anti"), "open-families")
+        if near.isEmpty():
+            break
+    else:
+
+        def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            out = _greedy(rows, tol)
+            out.insert(0, RID, key[0])
+            return out
+
+        fixed.append(near.groupBy(RID).applyInPandas(fold, f"{RID} long, pos long, family double"))
+    out = fixed[0]
+    for part in fixed[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def carry_over(old: DataFrame, new: DataFrame, tol: float = MATCH_SECONDS) -> tuple[DataFrame, DataFrame]:
@@ -144,17 +165,18 @@ def carry_over(old: DataFrame, new: DataFrame, tol: float = MATCH_SECONDS) -> tu
     A single family without edited times lends speaker, note and edited text to the new row; any other family replaces it.
     New rows that start inside a family with edited times, and continue none, are absorbed."""
     order = [c for c in SEGMENT_COLUMNS if c in new.columns]
-    kept = old.filter("speaker_id is not null or text_edited or time_edited").withColumn("family", F.round("orig_start", 3))
+    old, new = kept(old, "old-segments"), kept(new, "new-segments")
+    changed = old.filter("speaker_id is not null or text_edited or time_edited").withColumn("family", F.round("orig_start", 3))
     size = Window.partitionBy(RID, "family")
-    kept = kept.withColumns({"members": F.count("*").over(size), "edited": F.max(F.coalesce("time_edited", F.lit(False))).over(size)})
-    matched = match_families(old, new, tol)
-    fam = matched.join(kept, [RID, "family"])
+    changed = changed.withColumns({"members": F.count("*").over(size), "edited": F.max(F.coalesce("time_edited", F.lit(False))).over(size)})
+    matched = kept(match_families(old, new, tol), "matched")
+    fam = kept(matched.join(changed, [RID, "family"]), "continued")
     whole = fam.filter("members > 1 or edited").select(RID, "pos", *[F.col(c) for c in order if c != RID])
     lend = fam.filter("members = 1 and not edited").select(RID, "pos", F.col("speaker_id").alias("o_speaker"), F.col("reviewed").alias("o_reviewed"), F.col("note").alias("o_note"), F.when(F.col("text_edited"), F.col("text")).alias("o_text"))
     ranges = fam.filter("time_edited").select(RID, F.col("orig_start").alias("a"), F.col("orig_end").alias("b"), F.explode(F.sequence(F.floor(F.col("orig_start") / BIN_SECONDS), F.floor(F.greatest("orig_start", "orig_end") / BIN_SECONDS))).alias("bin"))
     alone = new.withColumn("pos", F.col("idx")).join(matched.select(RID, "pos"), [RID, "pos"], "left_anti").withColumn("bin", F.floor(F.col("seg_start") / BIN_SECONDS))
-    inside = alone.join(ranges, [RID, "bin"]).filter("a < seg_start and seg_start < b").select(RID, "pos").distinct()
-    free = alone.join(inside, [RID, "pos"], "left_anti").drop("bin")
+    inside = kept(alone.join(ranges, [RID, "bin"]).filter("a < seg_start and seg_start < b").select(RID, "pos", "seg_start").distinct(), "absorbed")
+    free = alone.join(inside.select(RID, "pos"), [RID, "pos"], "left_anti").drop("bin")
     moved = new.withColumn("pos", F.col("idx")).join(lend, [RID, "pos"])
     moved = moved.withColumns(
         {
@@ -164,13 +186,15 @@ def carry_over(old: DataFrame, new: DataFrame, tol: float = MATCH_SECONDS) -> tu
     )
     cols = [RID, "pos", *[c for c in order if c != RID]]
     tag = lambda df, how: df.select(*cols, F.lit(how).alias("how"))
-    rows = tag(free, "new").unionByName(tag(moved, "carried")).unionByName(tag(whole, "replaced"))
+    rows = kept(tag(free, "new").unionByName(tag(moved, "carried")).unionByName(tag(whole, "replaced")), "carried")
     place = F.row_number().over(Window.partitionBy(RID).orderBy("pos", "seg_start", "idx")) - 1
     segments = rows.withColumn("idx", place.cast("long"))
     old_side = F.col("how") != "new"
     counts = rows.groupBy(RID).agg(
         F.count_if(old_side & F.col("speaker_id").isNotNull()).alias("carried"), F.count_if(old_side & F.col("text_edited")).alias("texts"), F.count_if(F.col("how") == "replaced").alias("replaced")
     )
-    gone = inside.groupBy(RID).agg(F.count("*").alias("absorbed"))
-    audit = counts.join(gone, RID, "full_outer").fillna(0, ["carried", "texts", "replaced", "absorbed"])
+    # where the first five of them were
+    at = F.when(F.row_number().over(Window.partitionBy(RID).orderBy("seg_start", "pos")) <= 5, F.struct("seg_start", "pos", format_hms(F.col("seg_start")).alias("t")))
+    gone = inside.withColumn("at", at).groupBy(RID).agg(F.count("*").alias("absorbed"), F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["t"]), " ").alias("absorbed_at"))
+    audit = counts.join(gone, RID, "full_outer").fillna(0, ["carried", "texts", "replaced", "absorbed"]).fillna("", ["absorbed_at"])
     return segments.select(*order), audit

@@ -121,13 +121,15 @@ CARRY = """
 fam AS (SELECT *, round(orig_start, 3) AS family, count(*) OVER (PARTITION BY recording_id, round(orig_start, 3)) AS members, bool_or(time_edited) OVER (PARTITION BY recording_id, round(orig_start, 3)) AS edited FROM old_v WHERE speaker_id IS NOT NULL OR text_edited OR time_edited)
 , mt AS (SELECT n.recording_id, f.family, min(n.idx) AS pos FROM new_v n JOIN (SELECT DISTINCT recording_id, family FROM fam) f ON n.recording_id = f.recording_id AND abs(n.seg_start - f.family) < 2 + 1e-9 GROUP BY 1, 2)
 , fm AS (SELECT fam.*, pos FROM fam JOIN mt USING (recording_id, family))
-, ins AS (SELECT DISTINCT n.recording_id, n.idx FROM new_v n JOIN fm ON fm.recording_id = n.recording_id AND fm.time_edited AND fm.orig_start < n.seg_start AND n.seg_start < fm.orig_end WHERE (n.recording_id, n.idx) NOT IN (SELECT (recording_id, pos) FROM mt))
+, ins AS (SELECT DISTINCT n.recording_id, n.idx, n.seg_start FROM new_v n JOIN fm ON fm.recording_id = n.recording_id AND fm.time_edited AND fm.orig_start < n.seg_start AND n.seg_start < fm.orig_end WHERE (n.recording_id, n.idx) NOT IN (SELECT (recording_id, pos) FROM mt))
 , rows3 AS (
   SELECT recording_id, idx AS pos, idx, seg_start, speaker_id, reviewed, note, text_edited, time_edited, text, 'new' AS how FROM new_v WHERE (recording_id, idx) NOT IN (SELECT (recording_id, pos) FROM mt) AND (recording_id, idx) NOT IN (SELECT (recording_id, idx) FROM ins)
   UNION ALL SELECT n.recording_id, n.idx, n.idx, n.seg_start, fm.speaker_id, fm.speaker_id IS NOT NULL AND fm.reviewed, fm.note, fm.text_edited, false, CASE WHEN fm.text_edited THEN fm.text ELSE n.text END, 'carried' FROM new_v n JOIN fm ON fm.recording_id = n.recording_id AND fm.pos = n.idx WHERE members = 1 AND NOT edited
   UNION ALL SELECT recording_id, pos, idx, seg_start, speaker_id, reviewed, note, text_edited, time_edited, text, 'replaced' FROM fm WHERE members > 1 OR edited)
 """
-ABSORBED = "SELECT recording_id, count(*) AS absorbed FROM ins GROUP BY 1"
+_AT = "CAST(round_even(seg_start, 0) AS BIGINT)"
+ABSORBED = f"""SELECT recording_id, count(*) AS absorbed, string_agg(concat(lpad(CAST({_AT} // 3600 AS VARCHAR), 2, '0'), ':', lpad(CAST({_AT} % 3600 // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST({_AT} % 60 AS VARCHAR), 2, '0')), ' ' ORDER BY seg_start, idx) FILTER (k <= 5) AS absorbed_at
+FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seg_start, idx) AS k FROM ins) GROUP BY 1"""
 SAME = """same AS (SELECT o.recording_id, o.doc_revision FROM recordings_v o JOIN rerecorded_v n USING (recording_id) WHERE recording_id % 10 <> 9 AND CASE WHEN o.audio_fingerprint <> '' AND n.audio_fingerprint <> '' THEN o.audio_fingerprint = n.audio_fingerprint ELSE abs(o.duration - n.duration) <= 1 END)"""
 
 
@@ -314,7 +316,7 @@ _ORACLES = {
     "s4_words": "SELECT user_id AS recording_id, event_type AS text, event_id * 0.5 AS start, event_id * 0.5 + 0.25 AS \"end\", 'small' AS model FROM events",
     "s5_proposals": "SELECT p.recording_id, id, p_start, audio_fingerprint AS fingerprint FROM proposals_v p JOIN recordings_v USING (recording_id) WHERE audio_fingerprint <> ''",
     "j6_audit": f"""WITH {CARRY}, ab AS ({ABSORBED}), c AS (SELECT recording_id, count(*) FILTER (how <> 'new' AND speaker_id IS NOT NULL) AS carried, count(*) FILTER (how <> 'new' AND text_edited) AS texts, count(*) FILTER (how = 'replaced') AS replaced FROM rows3 GROUP BY 1)
-      SELECT recording_id, coalesce(carried, 0) AS carried, coalesce(texts, 0) AS texts, coalesce(replaced, 0) AS replaced, coalesce(absorbed, 0) AS absorbed FROM c FULL JOIN ab USING (recording_id)""",
+      SELECT recording_id, coalesce(carried, 0) AS carried, coalesce(texts, 0) AS texts, coalesce(replaced, 0) AS replaced, coalesce(absorbed, 0) AS absorbed, coalesce(absorbed_at, '') AS absorbed_at FROM c FULL JOIN ab USING (recording_id)""",
     "j6_rerun": f"""WITH {CARRY}, {SAME}, wt AS ({WANTED.replace("{speakers_v} AS speakers_v", "speakers_v")})
       , r AS (SELECT recording_id FROM rerecorded_v UNION SELECT recording_id FROM recordings_v WHERE recording_id % 10 = 8)
       , sg AS (SELECT recording_id, speaker_id FROM rows3 WHERE recording_id IN (SELECT recording_id FROM same) UNION ALL SELECT recording_id, speaker_id FROM old_v WHERE recording_id % 10 = 8 UNION ALL SELECT recording_id, speaker_id FROM new_v WHERE recording_id % 10 <> 8 AND recording_id NOT IN (SELECT recording_id FROM same))
