@@ -56,9 +56,49 @@ def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("recording_id", "target", "x.batch_id", "x.kind")
 
 
-QUERIES = {"x1_stream_segments": _segments, "x2_stream_progress": _progress, "x3_stream_edits": _edits, "x4_stream_activity": _activity}
+def _retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third chunk fails at first and is sent again, with half of those that did not fail."""
+    source, sink, state = work_path(spark, "chunks"), work_path(spark, "segments"), work_path(spark, "stream-state")
+    chunks = accumulate_offsets(chunks_of(spark, sf_dir), 60.0).select("recording_id", "chunk", "text", "length", "offset")
+    bad = (F.col("recording_id") + F.col("chunk")) % 3 == 0
+    chunks.withColumn("failed", bad).withColumn("text", F.when(~bad, F.col("text"))).write.json(source)
+    jobs.stream_segments(spark, source, sink, state).awaitTermination()
+    chunks.filter(bad | (F.col("chunk") % 2 == 0)).write.mode("append").json(source)
+    jobs.stream_segments(spark, source, sink, state).awaitTermination()
+    return spark.read.parquet(f"{sink}/segments").drop("batch")
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> str:
+    """Two thirds of the edits arrive, then the rest of them: what is behind by over a week or older than what is there goes aside."""
+    source, sink, state = work_path(spark, "edits"), work_path(spark, "edited"), work_path(spark, "stream-state")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.col("user_id").alias("recording_id"), (F.col("event_id") % 20).alias("target"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("batch_id"), F.col("event_type").alias("kind"), F.col("value").cast("string").alias("after"))
+    for part in ("batch_id % 3 > 0", "batch_id % 3 = 0"):
+        rows.filter(part).write.mode("append").parquet(source)
+        jobs.apply_edits(spark.readStream.schema(rows.schema).parquet(source), sink, state, "7 days").awaitTermination()
+    return sink
+
+
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_edited(spark, sf_dir)}/late").select("recording_id", "target", "batch_id", "reason")
+
+
+def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.read_latest(spark, _edited(spark, sf_dir)).select("recording_id", "target", "batch_id", "kind")
+
+
+QUERIES = {"x1_retried_chunks": _retried, "x3_late": _late, "x3_latest": _latest, "x1_stream_segments": _segments, "x2_stream_progress": _progress, "x3_stream_edits": _edits, "x4_stream_activity": _activity}
+
+_EDITS = """e AS (SELECT user_id AS recording_id, event_id % 20 AS target, ts, event_id AS batch_id, event_type AS kind, event_id % 3 = 0 AS second FROM events)
+  , judged AS (SELECT *, second AND ts < (SELECT max(ts) FROM e WHERE NOT second) - INTERVAL 7 DAYS AS behind FROM e)
+  , placed AS (SELECT *, row_number() OVER (PARTITION BY recording_id, target, second, behind ORDER BY ts DESC, batch_id DESC) AS k,
+      max(CASE WHEN NOT second THEN {'at': ts, 'id': batch_id} END) OVER (PARTITION BY recording_id, target) AS first_best FROM judged)
+  , late AS (SELECT *, CASE WHEN behind THEN 'behind' WHEN k > 1 OR (second AND {'at': ts, 'id': batch_id} < first_best) THEN 'older' END AS reason FROM placed)"""
 
 ORACLES = {
+    "x1_retried_chunks": with_views(f"WITH {TRANSCRIPT} SELECT * FROM transcript"),
+    "x3_late": f"WITH {_EDITS} SELECT recording_id, target, batch_id, reason FROM late WHERE reason IS NOT NULL",
+    "x3_latest": f"WITH {_EDITS} SELECT recording_id, target, arg_max(batch_id, {{'at': ts, 'id': batch_id}}) AS batch_id, arg_max(kind, {{'at': ts, 'id': batch_id}}) AS kind FROM late WHERE reason IS NULL GROUP BY 1, 2",
     "x1_stream_segments": with_views(f"WITH {TRANSCRIPT} SELECT * FROM transcript"),
     "x2_stream_progress": with_views("SELECT recording_id, count(*) AS total, count(speaker_id) AS assigned, count(*) FILTER (speaker_id IS NOT NULL AND reviewed) AS reviewed FROM segments_ev GROUP BY 1"),
     "x3_stream_edits": "SELECT user_id AS recording_id, event_id % 20 AS target, arg_max(event_id, (ts, event_id)) AS batch_id, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY 1, 2",

@@ -101,6 +101,17 @@ def read(spark: SparkSession, path: str, **key: object) -> DataFrame:
     return rows.filter(reduce(Column.__and__, (F.col(k).eqNullSafe(F.lit(v)) for k, v in key.items()), F.lit(True)))
 
 
+def matching(keys: DataFrame, path: str) -> DataFrame | None:
+    """Stored rows whose key is among ``keys`` (which has the key's columns); only their buckets are read. None if nothing was ever stored."""
+    spark = keys.sparkSession
+    state = latest(spark, path)
+    if state is None:
+        return None
+    touched = [r[0] for r in keys.select(_bucket(state["key"], state["buckets"]).alias(_AT)).distinct().collect()]  # at most ``buckets``
+    wanted = keys.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(state["key"]))).distinct()
+    return _load(spark, path, state, touched).join(wanted, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(state["key"]))), "left_semi")
+
+
 def upsert(rows: DataFrame, path: str, key: list[str], stays: Callable[[DataFrame, DataFrame], DataFrame] | None = None, buckets: int = BUCKETS, form: str = "parquet") -> None:
     """Rows replace those stored under their keys. ``stays`` (stored rows of these keys, new rows) gives stored rows that are kept all the same."""
     spark = rows.sparkSession
