@@ -2,6 +2,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,14 @@ def test_each_segment_on_its_own(spark):
     assert found > 15
 
 
+def test_measurement_in_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    got = align_queries.QUERIES["n4_measure"](spark, sf_dir)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({align_queries.MEASURED_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+
+
 def test_normalize_literals():
     assert op.normalize_text("ＡＢ、 ㍻1") == ("AB平成1", [0, 1, 4, 4, 5])
 
