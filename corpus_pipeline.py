@@ -1,4 +1,7 @@
-"""A cleaning pipeline over documents: each stage's result is written as Parquet and read as the next one's input."""
+"""A cleaning pipeline over documents: each stage's result is written as Parquet and read as the next one's input.
+
+Defined cases, in every stage: null text counts as empty (the first stage drops texts without a letter); null ids take part and of alike rows one with an id stays; rows that
+repeat are decided alike; texts of any length are read whole; further columns travel along, names that clash included; an empty table gives an empty result."""
 
 from __future__ import annotations
 
