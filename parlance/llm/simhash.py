@@ -168,14 +168,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Golay segments of a long fingerprint; the words of its LONG_BITS bits.
 LONG_SEGMENTS, LONG_WORDS = 16, 6
 LONG_BITS = 23 * LONG_SEGMENTS
-#: Candidates may differ in so many of the first 64 and of all bits. Texts at 0.8 differ in 9.7 (sd 2.9) and 56 (sd 6.9) of them.
-NEAR_64, NEAR_ALL = 24, 96
-#: Bits in which a text and a leader at twice the threshold (a similarity of 0.6) may differ: 88 (sd 8.2) are expected.
-NEAR_TWICE = 136
-#: Texts and shingles of a block of a crowd.
-CROWD_BLOCK, CROWD_SHINGLES = 256, 1 << 19
-#: Crowds of more members than this are joined through leaders: how many in the first round, and how many rounds.
+#: Candidates may differ in so many of the first 64 bits. Texts at 0.8 differ in 9.7 (sd 2.9) of them.
+NEAR_64 = 24
+#: Texts and shingles of a block of a crowd; shingles of a slice of it.
+CROWD_BLOCK, CROWD_SHINGLES, SLICE_SHINGLES = 1024, 1 << 19, 1 << 20
+#: Crowds with more members than this outside their main component are joined through leaders: how many in the first round, and how many rounds.
 CROWD_EXACT, LEADERS, ROUNDS = 1024, 32, 4
+#: An element that so many pairs of two blocks have in common is counted by a product of matrices, which have so many columns.
+DENSE_PAIRS, DENSE_COLUMNS = 1 << 14, 1 << 12
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -277,150 +277,144 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
-def _joined(left: list, right: list | None, words: np.ndarray, other: np.ndarray | None, similarity: float, known: list[list[int]] | None = None) -> list[tuple[int, int]]:
-    """Pairs of places whose sets are similar, none of which joins what others (or ``known`` lists of places) have joined already. right None: within left."""
-    everyone = left if right is None else left + right
-    root = list(range(len(everyone)))
-    for together in known or ():
-        for k in together:
-            root[k] = together[0]
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for a in range(len(left)):
-        first = a + 1 if right is None else 0
-        against = words[first:] if right is None else other
-        close = np.nonzero(np.bitwise_count(words[a] ^ against).sum(1, dtype=np.int64) <= NEAR_ALL)[0]
-        for b in (close + (first if right is None else len(left))).tolist():
-            x, y = find(a), find(b)
-            if x != y and similar(len(everyone[a] & everyone[b]), len(everyone[a]), len(everyone[b]), similarity):
-                root[y] = x
-                out.append((a, b))
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set on the left has in common with each on the right.
+
+    Elements of many pairs go through products of 0/1 matrices, others pair by pair, so that work is bounded by the number of elements and of pairs of sets."""
+    out = np.zeros((len(left), len(right)))
+    if not len(left) or not len(right):
+        return out
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    values, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    at = np.split(at, [len(row[0])])
+    count = [np.bincount(x, minlength=len(values)) for x in at]
+    pairs = count[0] * count[1]
+    dense = pairs > DENSE_PAIRS
+    place = np.cumsum(dense) - 1
+    picked = [(r[dense[x]], place[x[dense[x]]]) for r, x in zip(row, at)]
+    for low in range(0, int(dense.sum()), DENSE_COLUMNS):
+        tables = []
+        for (r, c), sets in zip(picked, (left, right)):
+            here = (c >= low) & (c < low + DENSE_COLUMNS)
+            tables.append(np.zeros((len(sets), DENSE_COLUMNS), np.float32))
+            tables[-1][r[here], c[here] - low] = 1
+        out += tables[0] @ tables[1].T
+    a, b = (np.flatnonzero((pairs[x] > 0) & ~dense[x]) for x in at)
+    b = b[np.argsort(at[1][b], kind="stable")]
+    holders = np.where(dense, 0, np.where(pairs > 0, count[1], 0))
+    first = np.cumsum(holders) - holders
+    for part in np.split(a, np.searchsorted(np.cumsum(holders[at[0][a]]), np.arange(1 << 22, int(holders[at[0][a]].sum()) + 1, 1 << 22))):
+        n = holders[at[0][part]]
+        met = b[np.repeat(first[at[0][part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        out += np.bincount(np.repeat(row[0][part], n) * len(right) + row[1][met], minlength=out.size).reshape(out.shape)
     return out
 
 
-def similar(common: int, a: int, b: int, similarity: float) -> bool:
-    return common > 0 and common >= similarity * (a + b - common) - 1e-9
+def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Places (left, right) of links that join what all links do; what has one root (left, right) is joined already."""
+    roots, n = np.concatenate([left, right]), len(left)
+    unseen, out = np.ones(len(roots), bool), []
+    for start in range(n):
+        stack = [start] if unseen[start] else []
+        unseen[start] = False
+        while stack:
+            x = stack.pop()
+            kin = np.flatnonzero(unseen & (roots == roots[x]))
+            unseen[kin] = False
+            met = np.flatnonzero(linked[x] & unseen[n:]) + n if x < n else np.flatnonzero(linked[:, x - n] & unseen[:n])
+            unseen[met] = False
+            out += [(x, y - n) if x < n else (y, x - n) for y in met.tolist()]
+            stack += kin.tolist() + met.tolist()
+    return out
 
 
-def _blocks(members: DataFrame, by: str) -> DataFrame:
-    """members with own, the block of each in its group, and blocks, how many the group has."""
-    sizes = members.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / CROWD_BLOCK), F.ceil(F.sum(F.size("shingles")) / CROWD_SHINGLES)).cast("int").alias("blocks"))
-    return members.join(sizes, by).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _compared(sent: DataFrame, by: list[str], similarity: float) -> DataFrame:
+    """(a, b) of (*by, side, node, root, shingles): in each group links that join what is similar across its sides, or within side 0 where it is alone."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node").combine_chunks()
+        side, node, root = (rows.column(c).to_numpy() for c in ("side", "node", "root"))
+        sets = [x.values.to_numpy() for x in rows.column("shingles")]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        size = np.array([len(s) for s in sets], np.int64)
+        common = _common([sets[k] for k in left], [sets[k] for k in right])
+        linked = (common > 0) & (common >= similarity * (size[left][:, None] + size[right][None, :] - common) - 1e-9)
+        found = _forest(linked, root[left], root[right])
+        return pa.table({"a": pa.array(node[left[[x for x, _ in found]]] if found else [], pa.int64()), "b": pa.array(node[right[[y for _, y in found]]] if found else [], pa.int64())})
 
-def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, words) of rows that are sorted by node."""
-    return rows.column("node").to_numpy(), rows.column("words").combine_chunks().flatten().to_numpy().reshape(-1, LONG_WORDS).view(np.uint64)
+    return sent.select(*by, "side", "node", "root", "shingles").groupBy(*by).applyInArrow(run, "a long, b long")
 
 
-def _pairs(a, b) -> pa.Table:
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _blocks(which: Column) -> Column:
+    """How many blocks a group's members (those for which ``which`` holds) fill."""
+    return F.greatest(F.ceil(F.count_if(which) / CROWD_BLOCK), F.ceil(F.coalesce(F.sum(F.when(which, F.size("shingles"))), F.lit(0)) / CROWD_SHINGLES)).cast("int")
 
 
-def block_links(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of (crowd, node, words, shingles): links that join every two members of a crowd whose sets are similar.
+def _with_main(members: DataFrame) -> DataFrame:
+    """members with main: whether one belongs to the largest component of its crowd, if that has at least CROWD_BLOCK members."""
+    parts = members.groupBy("crowd", "root").agg(F.count("*").alias("n")).filter(F.col("n") >= CROWD_BLOCK)
+    main = parts.groupBy("crowd").agg(F.max_by("root", F.struct("n", "root")).alias("main_root"))
+    return members.join(main, "crowd", "left").withColumn("main", F.coalesce(F.col("root") == F.col("main_root"), F.lit(False))).drop("main_root")
 
-    A crowd is cut into blocks; every pair of blocks is compared by a task, which returns no more links than it has members."""
-    sent = _blocks(members, "crowd").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("crowd", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "words", "shingles")
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("node").combine_chunks()
-        low, high, own = (rows.column(c).to_numpy() for c in ("low", "high", "own"))
-        nodes, words = _unpacked(rows)
-        sets = [frozenset(x.values.to_numpy().tolist()) for x in rows.column("shingles")]
-        left, right = np.flatnonzero(own == low), np.flatnonzero((own == high) & (low != high))
-        pick = lambda at: [sets[k] for k in at]
-        one = low[0] == high[0]
-        found = _joined(pick(left), None if one else pick(right), words[left], None if one else words[right], similarity)
-        place = nodes[left if one else np.concatenate([left, right])]
-        return _pairs(*([place[x[k]] for x in found] for k in range(2)))
+def block_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of (crowd, node, root, main, shingles): links that join every two members of a crowd whose sets are similar and whose roots differ.
 
-    return sent.groupBy("crowd", "low", "high").applyInArrow(run, "a long, b long")
+    A crowd is cut into blocks; every pair of blocks is compared by a task, which returns no more links than it has members. Of two such members one is
+    outside the main component, so blocks of that one do not meet each other."""
+    number = members.groupBy("crowd").agg(_blocks(~F.col("main")).alias("others"), _blocks(F.col("main")).alias("mains")).filter("others > 0")
+    draw = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    placed = members.join(number, "crowd").withColumn("own", F.when(F.col("main"), F.col("others") + draw(F.col("mains"))).otherwise(draw(F.col("others"))))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(F.col("main"), 0).otherwise(F.col("mains")) - 1)))
+    sent = sent.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    return _compared(sent, ["crowd", "low", "high"], similarity)
 
 
 def star_links(members: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between leaders (a) and members (b) of a crowd; every member that is similar to a leader has one. Leaders travel to each block of members."""
-    placed = _blocks(members, "crowd")
-    number = placed.select("crowd", "blocks").distinct()
-    led = members.join(leaders, ["crowd", "node"], "left_semi").join(number, "crowd").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["crowd", "own", "node", "words", "shingles"]
-    sent = led.select(*columns, F.lit(True).alias("leads")).unionByName(placed.select(*columns, F.lit(False).alias("leads")))
+    """(a, b): links that join leaders (crowd, node) and all members of their crowd that are similar to them. Leaders travel to each block of members."""
+    placed = members.join(members.groupBy("crowd").agg(_blocks(F.lit(True)).alias("blocks")), "crowd")
+    led = placed.join(leaders, ["crowd", "node"], "left_semi").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    return _compared(led.unionByName(placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("side", F.lit(1))), ["crowd", "own"], similarity)
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("node").combine_chunks()
-        leads, (nodes, words) = rows.column("leads").to_numpy(zero_copy_only=False), _unpacked(rows)
-        sets = [frozenset(x.values.to_numpy().tolist()) for x in rows.column("shingles")]
-        left = np.flatnonzero(leads)
-        right = np.flatnonzero(~leads & ~np.isin(nodes, nodes[left]))
-        found = _joined([sets[k] for k in left], [sets[k] for k in right], words[left], words[right], similarity)
-        inner = _joined([sets[k] for k in left], None, words[left], None, similarity) if rows.column("own")[0].as_py() == 0 else []
-        place = nodes[np.concatenate([left, right])]
-        return _pairs(*([place[x[k]] for x in found + inner] for k in range(2)))
-
-    return sent.groupBy("crowd", "own").applyInArrow(run, "a long, b long")
-
-
-def bridge_links(members: DataFrame, leaders: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between members that stars have left in different components, one of them under a leader.
-
-    Distance (the share of shingles that two sets do not have in common) obeys the triangle inequality: what is similar to a member under a leader is within
-    twice the threshold of that leader. So members near a leader of another component are compared with all that are under it."""
-    root = keep(components(links), "crowd-roots")
-    rooted = lambda df: df.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = rooted(members.select("crowd", "node", "words"))
-    led = rooted(leaders.join(members.select("node", "words"), "node"))
-    # one component means that nothing is left to join
-    several = rows.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("crowd")
-    rows, led = rows.join(several, "crowd", "left_semi"), led.join(several, "crowd", "left_semi")
-    number = rows.groupBy("crowd").agg(F.ceil(F.count("*") / (8 * CROWD_BLOCK)).cast("int").alias("blocks"))
-    placed = rows.join(number, "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    columns = ["crowd", "own", "node", "words", "root"]
-    sent = led.join(number, "crowd").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(True).alias("leads"))
-    sent = sent.unionByName(placed.select(*columns, F.lit(False).alias("leads")))
-
-    def near(rows: pa.Table) -> pa.Table:
-        leads, root = rows.column("leads").to_numpy(zero_copy_only=False), rows.column("root").to_numpy()
-        nodes, words = _unpacked(rows)
-        a, b = [], []
-        others = np.flatnonzero(~leads)
-        for k in np.flatnonzero(leads):
-            found = others[(root[others] != root[k]) & (np.bitwise_count(words[others] ^ words[k]).sum(1, dtype=np.int64) <= NEAR_TWICE)]
-            a += [nodes[k]] * len(found)
-            b += nodes[found].tolist()
-        return _pairs(a, b)
-
-    close = keep(sent.groupBy("crowd", "own").applyInArrow(near, "a long, b long"), "crowd-near")
-    under = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader")).unionByName(leaders.select("node", F.col("node").alias("leader")))
-    whole = rows.select("node", "words", "root").join(members.select("node", "shingles"), "node")
-    side = lambda df, leader, node, name: df.select(F.col(leader).alias("leader"), F.col(node).alias("node")).join(whole, "node").withColumn("side", F.lit(name))
-    sides = side(close, "a", "b", 0).unionByName(side(under.join(close.select(F.col("a").alias("leader")).distinct(), "leader", "left_semi"), "leader", "node", 1))
-    held = lambda k: F.greatest(F.ceil(F.count_if(F.col("side") == k) / CROWD_BLOCK), F.ceil(F.sum(F.when(F.col("side") == k, F.size("shingles"))) / CROWD_SHINGLES)).cast("int")
-    count = sides.groupBy("leader").agg(*(held(k).alias(f"n{k}") for k in (0, 1))).filter("n0 > 0 and n1 > 0")
-    dealt = sides.join(count, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0")) - 1)))
-    dealt = dealt.select("leader", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("x"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("y"), "side", "node", "words", "root", "shingles")
-
-    def compare(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("node").combine_chunks()
-        side, root = rows.column("side").to_numpy(), rows.column("root").to_numpy()
-        nodes, words = _unpacked(rows)
-        sets = [frozenset(x.values.to_numpy().tolist()) for x in rows.column("shingles")]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        place = np.concatenate([left, right])
-        known = {}  # members of one component are joined already
-        for k, r in enumerate(root[place].tolist()):
-            known.setdefault(r, []).append(k)
-        found = _joined([sets[k] for k in left], [sets[k] for k in right], words[left], words[right], similarity, list(known.values()))
-        return _pairs(*([nodes[place[x[k]]] for x in found] for k in range(2)))
 
-    return dealt.groupBy("leader", "x", "y").applyInArrow(compare, "a long, b long")
+def linkable(members: DataFrame, similarity: float) -> DataFrame:
+    """The members (crowd, node, root, shingles) that may be similar to one of another root: so many of their shingles occur in other components of the crowd.
+
+    Two similar sets have the share ``similarity`` of either in common, so no link is lost. A crowd's shingles are dealt by their range into slices of bounded size."""
+    number = members.groupBy("crowd").agg(F.ceil(F.sum(F.size("shingles")) / SLICE_SHINGLES).cast("int").alias("slices"))
+    columns = "crowd long, slice int, node long, root long, part array<long>"
+
+    def deal(batches):
+        for batch in batches:
+            for crowd, node, root, slices, held in zip(*(batch.column(c) for c in range(5))):
+                values = np.sort(held.values.to_numpy().view(np.uint64))
+                n = slices.as_py()
+                bounds = np.searchsorted(values, np.array([(k << 64) // n for k in range(1, n)], np.uint64)) if n > 1 else []
+                parts = [(k, x.view(np.int64)) for k, x in enumerate(np.split(values, bounds)) if len(x)]
+                same = lambda x: [x.as_py()] * len(parts)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(same(crowd), pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array(same(node), pa.int64()), pa.array(same(root), pa.int64()), pa.array([x for _, x in parts], pa.list_(pa.int64()))],
+                    names=["crowd", "slice", "node", "root", "part"],
+                )
+
+    def shared(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        parts = rows.column("part").combine_chunks() if isinstance(rows.column("part"), pa.ChunkedArray) else rows.column("part")
+        length = parts.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(length)), length)
+        values, root = parts.flatten().to_numpy(), rows.column("root").to_numpy()[row]
+        order = np.argsort(values, kind="stable")
+        values, root, row = values[order], root[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        several = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+        held = np.repeat(several, np.diff(np.append(first, len(values))))
+        return pa.table({"node": rows.column("node"), "common": pa.array(np.bincount(row[held], minlength=len(length)), pa.int64())})
+
+    dealt = members.join(number, "crowd").select("crowd", "node", "root", "slices", "shingles").mapInArrow(deal, columns)
+    common = dealt.groupBy("crowd", "slice").applyInArrow(shared, "node long, common long").groupBy("node").agg(F.sum("common").alias("common"))
+    enough = (F.col("common") > 0) & (F.col("common") >= F.lit(similarity) * F.size("shingles") - 1e-9)
+    return members.join(common, "node").filter(enough).select(*members.columns)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -431,32 +425,32 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def crowd_links(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of (crowd, node, words, shingles): links that join every two members of a crowd whose sets are similar.
-
-    Crowds of up to CROWD_EXACT members are compared in blocks. In a larger one some LEADERS members, drawn by hash, are compared with all others, which joins
-    near copies of one text in work that follows their number; what may be similar across the components that this leaves is compared on its own (``bridge_links``).
-    Members without any leader go into further rounds with four times as many leaders each; after ROUNDS of them, or where three quarters found none, into blocks."""
-    out, rest, leads = [], members, LEADERS
+    """(a, b) of (crowd, node, shingles): links that join every two members of a crowd whose sets are similar.
+
+    In rounds: members that can have no link out of their component are done (``linkable``: at first those that are alike with others but below the threshold, later
+    whole components). Of a crowd that still has more than CROWD_EXACT members outside its main component some LEADERS of them, drawn by hash, are compared
+    with all others, which joins near copies of one text in work that follows their number; each round has four times as many leaders. All other
+    crowds, and after ROUNDS of them every crowd, are compared in blocks, what is outside the main component against all."""
+    out, leads = [], LEADERS
+    rest = keep(members.select("crowd", "node", F.col("node").alias("root"), "shingles"), "crowd-members")
     for step in range(ROUNDS + 1):
-        sizes = rest.groupBy("crowd").agg(F.count("*").alias("n"))
-        large = F.col("n") > (CROWD_EXACT if step < ROUNDS else 1 << 62)
-        out.append(keep(block_links(rest.join(sizes.filter(~large).select("crowd"), "crowd", "left_semi"), similarity), "block-links"))
-        rest = keep(rest.join(sizes.filter(large), "crowd"), "large-crowds")
+        rest = keep(_with_main(keep(linkable(rest, similarity), "linkable")), "crowds-left")
+        sizes = rest.groupBy("crowd").agg(F.count_if(~F.col("main")).alias("n"))
+        # leaders that are many against their crowd save nothing
+        large = keep(sizes.filter(F.col("n") > (max(CROWD_EXACT, 4 * leads) if step < ROUNDS else 1 << 62)), "large-crowds")
+        out.append(keep(block_links(rest.join(large, "crowd", "left_anti"), similarity), "block-links"))
+        rest = keep(rest.join(large, "crowd"), "in-large-crowds")
         if rest.isEmpty():
             break
         # a share of leads / n by hash; the member with the smallest hash leads in any case
-        drawn = F.xxhash64("node", F.lit(step))
-        lowest = rest.groupBy("crowd").agg(F.min_by("node", drawn).alias("node"))
-        leaders = rest.filter(F.pmod(drawn, F.lit(1 << 30)) < F.lit(leads * (1 << 30)) / F.col("n")).select("crowd", "node").unionByName(lowest).distinct()
-        leaders = keep(leaders, "leaders")
-        links = keep(star_links(rest.drop("n"), leaders, similarity), "star-links")
-        out += [links, keep(bridge_links(rest.drop("n"), leaders, links, similarity), "bridge-links")]
-        led = leaders.select("node").unionByName(links.select(F.col("b").alias("node"))).distinct()
-        left = keep(rest.join(led, "node", "left_anti"), "without-leader")
-        # a crowd in which leaders find few is one of texts that are alike but mostly below the threshold: it goes into blocks
-        few = left.groupBy("crowd").agg((4 * F.count("*") > 3 * F.first("n")).alias("few")).filter("few")
-        out.append(keep(block_links(left.join(few, "crowd", "left_semi").drop("n"), similarity), "block-links"))
-        rest = left.drop("n").join(few, "crowd", "left_anti")
+        drawn, others = F.xxhash64("node", F.lit(step)), rest.filter(~F.col("main"))
+        lowest = others.groupBy("crowd").agg(F.min_by("node", drawn).alias("node"))
+        leaders = others.filter(F.pmod(drawn, F.lit(1 << 30)) < F.lit(leads * (1 << 30)) / F.col("n")).select("crowd", "node").unionByName(lowest).distinct()
+        rest = rest.drop("n", "main")
+        out.append(keep(star_links(rest, keep(leaders, "leaders"), similarity), "star-links"))
+        joined = out[-1].unionByName(rest.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = keep(components(joined).withColumnRenamed("root", "new"), "crowd-roots")
+        rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
         leads *= 4
     found = out[0]
     for part in out[1:]:
@@ -501,12 +495,12 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, similarity: flo
     pairs = keep(side("a").join(side("b"), "key").filter((F.col("a") < F.col("b")) & apart & close).select("a", "b").distinct(), "soft-pairs")
 
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node")).distinct()
-    asked = take(nodes.select("row", "words", "doc_key"), place, keep(asked.withColumn("_key", F.col("node").cast("string")), "sketch-wanted"))
-    asked = keep(asked.select("node", "words", F.col("doc_key").alias("_key")), "sketch-asked")
+    asked = take(nodes.select("row", "doc_key"), place, keep(asked.withColumn("_key", F.col("node").cast("string")), "sketch-wanted"))
+    asked = keep(asked.select("node", F.col("doc_key").alias("_key")), "sketch-asked")
     texts = take(rows, F.col("doc_key"), asked.select("_key", "node")).dropDuplicates(["node"])
     sets = keep(_sets(texts.select("node", "text"), shingle), "sketch-sets")
     near = verified(pairs, sets, similarity)
-    inside = crowd_links(crowds.join(asked.select("node", "words"), "node").join(sets, "node"), similarity)
+    inside = crowd_links(crowds.join(sets, "node"), similarity)
     joined = near.unionByName(inside).unionByName(copies.select(F.col("row").alias("a"), F.col("node").alias("b")))
     roots = components(joined).filter("node <> root").select(F.col("node").alias("row"), "root")
     return drawn.select("id", "doc_key", "row").join(keep(roots, "sketch-roots"), "row", "left").select("id", "doc_key", F.coalesce("root", "row").alias("group"))

@@ -183,6 +183,61 @@ def test_leaders_lose_no_link(spark, monkeypatch, leaders, rounds):
     assert all((got[i] == got[j]) == (want[i] == want[j]) for i, j in inside) and len(set(want)) > 20
 
 
+def join_rows(spark, job):
+    """Rows that all joins of a job have made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    job()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    total = 0
+    for k in range(before, store.executionsCount()):
+        at = store.executionsList(k, 1).apply(0).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            made = [m for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if m.name() == "number of output rows"]
+            if "Join" in node.name() and made and values.contains(made[0].accumulatorId()):
+                total += int(values.apply(made[0].accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_joins_of_a_crowd_follow_its_members(spark, monkeypatch):
+    """Near copies around the threshold, half of which a leader does not reach: joins make no row for each leader and member near it."""
+    for name, value in {"CROWD_BLOCK": 64, "CROWD_EXACT": 64, "LEADERS": 16}.items():
+        monkeypatch.setattr(op, name, value)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(edited(rng, base, rng.choice([0.005, 0.02, 0.03, 0.04]))) for _ in range(500)]
+    found, crowd = [], crowd_of(spark, texts)
+    rows = join_rows(spark, lambda: found.extend(op.crowd_links(crowd, 0.8).collect()))
+    assert joined_by(found, 500) == similar_components(texts)
+    assert 0 < rows <= 30 * 500
+
+
+@pytest.mark.parametrize("dense, columns", [(0, 7), (20, 64), (1 << 30, 64)])
+def test_common_elements_equal_brute_force(monkeypatch, dense, columns):
+    monkeypatch.setattr(op, "DENSE_PAIRS", dense)
+    monkeypatch.setattr(op, "DENSE_COLUMNS", columns)
+    rng = np.random.default_rng(5)
+    left, right = ([np.unique((rng.integers(0, 200, rng.integers(0, 40)) ** 2) - 9000) for _ in range(n)] for n in (23, 31))
+    assert op._common(left, right).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert op._common(left, []).shape == (23, 0)
+
+
+def test_linkable_keeps_what_has_links(spark, monkeypatch):
+    """With slices of few shingles: every end of a link between components stays, texts of their own go."""
+    monkeypatch.setattr(op, "SLICE_SHINGLES", 500)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join(edited(rng, base, share)) for share in (0.01, 0.03, 0.2) for _ in range(20)] + [f"alone {k} in all of its five words" for k in range(5)]
+    members = crowd_of(spark, texts).selectExpr("crowd", "node", "node root", "shingles")
+    got = {r.node for r in op.linkable(members, 0.8).collect()}
+    sets = [five_words(t) for t in texts]
+    held = [sum(any(s in other for j, other in enumerate(sets) if j != i) for s in x) for i, x in enumerate(sets)]
+    assert got == {i for i, x in enumerate(sets) if held[i] >= 0.8 * len(x) - 1e-9}
+    assert got >= {k for pair in similar_pairs(texts) for k in pair} and len(got) < 60
+    assert op.linkable(members.selectExpr("crowd", "node", "7L root", "shingles"), 0.8).count() == 0
+
+
 def test_long_texts_are_read_in_runs():
     many = op.shingle_set(" ".join(f"w{k}" for k in range(3 * op.BLOCK)).encode(), 5)
     whole = sum(2 * (((op._scramble(many, 0) >> np.uint64(b)) & np.uint64(1)).astype(int)) - 1 for b in [7])
