@@ -27,7 +27,7 @@ def rerun(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, Dat
     known = old["recordings"].select(RID).distinct()
     same = kept(same_recording(old["recordings"], new["recordings"]).filter("same").select(RID), "rerun-same")
     untouched = lambda name: old[name].join(again, RID, "left_anti")
-    segments, audit = carry_over(old["segments"].join(same, RID, "left_semi"), new["segments"].join(same, RID, "left_semi"))
+    segments, audit = carry_over(old["segments"].join(same, RID, "left_semi"), new["segments"].join(same, RID, "left_semi"), places=True)
     fresh = new["segments"].join(same, RID, "left_anti")
     people = merge_rosters(old["speakers"].join(again, RID, "left_semi"), new["speakers"].join(known, RID, "left_semi"))
     first = new["speakers"].join(known, RID, "left_anti")

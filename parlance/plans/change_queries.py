@@ -109,7 +109,7 @@ def _ranges(s, d):
 
 def _carry(s, d):
     """Old rows, of which some are split, against new ones that are shifted (within the tolerance and beyond), doubled, and inside edited spans."""
-    return snapshots.carry_over(view(s, d, "old_v"), view(s, d, "new_v"))
+    return snapshots.carry_over(view(s, d, "old_v"), view(s, d, "new_v"), places=True)
 
 
 def _carried(s, d):

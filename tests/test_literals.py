@@ -141,3 +141,10 @@ def test_carry_over_replaces_and_absorbs(spark):
     got = [(r.idx, r.seg_start, r.speaker_id, r.reviewed) for r in out.orderBy("idx").collect()]
     assert got == [(0, 0.5, "sp01", False), (1, 30.0, None, False), (2, 34.0, "sp02", False), (3, 51.0, "sp03", True), (4, 70.0, None, False)]
     assert audit.first().asDict() == {"recording_id": 1, "carried": 3, "texts": 0, "replaced": 3, "absorbed": 1}
+
+
+def test_places_are_absorbed_rows_only_on_request(spark):
+    old = segment(spark, idx=0, seg_start=0.5, seg_end=20.0, orig_start=0.0, orig_end=20.0, time_edited=True)
+    new = segment(spark, idx=0, seg_start=0.0, seg_end=10.0, orig_start=0.0, orig_end=10.0).union(segment(spark, idx=1, seg_start=10.0, seg_end=20.0, orig_start=10.0, orig_end=20.0))
+    plain, told = (snapshots.carry_over(old, new, places=p)[1].first().asDict() for p in (False, True))
+    assert told == plain | {"absorbed_at": "00:00:10"} and "absorbed_at" not in plain
