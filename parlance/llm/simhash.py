@@ -171,7 +171,7 @@ LONG_BITS = 23 * LONG_SEGMENTS
 #: Candidates may differ in so many of the first 64 bits. Texts at 0.8 differ in 9.7 (sd 2.9) of them.
 NEAR_64 = 24
 #: Texts and shingles of a block of a crowd; shingles of a slice of it.
-CROWD_BLOCK, CROWD_SHINGLES, SLICE_SHINGLES = 1024, 1 << 19, 1 << 20
+CROWD_BLOCK, CROWD_SHINGLES, SLICE_SHINGLES = 256, 1 << 19, 1 << 20
 #: Crowds with more members than this outside their main component are joined through leaders: how many in the first round, and how many rounds.
 CROWD_EXACT, LEADERS, ROUNDS = 1024, 32, 4
 #: An element that so many pairs of two blocks have in common is counted by a product of matrices, which have so many columns.
