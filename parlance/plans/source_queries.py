@@ -77,10 +77,9 @@ def _decisions(s, d):
 def _hashes(s, d):
     """A file of lines for each conversation."""
     path = work_path(s, "files")
-    lines = view(s, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("value")).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    lines.select("value", "conv_id").write.partitionBy("conv_id").text(path)
-    found = caches.hash_files(s, f"{path}/*/*")
-    return found.select(F.regexp_extract("path", "conv_id=([0-9]+)/", 1).cast("long").alias("conv_id"), "size", "sha256", (F.length("fingerprint") == 16).alias("has_fingerprint"))
+    caches.write_lines(view(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("value")), path, "conv_id", "turn")
+    found = caches.hash_files(s, path, recursive=True)
+    return found.select(F.regexp_extract("path", "conv_id=(-?[0-9]+)", 1).try_cast("long").alias("conv_id"), "size", "sha256", (F.length("fingerprint") == 16).alias("has_fingerprint"))
 
 
 def _rosters(s, d):

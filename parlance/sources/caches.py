@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from urllib.parse import unquote, urlsplit
+import os
+import uuid
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,18 +74,67 @@ def read_rosters(spark: SparkSession, path: str) -> DataFrame:
     return parse_rosters(rows.select(F.xxhash64(F.col("_metadata.file_path")).alias("recording_id"), F.col("value").alias("text")))
 
 
+def write_lines(lines: DataFrame, path: str, key: str, order: str) -> None:
+    """lines (key, order, value): the values of each key in order as the lines of a file, key=1.txt in a folder for each task, or key=1/….txt where only Spark can write.
+
+    Hadoop's writer starts two or three processes for each file on a local or mounted disk, to set modes, one after another; there the tasks write by themselves."""
+    spark = lines.sparkSession
+    # a stated number of partitions, as by its bytes Spark would have one task write all files
+    rows = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, order).select(key, F.coalesce("value", F.lit("")).alias("value"))
+    fs, p = store._fs(spark, path)
+    if fs.getScheme() != "file":
+        rows.write.partitionBy(key).text(path)
+        return
+    top = p.toUri().getPath()
+    os.makedirs(top, exist_ok=True)
+
+    def write(batches):
+        folder, n, name, out = f"{top}/{TaskContext.get().partitionId():05d}", 0, None, None
+        hidden = f"{folder}/.{uuid.uuid4().hex}"  # a task that is tried again replaces what it finished before
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if out is None or k != name:
+                    if out:
+                        out.close()
+                        os.replace(hidden, f"{folder}/{key}={_file_name(name)}.txt")
+                    name, out, n = k, open(hidden, "wb"), n + 1
+                out.write(value + b"\n")
+        if out:
+            out.close()
+            os.replace(hidden, f"{folder}/{key}={_file_name(name)}.txt")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.select(F.col(key).cast("string"), F.col("value").cast("binary")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def _file_name(key: str | None) -> str:
+    return "__HIVE_DEFAULT_PARTITION__" if key is None else quote(key, safe="")
+
+
 #: Files up to this size are read by Spark's binary source, which holds a file in one row; larger ones are read piece by piece in the task.
 BINARY_BYTES, PIECE = 1 << 28, 1 << 22
+#: What a task reads; Spark itself counts a file as 4 MB at least, so that small ones would be a task for some 30 of them.
+TASK_FILES, TASK_BYTES = 1 << 10, 1 << 27
+
+
+def _tasks(files: DataFrame) -> int:
+    """How many tasks read files of the binary source: TASK_FILES or TASK_BYTES each, more where that leaves cores idle."""
+    size = int(files._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    return max(len(files._jdf.inputFiles()) // TASK_FILES, size // TASK_BYTES, 4 * files.sparkSession.sparkContext.defaultParallelism)
 
 
-def hash_files(spark: SparkSession, path: str, binary_bytes: int = BINARY_BYTES) -> DataFrame:
+def hash_files(spark: SparkSession, path: str, binary_bytes: int = BINARY_BYTES, recursive: bool = False) -> DataFrame:
     """(path, size, fingerprint, sha256): BLAKE2b-64 of the size's digits and the bytes, and SHA-256; both empty if a file cannot be read.
 
     Files over ``binary_bytes`` and files that vanish or are closed to reading are opened by their path where the task runs, so large files have to be on
-    a file system that the executors mount; on a store that only Spark reads they count as unreadable."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
-    readable = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(path)
-    whole = readable.filter(F.col("length") <= binary_bytes).select("path", "length", "content")
+    a file system that the executors mount; on a store that only Spark reads they count as unreadable. recursive: files of all folders below the path."""
+    reader = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    listed = reader().load(path)
+    tasks = _tasks(listed)
+    files = listed.select("path", F.col("length").alias("size")).coalesce(tasks)
+    readable = reader().option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(path)
+    whole = readable.filter(F.col("length") <= binary_bytes).select("path", "length", "content").coalesce(tasks)
     names = ["path", "size", "fingerprint", "sha256"]
     schema = "path string, size long, fingerprint string, sha256 string"
 
@@ -97,7 +149,8 @@ def hash_files(spark: SparkSession, path: str, binary_bytes: int = BINARY_BYTES)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=names)
 
     done = whole.mapInArrow(from_rows, schema).drop("size")
-    return files.join(done, "path", "left").select(*names).mapInArrow(from_paths, schema)
+    # sizes of files say nothing of how many there are
+    return files.join(done.hint("shuffle_merge"), "path", "left").select(*names).mapInArrow(from_paths, schema)
 
 
 def _pieces(url: str):

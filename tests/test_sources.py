@@ -1,6 +1,9 @@
 import hashlib
 import json
+import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from parlance.sources import caches, projects
@@ -74,6 +77,50 @@ def test_words_and_proposals(spark, tmp_path):
     assert [r.id for r in caches.read_proposals(spark, str(tmp_path / "p"), "f").collect()] == [10]
 
 
+def hashes(data):
+    return len(data), hashlib.blake2b(str(len(data)).encode() + data, digest_size=8).hexdigest(), hashlib.sha256(data).hexdigest()
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_lines_of_each_key_are_a_file(spark, tmp_path, mounted):
+    """Written by the tasks on a disk, by Spark on a store that only Spark reads; with the same bytes, in a few folders on a disk."""
+    rng = random.Random(7)
+    want = {key: [rng.choice(["あ", "a\nb", "", None, "x" * 200]) for _ in range(rng.randrange(1, 40))] for key in [-3, 0, *range(5, 300)]}
+    rows = [(key, k, value) for key, values in want.items() for k, value in enumerate(values)]
+    rng.shuffle(rows)
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.lines.link./in", f"file://{tmp_path}")
+    path = str(tmp_path / "files") if mounted else "viewfs://lines/in/files"
+    caches.write_lines(spark.createDataFrame(rows, "key long, at int, value string"), path, "key", "at")
+    got = {int(re.search("key=(-?[0-9]+)", r.path)[1]): (r["size"], r.fingerprint, r.sha256) for r in caches.hash_files(spark, path, recursive=True).collect()}
+    assert got == {key: hashes("".join(f"{v or ''}\n" for v in values).encode()) for key, values in want.items()}
+    if mounted:
+        assert len(list((tmp_path / "files").iterdir())) <= int(spark.conf.get("spark.sql.shuffle.partitions")) and not list((tmp_path / "files").rglob(".*"))
+
+
+def test_no_lines_are_no_files(spark, tmp_path):
+    caches.write_lines(spark.createDataFrame([], "key long, at int, value string"), str(tmp_path / "none"), "key", "at")
+    assert caches.hash_files(spark, str(tmp_path / "none"), recursive=True).count() == 0
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Spark counts a small file as several MB, so that its own split would be a task for each few of them."""
+    for k in range(300):
+        (tmp_path / f"{k}.bin").write_bytes(b"%d" % k)
+    usual, group = spark.conf.get("spark.sql.files.openCostInBytes"), f"hash-{tmp_path.name}"
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", 1 << 27)  # as if there were many times as many
+        spark.sparkContext.setJobGroup(group, "")
+        got = sorted((r["size"], r.fingerprint, r.sha256) for r in caches.hash_files(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", usual)
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == sorted(hashes(b"%d" % k) for k in range(300))
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    scans = [s.numTasks for s in map(tracker.getStageInfo, stages) if s]
+    assert scans and max(scans) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_hashes_and_rosters(spark, tmp_path):
     data = bytes(range(256)) * 50
     (tmp_path / "f.bin").write_bytes(data)
